@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid
+from . import best_fit, decontaminate, langid, pii, token_output
 
 QUERIES = {
+    "op2_pii_pseudonyms": pii.op2,
+    "op5_decontaminate": decontaminate.op5,
+    "op6_token_output": token_output.op6,
     "op7_language_id": langid.op7,
+    "op9_best_fit_packing": best_fit.op9,
 }
 
 ORACLE: dict[str, str] = {}
