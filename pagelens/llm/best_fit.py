@@ -89,13 +89,8 @@ def pack(items: DataFrame, *, room: int = 1024, nearly: float = 0.99, fan_in: in
         groups = -(-groups // fan_in)
         level += 1
 
-        def merge(pdf: pd.DataFrame, level: int = level) -> pd.DataFrame:
-            pdf = pdf.sort_values("_bin", kind="stable")
-            b, o, _ = best_fit(pdf["fill"].to_numpy(), room)
-            return pd.DataFrame({"_child": pdf["_bin"], "_bin": b + (pdf["_group"].to_numpy().astype(np.int64) << 40) + (level << 58), "_add": o, "fill": pdf["fill"], "_group": pdf["_group"]})
-
         into = open_bins.withColumn("_group", F.floor(F.col("_group") / fan_in).cast("int"))
-        into = materialize(into.groupBy("_group").applyInPandas(merge, "_child long, _bin long, _add long, fill long, _group int"), f"pack{level}")
+        into = materialize(into.groupBy("_group").applyInPandas(_merge(level, room), "_child long, _bin long, _add long, fill long, _group int"), f"pack{level}")
         chains.append(into)
         bins = into.groupBy("_bin").agg(F.sum("fill").alias("fill"), F.first("_group").alias("_group"))
         open_bins = _under(bins, room, nearly)
@@ -110,6 +105,15 @@ def pack(items: DataFrame, *, room: int = 1024, nearly: float = 0.99, fan_in: in
     return out.select(*columns, F.col("_bin").alias("sequence_id"), F.col("_offset").alias("offset"))
 
 
+def _merge(level: int, room: int):
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_bin", kind="stable")
+        b, o, _ = best_fit(pdf["fill"].to_numpy(), room)
+        return pd.DataFrame({"_child": pdf["_bin"], "_bin": b + (pdf["_group"].to_numpy().astype(np.int64) << 40) + (level << 58), "_add": o, "fill": pdf["fill"], "_group": pdf["_group"]})
+
+    return merge
+
+
 def _under(bins: DataFrame, room: int, nearly: float) -> DataFrame:
     return bins.filter(F.col("fill") < nearly * room).select("_bin", "fill", "_group")
 
