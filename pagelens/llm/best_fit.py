@@ -66,13 +66,14 @@ def cut(docs: DataFrame, id: str = "doc_id", text: str = "text", *, room: int =
     return mapped(rows, run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(items: DataFrame, *, room: int = 1024, nearly: float = 0.99, fan_in: int = 16, most: int = 2_000_000, first: int | None = None) -> DataFrame:
-    """items (length, others) with the columns sequence_id and offset added.
+def pack(items: DataFrame, *, room: int = 1024, nearly: float = 0.99, fan_in: int = 16, most: int = 2_000_000, first: int | None = None, least: int = 2048) -> DataFrame:
+    """items (id, piece, length, others), a table already written, with the columns sequence_id and offset added.
 
-    nearly: bins at least so full are final before the last round. first: partitions of the first round.
+    nearly: bins at least so full are final before the last round. first: groups of the first round; without it, as many as there
+    are shuffle partitions, or fewer so that a group has `least` items on average.
     """
     spark = items.sparkSession
-    groups = first or partitions(spark)
+    groups = first or max(1, min(partitions(spark), items.count() // least))
     columns = items.columns
     base = items.withColumn("_group", F.pmod(F.xxhash64("id", "piece"), F.lit(groups)).cast("int"))
 
@@ -120,7 +121,7 @@ def _under(bins: DataFrame, room: int, nearly: float) -> DataFrame:
 
 def sequences(docs: DataFrame, id: str = "doc_id", text: str = "text", *, room: int = 1024, tokenizer: str | None = None) -> DataFrame:
     """Pieces of all documents with their place: (id, piece, start, length, ids_crc32, sequence_id, offset)."""
-    return pack(cut(docs, id, text, room=room, tokenizer=tokenizer), room=room).withColumnRenamed("id", id)
+    return pack(materialize(cut(docs, id, text, room=room, tokenizer=tokenizer), "pieces"), room=room).withColumnRenamed("id", id)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
