@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import best_fit, decontaminate, langid, pii, token_output
+from . import best_fit, decontaminate, langid, ngram_join, pii, token_output, url_filter
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.op1,
     "op2_pii_pseudonyms": pii.op2,
+    "op3_url_filter": url_filter.op3,
     "op5_decontaminate": decontaminate.op5,
     "op6_token_output": token_output.op6,
     "op7_language_id": langid.op7,
     "op9_best_fit_packing": best_fit.op9,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_url_filter": url_filter.OP3_SQL}
