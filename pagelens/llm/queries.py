@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit, decontaminate, langid, ngram_join, pii, token_output, url_filter
+from . import best_fit, decontaminate, langid, ngram_join, pii, substring_dedup, token_output, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_decontaminate": decontaminate.op5,
     "op6_token_output": token_output.op6,
     "op7_language_id": langid.op7,
+    "op8_substring_dedup": substring_dedup.op8,
     "op9_best_fit_packing": best_fit.op9,
 }
 

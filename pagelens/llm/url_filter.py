@@ -37,7 +37,11 @@ class Bloom:
 
     @staticmethod
     def places(keys: list[bytes], blocks: int) -> tuple[np.ndarray, np.ndarray]:
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), U, len(keys))
+        return Bloom.places_of(np.fromiter(map(xxhash.xxh3_64_intdigest, keys), U, len(keys)), blocks)
+
+    @staticmethod
+    def places_of(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+        """As places, for keys that are hashes already."""
         block = (h >> U(16)) % U(blocks)
         g = mix(h)
         lane = np.arange(8, dtype=U)
@@ -46,13 +50,18 @@ class Bloom:
 
     @classmethod
     def build(cls, keys: DataFrame, bits_per_key: int = 16, most_bytes: int = 32 << 20) -> Bloom:
-        """From the column key; the filter has at most most_bytes, and only its words come to the driver, never keys."""
+        """From the column key (strings, or longs that are hashes); the filter has at most most_bytes, and only its words come to the
+        driver, never keys."""
+        hashed = keys.schema["key"].dataType.simpleString() == "bigint"
         n = keys.count()
         blocks = int(max(1, min(most_bytes // 64, -(-n * bits_per_key // 512))))
 
         def emit(batches):
             for batch in batches:
-                at, mask = cls.places([k.encode() for k in column(batch, "key") if k is not None], blocks)
+                if hashed:
+                    at, mask = cls.places_of(np.asarray(batch.column(0), np.int64).view(U), blocks)
+                else:
+                    at, mask = cls.places([k.encode() for k in column(batch, "key") if k is not None], blocks)
                 at, where = np.unique(at.ravel(), return_inverse=True)
                 word = np.zeros(len(at), U)
                 np.bitwise_or.at(word, where, mask.ravel())
@@ -63,6 +72,13 @@ class Bloom:
         words[got["at"].to_numpy(np.int64)] = got["word"].to_numpy(np.int64).view(U)
         return cls(words)
 
+    def has_hashes(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), bool)
+        for i in range(0, len(h), 100_000):
+            at, mask = self.places_of(h[i : i + 100_000], len(self.words) // 8)
+            out[i : i + 100_000] = ((self.words[at] & mask) == mask).all(axis=1)
+        return out
+
     def has(self, keys: list[bytes]) -> np.ndarray:
         if not keys:
             return np.zeros(0, bool)
