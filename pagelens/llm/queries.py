@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import best_fit, decontaminate, langid, ngram_join, pii, substring_dedup, token_output, url_filter
+from . import best_fit, decontaminate, langid, lm_score, ngram_join, pii, substring_dedup, token_output, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1,
     "op2_pii_pseudonyms": pii.op2,
     "op3_url_filter": url_filter.op3,
+    "op4_lm_score": lm_score.op4,
     "op5_decontaminate": decontaminate.op5,
     "op6_token_output": token_output.op6,
     "op7_language_id": langid.op7,
