@@ -2,12 +2,13 @@
 
 Shingle sets lie at distance 1 from nearly all document pivots, where the additive window holds everything; so the first level's
 pivots are single shingles (of two sets that are within the radius, one lacks at most a quarter of the other's shingles, so the first
-quarter and one more of a set, in hash order, is its window over these pivots), and document pivots with Voronoi regions split
+quarter and one more of a set, in any one order, is its window over these pivots), and document pivots with Voronoi regions split
 what is left of the cells:
 
 1. Every text is hashed to its set. A window of two fifths goes by shingle, in packed blocks, to be counted; a document of which too
    few of them occur elsewhere has no partner, by the same inequality, and is done. Equal sets are one class from here on.
-2. The sets of the remaining classes are cut into cells, one for each shingle of their windows; equal cells are one.
+2. Among the sets that remain, shingles are counted again, whole; a set of which a quarter stands alone is done too. The others are
+   cut into cells, one for each shingle of their windows, rarest first; cells of equal members are one.
 3. Each class is compared with the pivot of its first cell; links join components. A cell within one component is done.
 4. Small cells compare what is left of them. In a large one, two pivot documents divide the others into Voronoi regions; a document that
    is no more than twice the radius farther from the other pivot lies in both, so that any linked pair shares a region; regions
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U, chunked, column, components, forget, grouped, mapped, materialize, mix, partitions, texts, window_hashes, word_hashes
+from ._common import U, chunked, column, components, forget, grouped, mapped, materialize, mix, partitions, release, texts, window_hashes, word_hashes
 from .url_filter import Bloom
 
 #: Share of a set, beyond the window that one common shingle needs, in which partners must meet again and again.
@@ -69,6 +70,18 @@ def _ids(batch) -> np.ndarray:
     return np.asarray(batch.column(batch.schema.get_field_index("id")), np.int64)
 
 
+def _packed(keys: np.ndarray, own: np.ndarray, ids: np.ndarray, buckets: int):
+    """(bucket, ids, counts, keys): the keys of each bucket with their owners in runs."""
+    b = (keys % U(buckets)).astype(np.int64)
+    order = np.argsort(b, kind="stable")
+    keys, own = keys[order], own[order]
+    cuts = np.searchsorted(b[order], np.arange(buckets + 1))
+    for i in range(buckets):
+        if cuts[i] < cuts[i + 1]:
+            who, count = np.unique(own[cuts[i] : cuts[i + 1]], return_counts=True)
+            yield i, ids[who].tobytes(), count.astype(np.int32).tobytes(), keys[cuts[i] : cuts[i + 1]].tobytes()
+
+
 def _survey(docs: DataFrame, k: int, tenths: int) -> DataFrame:
     """Rows (id, n, fp1, fp2) of documents and (id, seen): how many shingles of a document's wide window occur in other documents' too."""
     buckets = partitions(docs.sparkSession)
@@ -82,15 +95,9 @@ def _survey(docs: DataFrame, k: int, tenths: int) -> DataFrame:
             take = np.where(n > 0, np.minimum(n, n - least_common(n, tenths) + _extra(n)), 0)
             keys = np.concatenate([s[:t] for s, t in zip(sets, take.tolist())])
             own = np.repeat(np.arange(len(n)), take)
-            b = (keys % U(buckets)).astype(np.int64)
-            order = np.argsort(b, kind="stable")
-            keys, own, b = keys[order], own[order], b[order]
-            cuts = np.searchsorted(b, np.arange(buckets + 1))
-            for i in range(buckets):
-                if cuts[i] < cuts[i + 1]:
-                    who, count = np.unique(own[cuts[i] : cuts[i + 1]], return_counts=True)
-                    for name, v in zip(out, (1, i, ids[who].tobytes(), count.astype(np.int32).tobytes(), keys[cuts[i] : cuts[i + 1]].tobytes())):
-                        out[name].append(v)
+            for row in _packed(keys, own, ids, buckets):
+                for name, v in zip(out, (1, *row)):
+                    out[name].append(v)
             yield out
 
     def count(batches):
@@ -144,6 +151,54 @@ def _candidate_sets(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     return found.join(chosen, ["id", "fp1", "fp2"], "left_semi").dropDuplicates(["id"]).select("id", "n", "h")
 
 
+def _windows(sets: DataFrame, tenths: int) -> DataFrame:
+    """(id, n, alone, pivots): how many shingles of a set no other set has, and its window over the shingle pivots, rarest first.
+
+    Sets of which more are alone than a partner may lack are left out; they have no link.
+    """
+    buckets = partitions(sets.sparkSession)
+
+    def emit(batches):
+        for batch in batches:
+            h = batch.column(1)
+            values, offsets = np.asarray(h.flatten(), np.int64).view(U), np.concatenate([[0], np.cumsum(np.asarray(h.value_lengths(), np.int64))])
+            ids = _ids(batch)
+            for a in range(0, len(ids), 500):
+                b = min(len(ids), a + 500)
+                rows = list(_packed(values[offsets[a] : offsets[b]], np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1])), ids[a:b], buckets))
+                yield {k: [r[i] for r in rows] for i, k in enumerate(("bucket", "a", "b", "c"))}
+
+    def count(batches):
+        for _, group in grouped(batches):
+            own = np.concatenate([np.frombuffer(x, np.int64) for b in group for x in column(b, "a")])
+            runs = np.concatenate([np.frombuffer(x, np.int32) for b in group for x in column(b, "b")])
+            key = np.concatenate([np.frombuffer(x, U) for b in group for x in column(b, "c")])
+            _, back, df = np.unique(key, return_inverse=True, return_counts=True)
+            df = df[back]
+            who = np.repeat(own, runs)
+            shared = np.flatnonzero(df > 1)
+            shared = shared[np.argsort(who[shared], kind="stable")]
+            who, key, df = who[shared], key[shared], df[shared].astype(np.int32)
+            cut = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else np.zeros(0, np.int64)
+            ends = np.append(cut[1:], len(who))
+            yield {"id": who[cut], "k": [key[a:b].tobytes() for a, b in zip(cut, ends)], "f": [df[a:b].tobytes() for a, b in zip(cut, ends)]}
+
+    def choose(batches):
+        for batch in batches:
+            out = {k: [] for k in ("id", "n", "alone", "pivots")}
+            for i, n, ks, fs in zip(*(column(batch, x) for x in ("id", "n", "k", "f"))):
+                key, df = np.frombuffer(b"".join(ks), U), np.frombuffer(b"".join(fs), np.int32)
+                room = len(key) - least_common(n, tenths) + 1
+                if room > 0:
+                    for name, v in zip(out, (i, n, n - len(key), key[np.lexsort((key, df))[:room]].view(np.int64))):
+                        out[name].append(v)
+            yield out
+
+    packed = mapped(sets.select("id", "h"), emit, "bucket int, a binary, b binary, c binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    found = mapped(packed, count, "id long, k binary, f binary").groupBy("id").agg(F.collect_list(F.struct("k", "f")).alias("x"))
+    return mapped(found.join(sets.select("id", "n"), "id").select("id", "n", F.col("x.k").alias("k"), F.col("x.f").alias("f")), choose, "id long, n long, alone long, pivots array<long>")
+
+
 def _compare(pairs: DataFrame, sets: DataFrame, radius: float) -> DataFrame:
     """(a, b, far, near) of pairs: far is the distance, near whether it is within the radius. Adaptive execution splits a pivot with many partners."""
     x = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("h").alias("ha"))
@@ -155,12 +210,14 @@ def _compare(pairs: DataFrame, sets: DataFrame, radius: float) -> DataFrame:
 
 
 class _Join:
-    def __init__(self, sets: DataFrame, tenths: int, small: int, rounds: int):
-        self.sets, self.tenths, self.radius, self.small, self.rounds = sets, tenths, 1 - tenths / 100, small, rounds
+    def __init__(self, sets: DataFrame, windows: DataFrame, tenths: int, small: int, rounds: int):
+        self.sets, self.windows, self.tenths, self.radius, self.small, self.rounds = sets, windows, tenths, 1 - tenths / 100, small, rounds
         self.label = sets.select("id", F.col("id").alias("comp"))
 
-    def fits(self, a: str, b: str):
-        return 100 * F.least(a, b) >= self.tenths * F.greatest(a, b)
+    def fits(self):
+        """Whether two sets can be near at all: they have in common at most what neither has alone, and together that and what each has alone."""
+        common = F.least(F.col("na") - F.col("ua"), F.col("nb") - F.col("ub"))
+        return 100 * common >= self.tenths * F.greatest(F.col("na") + F.col("ub"), F.col("nb") + F.col("ua"))
 
     def link(self, near: DataFrame) -> None:
         """Join the components of linked pairs (a, b)."""
@@ -173,19 +230,19 @@ class _Join:
         self.label = materialize(at.join(moved, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), "label")
 
     def open_cells(self, cells: DataFrame) -> DataFrame:
-        """(cell, id, n, comp, size) of the cells that hold more than one component."""
-        rows = materialize(cells.select("cell", "id", "n").join(self.label, "id"), "cells")
+        """(cell, id, n, alone, comp, size) of the cells that hold more than one component."""
+        rows = materialize(cells.select("cell", "id", "n", "alone").join(self.label, "id"), "cells")
         some = rows.groupBy("cell").agg(F.count("*").alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("cell", "size")
         return materialize(rows.join(some, "cell"), "open")
 
     def pairs(self, rows: DataFrame) -> DataFrame:
         """Pairs of different components in a cell whose sizes allow a link."""
-        x = rows.select("cell", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        y = rows.select("cell", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        return x.join(y, "cell").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & self.fits("na", "nb")).select("a", "b").distinct()
+        x = rows.select("cell", F.col("id").alias("a"), F.col("n").alias("na"), F.col("alone").alias("ua"), F.col("comp").alias("ca"))
+        y = rows.select("cell", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("alone").alias("ub"), F.col("comp").alias("cb"))
+        return x.join(y, "cell").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & self.fits()).select("a", "b").distinct()
 
     def cells(self) -> DataFrame:
-        window = self.sets.select("id", "n", F.explode(F.expr(f"slice(h, 1, cast(n - ceil(n * {self.tenths} / 100) + 1 as int))")).alias("cell"))
+        window = self.windows.select("id", "n", "alone", F.explode("pivots").alias("cell"))
         window = materialize(window, "window")
         kinds = window.groupBy("cell").agg(F.count("*").alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum((F.xxhash64("id", F.lit(7)) / 4096).cast("long")).alias("s")).filter("m > 1")
         one = kinds.groupBy("m", "lo", "hi", "x", "s").agg(F.min("cell").alias("cell")).select("cell")
@@ -198,6 +255,7 @@ class _Join:
         home = home.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
         self.link(materialize(_compare(home, self.sets, self.radius).filter("near"), "home"))
         for r in range(self.rounds):
+            release(self.sets.sparkSession)
             rows = self.open_cells(cells)
             if rows.isEmpty():
                 return self.label
@@ -225,17 +283,19 @@ class _Join:
         at = at.filter("id <> p1 and id <> p2")
         at = at.join(to.select("id", F.col("p").alias("p1"), F.col("far").alias("d1")), ["id", "p1"]).join(to.select("id", F.col("p").alias("p2"), F.col("far").alias("d2")), ["id", "p2"])
         window = 2 * self.radius + 1e-9
-        at = materialize(at.select("cell", "id", "n", (F.col("d1") <= F.col("d2") + window).alias("in1"), (F.col("d2") <= F.col("d1") + window).alias("in2")), "regions")
+        at = materialize(at.select("cell", "id", "n", "alone", (F.col("d1") <= F.col("d2") + window).alias("in1"), (F.col("d2") <= F.col("d1") + window).alias("in2")), "regions")
         second = at.filter("in2 and not in1").select("cell").distinct()  # a second region without documents of its own would hold no new pair
-        left = at.filter("in1").select(F.xxhash64("cell", F.lit(2 * r)).alias("cell"), "id", "n")
-        right = at.filter("in2").join(second, "cell", "left_semi").select(F.xxhash64("cell", F.lit(2 * r + 1)).alias("cell"), "id", "n")
+        left = at.filter("in1").select(F.xxhash64("cell", F.lit(2 * r)).alias("cell"), "id", "n", "alone")
+        right = at.filter("in2").join(second, "cell", "left_semi").select(F.xxhash64("cell", F.lit(2 * r + 1)).alias("cell"), "id", "n", "alone")
         return materialize(left.union(right), "cells")
 
 
-def join(docs: DataFrame, id: str = "doc_id", text: str = "text", *, k: int = 5, percent: int = 75, small: int = 16, rounds: int = 5) -> DataFrame:
+def join(docs: DataFrame, id: str = "doc_id", text: str = "text", *, k: int = 5, percent: int = 75, small: int = 32, rounds: int = 4) -> DataFrame:
     """(id, n_shingles, component_id) of every document."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull())
     survey = materialize(_survey(rows, k, percent), "survey")
+    release(spark)
     meta = survey.filter("seen < 0").groupBy("id").agg(F.min(F.struct("fp1", "fp2", "n")).alias("x")).select("id", "x.*")
     meta = materialize(meta, "meta")
     classes = materialize(meta.filter("n > 0").groupBy("fp1", "fp2").agg(F.min("id").alias("rep"), F.count("*").alias("m")), "classes")
@@ -244,7 +304,10 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", *, k: int = 5,
     chosen = meta.join(seen, "id").filter(f"n > 0 and seen >= {least}").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "fp1", "fp2")
     chosen = materialize(chosen, "chosen")
     sets = materialize(_candidate_sets(rows, chosen, k), "sets")
-    label = _Join(sets, percent, small, rounds).run()
+    windows = materialize(_windows(sets, percent), "windows")
+    release(spark)
+    sets = materialize(sets.join(windows.select("id"), "id", "left_semi"), "sets")
+    label = _Join(sets, windows, percent, small, rounds).run()
     copies = classes.filter("m > 1").select("fp1", "fp2", "rep")
     out = meta.join(copies, ["fp1", "fp2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")))
     out = out.join(label.select(F.col("id").alias("rep"), "comp"), "rep", "left")
