@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit, decontaminate, langid, lm_score, ngram_join, pii, substring_dedup, token_output, url_filter
+from . import best_fit, decontaminate, embedding_dedup, langid, lm_score, ngram_join, pii, substring_dedup, token_output, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_language_id": langid.op7,
     "op8_substring_dedup": substring_dedup.op8,
     "op9_best_fit_packing": best_fit.op9,
+    "op10_embedding_near_dedup": embedding_dedup.op10,
 }
 
 ORACLE: dict[str, str] = {"op3_url_filter": url_filter.OP3_SQL}
