@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U, chunked, column, forget, grouped, mapped, materialize, mix, partitions, texts, window_hashes, word_hashes
+from ._common import U, chunked, column, forget, grouped, mapped, materialize, mix, partitions, release, texts, window_hashes, word_hashes
 from .url_filter import Bloom
 
 TOP = U(0xFFFFFFFFFFFFFFFF)
@@ -119,7 +119,7 @@ def _repeats(docs: DataFrame, size: int, k: int, blooms: list) -> DataFrame:
     buckets = partitions(docs.sparkSession)
 
     def emit(batches):
-        for batch in chunked(batches):
+        for batch in chunked(batches, limit=1_500_000):
             w = _Words(batch, size)
             _, at = w.survivors(k, [(n, b.value) for n, b in blooms])
             keys, n = np.unique(w.windows(k)[at], return_counts=True)
@@ -149,15 +149,18 @@ def _covered(docs: DataFrame, size: int, blooms: list) -> DataFrame:
     buckets = partitions(docs.sparkSession)
     half = size // 2
 
-    def by_document(out, ids, starts):
-        """Rows of starts, ids ascending."""
-        cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
-        for a, b in zip(cut, np.append(cut[1:], len(ids))):
-            out["id"].append(int(ids[a]))
-            out["starts"].append(starts[a:b].astype("<i4").tobytes())
+    def by_document(ids, starts):
+        """Starts packed for the documents' own buckets; ids ascending."""
+        out = {k: [] for k in ("part", "who", "starts")}
+        for i, own in _dealt((mix(ids.view(U)) % U(buckets)).astype(np.int64), buckets):
+            who, count = np.unique(ids[own], return_counts=True)
+            for name, v in zip(out, (i, who.tobytes() + count.tobytes(), starts[own].astype("<i4").tobytes())):
+                out[name].append(v)
+        none = [None] * len(out["part"])
+        return out | {k: none for k in ("id", "n", "fp1", "fp2")}
 
     def emit(batches):
-        for batch in chunked(batches):
+        for batch in chunked(batches, limit=1_500_000):
             w = _Words(batch, size)
             ids, n, fp = w.meta
             out = {"kind": [0], "bucket": [int(ids[0]) % buckets], "a": [ids.tobytes()], "b": [n.tobytes()], "c": [fp.tobytes()], "d": [b""]}
@@ -189,12 +192,10 @@ def _covered(docs: DataFrame, size: int, blooms: list) -> DataFrame:
                 if kind == 0:
                     fp = np.frombuffer(c, np.int64).reshape(-1, 2)
                     ids = np.frombuffer(a, np.int64)
-                    yield {"id": ids, "n": np.frombuffer(b, np.int64), "fp1": fp[:, 0], "fp2": fp[:, 1], "starts": [None] * len(ids)}
+                    none = [None] * len(ids)
+                    yield {"id": ids, "n": np.frombuffer(b, np.int64), "fp1": fp[:, 0], "fp2": fp[:, 1], "part": none, "who": none, "starts": none}
                 elif kind == 1:
-                    out = {"id": [], "starts": []}
-                    by_document(out, np.frombuffer(a, np.int64), np.frombuffer(b, "<i4"))
-                    none = [None] * len(out["id"])
-                    yield out | {"n": none, "fp1": none, "fp2": none}
+                    yield by_document(np.frombuffer(a, np.int64), np.frombuffer(b, "<i4"))
                 else:
                     who, count = np.frombuffer(a, np.int64).reshape(2, -1)
                     held.append((np.repeat(who, count), np.frombuffer(b, "<i4"), np.frombuffer(c, U), np.frombuffer(d, U)))
@@ -206,19 +207,38 @@ def _covered(docs: DataFrame, size: int, blooms: list) -> DataFrame:
                 lead = np.maximum.accumulate(np.where(later, 0, np.arange(len(a))))
                 later = np.flatnonzero(later & ((doc != doc[lead]) | (place != place[lead])))
                 later = later[np.lexsort((place[later], doc[later]))]
-                out = {"id": [], "starts": []}
-                by_document(out, doc[later], place[later])
-                none = [None] * len(out["id"])
-                yield out | {"n": none, "fp1": none, "fp2": none}
+                yield by_document(doc[later], place[later])
 
     rows = mapped(docs, emit, "kind int, bucket int, a binary, b binary, c binary, d binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return mapped(rows, decide, "id long, n long, fp1 long, fp2 long, starts binary")
+    return mapped(rows, decide, "id long, n long, fp1 long, fp2 long, part int, who binary, starts binary")
+
+
+def _by_document(found: DataFrame) -> DataFrame:
+    """(id, starts) with all starts of a document together."""
+    buckets = partitions(found.sparkSession)
+
+    def gather(batches):
+        for _, group in grouped(batches, "part"):
+            ids, starts = [], []
+            for batch in group:
+                for who, s in zip(column(batch, "who"), column(batch, "starts")):
+                    who, count = np.frombuffer(who, np.int64).reshape(2, -1)
+                    ids.append(np.repeat(who, count))
+                    starts.append(np.frombuffer(s, "<i4"))
+            ids, starts = np.concatenate(ids), np.concatenate(starts)
+            order = np.argsort(ids, kind="stable")
+            ids, starts = ids[order], starts[order]
+            cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            yield {"id": ids[cut], "starts": [starts[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(ids)))]}
+
+    rows = found.filter("part is not null").select("part", "who", "starts").repartition(buckets, "part").sortWithinPartitions("part")
+    return mapped(rows, gather, "id long, starts binary")
 
 
-def covered_words(n: int, starts: list[bytes], size: int) -> np.ndarray:
+def covered_words(n: int, starts: bytes, size: int) -> np.ndarray:
     """The mask of words that the windows at starts cover."""
     edge = np.zeros(n + 1, np.int64)
-    s = np.unique(np.frombuffer(b"".join(starts), "<i4"))
+    s = np.unique(np.frombuffer(starts, "<i4"))
     np.add.at(edge, s, 1)
     np.add.at(edge, s + size, -1)
     return np.cumsum(edge[:-1]) > 0
@@ -239,10 +259,11 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", *, size: int
         forget(keys)
         k *= 2
     found = materialize(_covered(rows, size, blooms), "covered")
+    release(spark)
     meta = found.filter("n is not null").select("id", "n", "fp1", "fp2")
     copies = materialize(meta.filter(f"n >= {size}").groupBy("fp1", "fp2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("fp1", "fp2", "first"), "copies")
     whole = meta.join(copies, ["fp1", "fp2"]).filter("id > first").select("id").distinct()
-    some = found.filter("starts is not null").groupBy("id").agg(F.collect_list("starts").alias("starts"))
+    some = _by_document(found)
     cut = materialize(some.join(whole.withColumn("gone", F.lit(True)), "id", "full").select("id", F.when(F.col("gone").isNull(), F.col("starts")).alias("starts"), F.coalesce("gone", F.lit(False)).alias("gone")), "cut")
     forget(found)
     said = spark.sparkContext.broadcast(Bloom.build(cut.select(F.col("id").cast("string").alias("key"))))
