@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import U, chunked, column, components, forget, grouped, mapped, materialize, mix, partitions, release, texts, window_hashes, word_hashes
@@ -314,5 +314,15 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", *, k: int = 5,
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs, all columns, with one document of each component: its smallest id. Rows without an id stay; of rows that repeat an id one stays."""
+    away = materialize(join(docs, id, text, **options).filter(F.col(id) != F.col("component_id")).select(F.col(id).alias("_away")), "away")
+    out = docs.join(away, docs[id] == away["_away"], "left_anti")
+    if not docs.filter(F.col(id).isNotNull()).groupBy(id).count().filter("count > 1").isEmpty():
+        rank = F.row_number().over(Window.partitionBy(id).orderBy(F.xxhash64(text), text))
+        out = out.withColumn("_rank", F.when(F.col(id).isNull(), 1).otherwise(rank)).filter("_rank = 1").drop("_rank")
+    return out
+
+
 def op1(spark, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
