@@ -1,12 +1,15 @@
 """Language-model scores by prediction by partial matching (PPM) over bytes.
 
-A text is its tokens (ASCII-lower-cased, cut at ASCII blanks), each followed by a blank byte, and an end byte. A byte is predicted
-from the up to `order` bytes before it, as far back as the blank that its token follows: the trie of contexts holds the counts of the
-bytes seen after each; a byte that the longest context has not seen costs an escape and is looked for in the next shorter one, where
-the bytes seen before are excluded; the last resort is uniform. A context seen T times with q different bytes gives a byte seen c
-times (2c-1)/2T and the escape q/2T.
-
-As contexts end at the token, a token costs the same everywhere, so the corpus is scored by its vocabulary: batches send their
+A text is its lines (cut at line feeds), a line its tokens (ASCII-lower-cased, cut at ASCII blanks), each followed by a blank byte, and
+a line's end. Contexts are tried from the longest to the shortest. The longest is the whole line so far: along a line of `long`
+tokens or more that training has seen, it predicts every byte, so such a line is coded at once, by its share of all lines; any other
+line costs that context's escape and is coded byte by byte. There a byte is predicted from the up to `order` bytes before it, as far
+back as the blank that its token follows: the trie of contexts holds the counts of the bytes seen after each; a byte that the longest
+context has not seen costs an escape and is looked for in the next shorter one, where the bytes seen before are excluded; the last
+resort is uniform. A context seen T times with q different bytes gives a byte seen c times (2c-1)/2T and the escape q/2T; the lines'
+escape is what leaving each training line out in turn gives. After each line comes whether the text ends.
+
+As byte contexts end at the token, a token costs the same everywhere, so the corpus is scored by its vocabulary: batches send their
 distinct tokens to the tokens' buckets, where training counts meet; the buckets' byte windows go to the contexts that they end in,
 where the trie is counted and the code length of every window is found; answers travel back the same way. All of it grows with the
 corpus and is spread over all tasks: the only tables sent to every task are those of orders 0 and 1, of at most 65,536 entries.
@@ -21,20 +24,21 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U, chunked, column, grouped, mapped, materialize, mix, partitions, texts
+from ._common import U, chunked, column, grouped, mapped, materialize, mix, partitions, release, texts
 
-BLANK, END = 32, 10
+BLANK, END = 32, 10  # END ends a line
+LONG = 4
 
 
 class Trie:
     """PPM of one process: pretrained by learn(), or adaptive, where every byte is learned after it is scored."""
 
-    def __init__(self, order: int = 4):
+    def __init__(self, order: int = 6):
         self.order, self.seen = order, {}
 
     def _contexts(self, past: bytes):
@@ -60,22 +64,34 @@ class Trie:
         return out - math.log10(256 - len(excluded))
 
     @staticmethod
-    def symbols(text: bytes):
-        """(bytes before it in its token, byte) of each byte of a text."""
-        for w in text.lower().split():
+    def symbols(tokens: list[bytes]):
+        """(bytes before it in its token, byte) of each byte of a line."""
+        for w in tokens:
             s = bytes([BLANK]) + w + bytes([BLANK])
             yield from ((s[:i], s[i]) for i in range(1, len(s)))
         yield bytes([BLANK]), END
 
     def score(self, text: bytes, adaptive: bool = False) -> float:
+        """log10 probability of a text by its bytes alone, without lines' contexts."""
         total = 0.0
-        for past, symbol in self.symbols(text):
-            total += self.log10(past, symbol)
-            if adaptive:
-                self.learn(past, symbol)
+        for line in text.lower().split(b"\n"):
+            for past, symbol in self.symbols(line.split()):
+                total += self.log10(past, symbol)
+                if adaptive:
+                    self.learn(past, symbol)
         return total
 
 
+def lines(text: bytes) -> list[list[bytes]]:
+    """Tokens of the lines of a text, lower-cased; a text without tokens is one line."""
+    return [x for x in (line.split() for line in text.lower().split(b"\n")) if x] or [[]]
+
+
+def line_key(tokens: list[bytes]) -> bytes:
+    """A long line's name in the vocabulary; no token starts with a line feed."""
+    return b"\n" + xxhash.xxh3_128_hexdigest(b" ".join(tokens)).encode()[:24]
+
+
 def windows(tokens: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """The windows (`order` bytes of context, zeros before the token's blank, and a byte) of all tokens, and each token's number of windows."""
     pad = b"\0" * (order - 1) + bytes([BLANK])
@@ -154,13 +170,18 @@ def code_lengths(g: np.ndarray, known: np.ndarray, counts: np.ndarray, low: tupl
     return out
 
 
+def line_escape(lines_: int, long_: int, once: int) -> float:
+    """The probability that a line is not coded as a whole: lines that are short or that training saw once, of all lines."""
+    return (lines_ - long_ + once + 0.5) / (lines_ + 1)
+
+
 class _Vocabulary(dict):
     def __missing__(self, token: bytes) -> int:
         self[token] = n = len(self)
         return n
 
 
-def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *, order: int = 4, batch_bytes: int = 24_000_000) -> DataFrame:
+def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *, order: int = 6, batch_bytes: int = 24_000_000) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; the model learns from rows that are not held out.
 
     order: bytes of context, 2 to 7.
@@ -170,17 +191,15 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *,
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), held_out.alias("held"))
 
-    def flush(batch_no, vocabulary, train, docs_):
+    def flush(batch_no, vocabulary, docs_):
         tokens = list(vocabulary)
         n = len(tokens)
         count = np.zeros(n, np.int64)
-        for k, held, ids in docs_:
-            yield {"kind": "D", "batch": batch_no, "bucket": -1, "id": k, "held": held, "a": ids.tobytes(), "b": b"", "c": b""}
-        for ids in train:
-            np.add.at(count, ids, 1) if len(ids) < 64 else np.add(count, np.bincount(ids, minlength=n), out=count)
+        for k, held, ids, own, sizes in docs_:
+            yield {"kind": "D", "batch": batch_no, "bucket": -1, "id": k, "held": held, "a": ids.tobytes(), "b": own.tobytes(), "c": sizes.tobytes()}
+        if taught := [x for _, held, ids, own, _ in docs_ if not held for x in (ids, own[own >= 0])]:
+            count = np.bincount(np.concatenate(taught), minlength=n)
         if n:
-            import xxhash
-
             b = (np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), U, n) % U(buckets)).astype(np.int64)
             at = np.argsort(b, kind="stable")
             cuts = np.searchsorted(b[at], np.arange(buckets + 1))
@@ -199,14 +218,16 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *,
 
         for batch in chunked(batches):
             for k, t, held in zip(column(batch, "id"), texts(batch), column(batch, "held")):
-                ws = t.lower().split()
-                docs_.append((k, held, np.fromiter(map(vocabulary.__getitem__, ws), np.int32, len(ws))))
+                cut_ = lines(t)
+                ws = [w for x in cut_ for w in x]
+                own = np.array([vocabulary[line_key(x)] if len(x) >= LONG else -1 for x in cut_], np.int32)
+                docs_.append((k, held, np.fromiter(map(vocabulary.__getitem__, ws), np.int32, len(ws)), own, np.array([len(x) for x in cut_], np.int32)))
                 size += len(t)
             if size >= batch_bytes:
-                yield from out(flush(batch_no, vocabulary, [x for _, h, x in docs_ if not h], docs_))
+                yield from out(flush(batch_no, vocabulary, docs_))
                 batch_no, vocabulary, docs_, size = batch_no + 1, _Vocabulary(), [], 0
         if docs_:
-            yield from out(flush(batch_no, vocabulary, [x for _, h, x in docs_ if not h], docs_))
+            yield from out(flush(batch_no, vocabulary, docs_))
 
     schema = f"kind string, batch long, bucket int, id {kind}, held boolean, a binary, b binary, c binary"
     table = materialize(mapped(rows, read, schema), "tokens")
@@ -222,20 +243,29 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *,
                     places.append((no, b, at))
                     count.append(np.frombuffer(c, np.int64))
             total = np.bincount(np.concatenate([x[2] for x in places]), np.concatenate(count), len(vocabulary)).astype(np.int64)
-            yield {"kind": ["V"], "bucket": [bucket], "batch": [-1], "a": [b" ".join(vocabulary)], "b": [total.tobytes()], "tokens": [int(total.sum())], "kinds": [int((total > 0).sum())]}
-            yield {"kind": ["Q"] * len(places), "bucket": [bucket] * len(places), "batch": [x[0] for x in places], "a": [x[1] for x in places], "b": [x[2].tobytes() for x in places], "tokens": [0] * len(places), "kinds": [0] * len(places)}
-
-    words = materialize(mapped(asked, merge, "kind string, bucket int, batch long, a binary, b binary, tokens long, kinds long"), "words")
-    told = words.agg(F.sum("tokens"), F.sum("kinds")).first()
-    ends = table.filter("kind = 'D' and not held").count()
-    n_train, v_train = (told[0] or 0) + ends, (told[1] or 0) + (ends > 0)
+            line = np.fromiter((w[0] == END for w in vocabulary), bool, len(vocabulary))
+            said_ = {"tokens": int(total[~line].sum()), "kinds": int((total[~line] > 0).sum()), "lines": int(total[line].sum()), "once": int((total[line] == 1).sum())}
+            yield {"kind": ["V"], "bucket": [bucket], "batch": [-1], "a": [b" ".join(vocabulary)], "b": [total.tobytes()]} | {k: [v] for k, v in said_.items()}
+            yield {"kind": ["Q"] * len(places), "bucket": [bucket] * len(places), "batch": [x[0] for x in places], "a": [x[1] for x in places], "b": [x[2].tobytes() for x in places]} | {k: [0] * len(places) for k in said_}
+
+    words = materialize(mapped(asked, merge, "kind string, bucket int, batch long, a binary, b binary, tokens long, kinds long, lines long, once long"), "words")
+    release(spark)
+    told = words.agg(*[F.coalesce(F.sum(k), F.lit(0)) for k in ("tokens", "kinds", "lines", "once")]).first()
+    ends, all_lines = table.filter("kind = 'D' and not held").agg(F.count("*"), F.coalesce(F.sum((F.octet_length("c") / 4).cast("long")), F.lit(0))).first()
+    escape = line_escape(all_lines, told[2], told[3])
+    line_bytes = all_lines - told[2] + told[3]  # lines that were coded by bytes when they were new
+    n_train, v_train = told[0] + ends, told[1] + (ends > 0)
     end_window = U(BLANK << 8 | END)
 
     def cut(batches):
         for batch in batches:
             for bucket, a, b in zip(*(column(batch, x) for x in ("bucket", "a", "b"))):
-                g, n = windows(a.split(b" "), order)
-                keys, count = _aggregate(g, np.repeat(np.frombuffer(b, np.int64), n))
+                ws, total = a.split(b" "), np.frombuffer(b, np.int64)
+                own = [i for i, w in enumerate(ws) if w[0] != END]
+                if not own:
+                    continue
+                g, n = windows([ws[i] for i in own], order)
+                keys, count = _aggregate(g, np.repeat(total[own], n))
                 part = (mix((keys >> U(8)) & U(0xFFFF)) % U(buckets)).astype(np.int64)
                 at = np.argsort(part, kind="stable")
                 cuts = np.searchsorted(part[at], np.arange(buckets + 1))
@@ -246,15 +276,16 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *,
     cuts_ = materialize(mapped(words.filter("kind = 'V'").select("bucket", "a", "b"), cut, "part int, bucket int, keys binary, count binary"), "windows")
 
     def lows(batches):
+        keys, count = np.zeros(0, U), np.zeros(0)
         for batch in batches:
             for k, c in zip(column(batch, "keys"), column(batch, "count")):
-                keys, count = _aggregate(_low(np.frombuffer(k, U), 1), np.frombuffer(c, np.int64))
-                yield {"key": keys.astype(np.int64), "n": count.astype(np.int64)}
+                keys, count = _aggregate(np.concatenate([keys, _low(np.frombuffer(k, U), 1)]), np.concatenate([count, np.frombuffer(c, np.int64)]))
+        yield {"key": keys.astype(np.int64), "n": count.astype(np.int64)}
 
     low = mapped(cuts_, lows, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 0").toPandas()  # two bytes: 65,536 rows at most
     low_keys, low_counts = low["key"].to_numpy(np.int64).astype(U), low["n"].to_numpy(np.float64)
-    if ends:
-        low_keys, low_counts = _aggregate(np.append(low_keys, end_window), np.append(low_counts, float(ends)))
+    if line_bytes:
+        low_keys, low_counts = _aggregate(np.append(low_keys, end_window), np.append(low_counts, float(line_bytes)))
     said = spark.sparkContext.broadcast((low_keys, low_counts))
 
     def price(batches):
@@ -264,14 +295,14 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *,
             all_keys, count = _aggregate(np.concatenate(keys), np.concatenate([np.frombuffer(x, np.int64) for b in group for x in column(b, "count")]))
             known = count > 0
             k, c = all_keys[known], count[known]
-            if ends and int(mix(np.array([BLANK], U))[0] % U(buckets)) == part:
-                k, c = _aggregate(np.append(k, end_window), np.append(c, float(ends)))
+            if line_bytes and int(mix(np.array([BLANK], U))[0] % U(buckets)) == part:
+                k, c = _aggregate(np.append(k, end_window), np.append(c, float(line_bytes)))
             p = code_lengths(all_keys, k, c, said.value, order)
             yield {"kind": ["R"] * len(who), "bucket": who, "batch": [part] * len(who), "a": [x.tobytes() for x in keys], "b": [p[np.searchsorted(all_keys, x)].tobytes() for x in keys]}
 
     priced = mapped(cuts_.repartition(buckets, "part").sortWithinPartitions("part"), price, "kind string, bucket int, batch long, a binary, b binary")
 
-    # the end's own code length, from the windows that share its context
+    # a line end's own code length, from the windows that share its context
     start_part = int(mix(np.array([BLANK], U))[0] % U(buckets))
 
     def end_price(batches):
@@ -287,8 +318,8 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *,
 
     starts = mapped(cuts_.filter(F.col("part") == start_part), end_price, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 0").toPandas()  # the 256 bytes after a blank
     k, c = starts["key"].to_numpy(np.int64).astype(U), starts["n"].to_numpy(np.float64)
-    if ends:
-        k, c = _aggregate(np.append(k, end_window), np.append(c, float(ends)))
+    if line_bytes:
+        k, c = _aggregate(np.append(k, end_window), np.append(c, float(line_bytes)))
     end_score = float(code_lengths(np.array([end_window], U), k, c, (low_keys, low_counts), order)[0])
 
     def answer(batches):
@@ -303,14 +334,16 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *,
                         tokens, count = a.split(b" "), np.frombuffer(b, np.int64)
                     else:
                         questions.append((no, a, np.frombuffer(b, np.int32)))
-            key, price_ = np.concatenate(keys), np.concatenate(prices)
+            key, price_ = np.concatenate([np.zeros(0, U), *keys]), np.concatenate([np.zeros(0), *prices])
             at = np.argsort(key)
             key, price_ = key[at], price_[at]
             value = np.zeros(len(tokens))
-            for i in range(0, len(tokens), 100_000):
-                g, n = windows(tokens[i : i + 100_000], order)
+            words_ = np.array([i for i, w in enumerate(tokens) if w[0] != END], np.int64)
+            for i in range(0, len(words_), 100_000):
+                own = words_[i : i + 100_000]
+                g, n = windows([tokens[j] for j in own.tolist()], order)
                 edge = np.concatenate([[0], np.cumsum(n)])[:-1]
-                value[i : i + len(n)] = np.add.reduceat(price_[np.searchsorted(key, g)], edge)
+                value[own] = np.add.reduceat(price_[np.searchsorted(key, g)], edge)
             for no, local, at in questions:
                 yield {"kind": ["A"], "batch": [no], "id": [None], "held": [None], "a": [local], "b": [count[at].tobytes()], "c": [value[at].tobytes()]}
 
@@ -318,6 +351,7 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *,
     answers = mapped(ask, answer, f"kind string, batch long, id {kind}, held boolean, a binary, b binary, c binary")
     floor = n_train + 0.5 * (v_train + 1)
     end_base = math.log10((ends + 0.5) / floor)
+    stop = (ends + 0.5) / (all_lines + 1)
 
     def total(batches):
         for _, group in grouped(batches, "batch"):
@@ -335,10 +369,19 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *,
                         n, v = np.zeros(len(at), np.int64), np.zeros(len(at))
                         n[at], v[at] = np.concatenate(count), np.concatenate(value)
                         base = np.log10((n + 0.5) / floor)
-                        held, local = [n > 0, base, v], []
-                    ids = np.frombuffer(a, np.int32)
-                    known, base_, score_ = (int(held[0][ids].sum()), float(held[1][ids].sum()), float(held[2][ids].sum())) if len(ids) else (0, 0.0, 0.0)
-                    for name, x in zip(out, (k, h, len(ids) + 1, known + (ends > 0), n_train, base_ + end_base, score_ + end_score)):
+                        held, local = [n > 0, base, v, n], []
+                    ids, own, sizes = (np.frombuffer(x, np.int32) for x in (a, b, c))
+                    known, base_ = (int(held[0][ids].sum()), float(held[1][ids].sum())) if len(ids) else (0, 0.0)
+                    by_bytes = np.full(len(own), end_score)
+                    if len(ids):
+                        full = sizes > 0
+                        by_bytes[full] += np.add.reduceat(held[2][ids], (np.cumsum(sizes) - sizes)[full])
+                    by_bytes += math.log10(escape)
+                    seen = np.zeros(len(own), np.int64)
+                    seen[own >= 0] = held[3][own[own >= 0]] if len(ids) else 0
+                    line = np.where(seen > 0, math.log10(1 - escape) + np.log10(np.maximum(seen, 1) / max(told[2], 1)), by_bytes)
+                    score_ = float(line.sum()) + math.log10(stop) + (len(own) - 1) * math.log10(1 - stop)
+                    for name, x in zip(out, (k, h, len(ids) + 1, known + (ends > 0), n_train, base_ + end_base, score_)):
                         out[name].append(x)
                 yield out
 
@@ -347,7 +390,7 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *,
     return out.withColumnRenamed("id", id)
 
 
-def adaptive(docs: DataFrame, id: str = "doc_id", text: str = "text", *, order: int = 4) -> DataFrame:
+def adaptive(docs: DataFrame, id: str = "doc_id", text: str = "text", *, order: int = 6) -> DataFrame:
     """(id, score) with a trie of each document's own, learned byte by byte as it is scored."""
     kind = docs.schema[id].dataType.simpleString()
 
