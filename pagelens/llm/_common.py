@@ -117,14 +117,41 @@ def window_hashes(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
+def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n, the smallest number in its component over edges (a, b)."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+        keep = label[a] != label[b]
+        a, b = a[keep], b[keep]
+    return label
+
+
+def _one_task(batches):
+    a, b = [], []
+    for batch in batches:
+        a.append(np.asarray(batch.column(0), np.int64))
+        b.append(np.asarray(batch.column(1), np.int64))
+    if a:
+        a, b = np.concatenate(a), np.concatenate(b)
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        yield {"id": ids, "component": ids[labels(len(ids), at[: len(a)], at[len(a) :])]}
+
+
+def components(edges: DataFrame, one_task: int = 500_000) -> DataFrame:
     """Connected components of edges (a, b) of long ids: (id, component) with the smallest id of each; only ids on edges.
 
-    Alternating large-star and small-star contraction, entirely in DataFrame operations: every round halves distances, and its
+    Up to `one_task` edges, a checked number, are one task's work. More take alternating large-star and small-star contraction, entirely in DataFrame operations: every round halves distances, and its
     table goes to the shared folder, so a lost executor repeats one round. Joins may be split by adaptive execution where one id
     has very many neighbours; no component is ever gathered in one place.
     """
     cur = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
+    if cur.count() <= one_task:
+        return materialize(mapped(cur.coalesce(1), _one_task, "id long, component long"), "components")
     before = None
     while True:
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -12,7 +12,7 @@ what is left of the cells:
 3. Each class is compared with the pivot of its first cell; links join components. A cell within one component is done.
 4. Small cells compare what is left of them. In a large one, two pivot documents divide the others into Voronoi regions; a document that
    is no more than twice the radius farther from the other pivot lies in both, so that any linked pair shares a region; regions
-   are cells again. After `rounds` the pairs left over are compared directly, across components only.
+   are cells again. After `rounds` of this, what is left is compared in pairs of blocks, across components only.
 
 Only spanning links are kept, so that a group of copies costs as many rows as it has members. Nothing is gathered in one place.
 
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import U, chunked, column, components, forget, grouped, mapped, materialize, mix, partitions, release, texts, window_hashes, word_hashes
+from ._common import U, chunked, column, components, grouped, labels, mapped, materialize, mix, partitions, release, texts, window_hashes, word_hashes
 from .url_filter import Bloom
 
 #: Share of a set, beyond the window that one common shingle needs, in which partners must meet again and again.
@@ -179,24 +179,55 @@ def _windows(sets: DataFrame, tenths: int) -> DataFrame:
             shared = np.flatnonzero(df > 1)
             shared = shared[np.argsort(who[shared], kind="stable")]
             who, key, df = who[shared], key[shared], df[shared].astype(np.int32)
-            cut = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else np.zeros(0, np.int64)
-            ends = np.append(cut[1:], len(who))
-            yield {"id": who[cut], "k": [key[a:b].tobytes() for a, b in zip(cut, ends)], "f": [df[a:b].tobytes() for a, b in zip(cut, ends)]}
+            out = {k: [] for k in ("part", "a", "b", "c")}
+            part = (mix(who.view(U)) % U(buckets)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(buckets + 1))
+            for i in range(buckets):
+                if cuts[i] < cuts[i + 1]:
+                    x = order[cuts[i] : cuts[i + 1]]
+                    for name, v in zip(out, (i, who[x].tobytes(), key[x].tobytes(), df[x].tobytes())):
+                        out[name].append(v)
+            yield out
 
     def choose(batches):
-        for batch in batches:
+        for _, group in grouped(batches, "part"):
+            who, key, df, size = [], [], [], {}
+            for batch in group:
+                for n, a, b, c in zip(*(column(batch, x) for x in ("n", "a", "b", "c"))):
+                    if n is not None:
+                        size.update(zip(np.frombuffer(a, np.int64).tolist(), np.frombuffer(b, np.int64).tolist()))
+                    else:
+                        who.append(np.frombuffer(a, np.int64))
+                        key.append(np.frombuffer(b, U))
+                        df.append(np.frombuffer(c, np.int32))
+            if not who:
+                continue
+            who, key, df = np.concatenate(who), np.concatenate(key), np.concatenate(df)
+            order = np.lexsort((key, df, who))
+            who, key = who[order], key[order]
+            cut = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
             out = {k: [] for k in ("id", "n", "alone", "pivots")}
-            for i, n, ks, fs in zip(*(column(batch, x) for x in ("id", "n", "k", "f"))):
-                key, df = np.frombuffer(b"".join(ks), U), np.frombuffer(b"".join(fs), np.int32)
-                room = len(key) - least_common(n, tenths) + 1
+            for x, y in zip(cut.tolist(), np.append(cut[1:], len(who)).tolist()):
+                n = size[int(who[x])]
+                room = y - x - least_common(n, tenths) + 1
                 if room > 0:
-                    for name, v in zip(out, (i, n, n - len(key), key[np.lexsort((key, df))[:room]].view(np.int64))):
+                    for name, v in zip(out, (int(who[x]), n, n - (y - x), key[x : x + room].view(np.int64))):
                         out[name].append(v)
             yield out
 
+    def sizes(batches):
+        for batch in batches:
+            ids, n = _ids(batch), np.asarray(batch.column(1), np.int64)
+            part = (mix(ids.view(U)) % U(buckets)).astype(np.int64)
+            some = np.unique(part).tolist()
+            yield {"part": some, "n": [1] * len(some), "a": [ids[part == i].tobytes() for i in some], "b": [n[part == i].tobytes() for i in some], "c": [b""] * len(some)}
+
     packed = mapped(sets.select("id", "h"), emit, "bucket int, a binary, b binary, c binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = mapped(packed, count, "id long, k binary, f binary").groupBy("id").agg(F.collect_list(F.struct("k", "f")).alias("x"))
-    return mapped(found.join(sets.select("id", "n"), "id").select("id", "n", F.col("x.k").alias("k"), F.col("x.f").alias("f")), choose, "id long, n long, alone long, pivots array<long>")
+    schema = "part int, n int, a binary, b binary, c binary"
+    found = mapped(packed, count, "part int, a binary, b binary, c binary").select("part", F.lit(None).cast("int").alias("n"), "a", "b", "c")
+    both = found.union(mapped(sets.select("id", "n"), sizes, schema)).repartition(buckets, "part").sortWithinPartitions("part")
+    return mapped(both, choose, "id long, n long, alone long, pivots array<long>")
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, radius: float) -> DataFrame:
@@ -209,6 +240,44 @@ def _compare(pairs: DataFrame, sets: DataFrame, radius: float) -> DataFrame:
     return out.select("a", "b", (1 - F.col("both") / either).alias("far"), (100 * F.col("both") >= round(100 * (1 - radius)) * either).alias("near"))
 
 
+def _middle(r: int):
+    """Order of pivots: sets with the least of their own lie in the middle of a group of near copies and reach most of it."""
+    return F.struct(F.col("alone") / F.col("n"), F.xxhash64("id", F.lit(r)))
+
+
+def _block_links(percent: int, columns: int = 4096):
+    """A spanning forest of the links between sets of different components in one group, from dense products over shared shingles."""
+
+    def run(group):
+        import pyarrow as pa
+
+        ids, comp = np.asarray(group["id"].combine_chunks(), np.int64), np.asarray(group["comp"].combine_chunks(), np.int64)
+        h = group["h"].combine_chunks()
+        n = np.asarray(h.value_lengths(), np.int64)
+        keys, at, df = np.unique(np.asarray(h.flatten(), np.int64), return_inverse=True, return_counts=True)
+        own = np.repeat(np.arange(len(ids)), n)
+        shared = df > 1
+        place = np.cumsum(shared) - 1
+        keep = shared[at]
+        own, at = own[keep], place[at[keep]]
+        order = np.argsort(at, kind="stable")
+        own, at = own[order], at[order]
+        both = np.zeros((len(ids), len(ids)), np.float32)
+        for low in range(0, int(shared.sum()), columns):
+            x, y = np.searchsorted(at, (low, low + columns))
+            m = np.zeros((len(ids), columns), np.float32)
+            m[own[x:y], at[x:y] - low] = 1
+            both += m @ m.T  # counts stay below 2**24, where single precision is exact
+        i, j = np.nonzero((100 * both >= percent * (n[:, None] + n[None, :] - both) - 1e-3) & (comp[:, None] != comp[None, :]))
+        exact = both[i, j].astype(np.int64)
+        sure = 100 * exact >= percent * (n[i] + n[j] - exact)
+        label = labels(len(ids), i[sure], j[sure])
+        linked = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({"a": ids[linked], "b": ids[label[linked]]})
+
+    return run
+
+
 class _Join:
     def __init__(self, sets: DataFrame, windows: DataFrame, tenths: int, small: int, rounds: int):
         self.sets, self.windows, self.tenths, self.radius, self.small, self.rounds = sets, windows, tenths, 1 - tenths / 100, small, rounds
@@ -250,37 +319,59 @@ class _Join:
 
     def run(self) -> DataFrame:
         cells = self.cells()
-        pivot = cells.groupBy("cell").agg(F.min_by("id", F.xxhash64("id")).alias("p"))
-        home = cells.join(pivot, "cell").filter("id <> p").groupBy("id").agg(F.min_by("p", F.xxhash64("p")).alias("p"))
+        pivot = cells.groupBy("cell").agg(F.min_by(F.struct("id", _middle(0).alias("rank")), _middle(0)).alias("p")).select("cell", "p.*").withColumnRenamed("id", "p")
+        home = cells.select("cell", "id").join(pivot, "cell").filter("id <> p").groupBy("id").agg(F.min_by("p", "rank").alias("p"))
         home = home.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
         self.link(materialize(_compare(home, self.sets, self.radius).filter("near"), "home"))
         for r in range(self.rounds):
             release(self.sets.sparkSession)
             rows = self.open_cells(cells)
-            if rows.isEmpty():
+            most = rows.agg(F.max("size")).first()[0]
+            if most is None:
                 return self.label
-            few = rows.filter(F.col("size") <= self.small)
-            self.link(materialize(_compare(self.pairs(few), self.sets, self.radius).filter("near"), "near"))
-            many = rows.filter(F.col("size") > self.small)
-            if many.isEmpty():
+            few, many = rows.filter(F.col("size") <= self.small), rows.filter(F.col("size") > self.small)
+            pairs, pivots = self.pairs(few), None
+            if most > self.small:
+                pivots = self.pivots(many, r)
+                each = many.join(pivots, "cell").select("id", F.explode(F.array("p1", "p2")).alias("p")).filter("id <> p")
+                pairs = pairs.union(each.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))).distinct()
+            seen = materialize(_compare(pairs, self.sets, self.radius), "seen")
+            self.link(seen.filter("near"))
+            if pivots is None:
                 return self.label
-            cells = self.split(many, r)
-        left = self.open_cells(cells)
-        self.link(materialize(_compare(self.pairs(left), self.sets, self.radius).filter("near"), "near"))
+            cells = self.regions(many, pivots, seen, r)
+        self.settle(self.open_cells(cells))
         return self.label
 
-    def split(self, rows: DataFrame, r: int) -> DataFrame:
-        """Voronoi regions of two pivots in every cell, with windows of twice the radius; the pivots' own links are joined on the way."""
-        rank = F.xxhash64("id", F.lit(r))
+    def settle(self, left: DataFrame, block: int = 1024) -> None:
+        """Compare what is left of cells as wholes, across components, in pairs of blocks of about `block` sets.
+
+        Cells that share documents form a region; it is taken as one where that means fewer comparisons than its cells do.
+        """
+        if left.isEmpty():
+            return
+        whole = components(left.select(F.col("id").alias("a"), F.col("cell").alias("b"))).select(F.col("id").alias("cell"), F.col("component").alias("region"))
+        rows = materialize(left.join(whole, "cell"), "left")
+        cost = rows.groupBy("region").agg(F.countDistinct("id").alias("k"), F.sum("size").alias("s"))  # a cell of m rows adds m times m
+        rows = rows.join(cost, "region").withColumn("key", F.when(F.col("k") * F.col("k") <= F.col("s"), F.col("region")).otherwise(F.col("cell")))
+        rows = materialize(rows.select("key", "id", "comp").distinct(), "keys")
+        blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("key", "blocks")
+        at = rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        at = at.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "comp").join(self.sets.select("id", "h"), "id")
+        near = at.groupBy("key", "lo", "hi").applyInArrow(_block_links(self.tenths), "a long, b long")
+        self.link(materialize(near, "near"))
+
+    def pivots(self, rows: DataFrame, r: int) -> DataFrame:
+        """(cell, p1, p2): two documents of different components in every cell."""
+        rank = _middle(r)
         p1 = rows.groupBy("cell").agg(F.min_by(F.struct("id", "comp"), rank).alias("p1"))
         p2 = rows.join(p1, "cell").filter("comp <> p1.comp").groupBy("cell").agg(F.min_by("id", rank).alias("p2"))
-        pivots = materialize(p1.join(p2, "cell").select("cell", F.col("p1.id").alias("p1"), "p2"), "pivots")
-        at = rows.join(pivots, "cell")
-        each = at.select("id", F.explode(F.array("p1", "p2")).alias("p")).filter("id <> p").distinct()
-        seen = materialize(_compare(each.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct(), self.sets, self.radius), "far")
-        self.link(seen.filter("near"))
+        return materialize(p1.join(p2, "cell").select("cell", F.col("p1.id").alias("p1"), "p2"), "pivots")
+
+    def regions(self, rows: DataFrame, pivots: DataFrame, seen: DataFrame, r: int) -> DataFrame:
+        """Voronoi regions of two pivots in every cell, with windows of twice the radius; the pivots themselves have met all others."""
         to = seen.select(F.col("a").alias("id"), F.col("b").alias("p"), "far").union(seen.select(F.col("b").alias("id"), F.col("a").alias("p"), "far"))
-        at = at.filter("id <> p1 and id <> p2")
+        at = rows.join(pivots, "cell").filter("id <> p1 and id <> p2")
         at = at.join(to.select("id", F.col("p").alias("p1"), F.col("far").alias("d1")), ["id", "p1"]).join(to.select("id", F.col("p").alias("p2"), F.col("far").alias("d2")), ["id", "p2"])
         window = 2 * self.radius + 1e-9
         at = materialize(at.select("cell", "id", "n", "alone", (F.col("d1") <= F.col("d2") + window).alias("in1"), (F.col("d2") <= F.col("d1") + window).alias("in2")), "regions")
@@ -290,7 +381,7 @@ class _Join:
         return materialize(left.union(right), "cells")
 
 
-def join(docs: DataFrame, id: str = "doc_id", text: str = "text", *, k: int = 5, percent: int = 75, small: int = 32, rounds: int = 4) -> DataFrame:
+def join(docs: DataFrame, id: str = "doc_id", text: str = "text", *, k: int = 5, percent: int = 75, small: int = 32, rounds: int = 2) -> DataFrame:
     """(id, n_shingles, component_id) of every document."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull())
