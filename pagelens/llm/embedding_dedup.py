@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U, column, components, grouped, mapped, materialize, mix, partitions
+from ._common import U, column, components, grouped, labels, mapped, materialize, mix, partitions
 
 LEAF, SLACK = 48, 1e-9
 
@@ -70,14 +70,19 @@ class CoverTree:
             if end - start <= self.leaf or self.radius[node] < 1e-12:
                 continue
             r = min(r, self.radius[node] / 2)
-            rows, groups = self.order[start:end], []
-            while len(rows):  # a net: centres more than r apart, every row within r of the first centre that holds it
+            rows, groups, rest = self.order[start:end], [], []
+            for _ in range(64):  # a net: centres more than r apart, every row within r of the first centre that holds it
                 near = self._far(rows[0], rows) <= r
-                groups.append(rows[near])
+                (groups if near.sum() >= self.leaf // 3 else rest).append(rows[near])
                 rows = rows[~near]
-                if len(groups) >= 64 and len(rows):  # no structure at this radius: the rest is one child
-                    groups.append(rows)
+                if not len(rows):
                     break
+            if len(rows) or rest:  # no structure at this radius: the rest is one child without children
+                rest = np.concatenate([*rest, rows])
+                closed = len(self.centre) + len(groups)
+                groups.append(rest)
+            else:
+                closed = -1
             at = start
             for g in groups:
                 self.order[at : at + len(g)] = g
@@ -85,27 +90,13 @@ class CoverTree:
                 self.children[node].append(child)
                 at += len(g)
             if len(groups) > 1:
-                todo += [(c, r / 2) for c in self.children[node]]
+                todo += [(c, r / 2) for c in self.children[node] if c != closed]
             else:
+                for a in (self.centre, self.radius, self.span, self.children):
+                    a.pop()
                 self.children[node] = []
-                todo.append((node, r / 2)) if r > 1e-9 else None
-
-
-def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index of each one's component over edges (a, b)."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        while not np.array_equal(label, label[label]):
-            label = label[label]
-        keep = label[a] != label[b]
-        a, b = a[keep], b[keep]
-        if np.array_equal(before, label) and not len(a):
-            break
-    return label
+                if closed < 0 and r > 1e-9:
+                    todo.append((node, r / 2))
 
 
 def dual(p: CoverTree, q: CoverTree, wp: np.ndarray, wq: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,7 +114,7 @@ def dual(p: CoverTree, q: CoverTree, wp: np.ndarray, wq: np.ndarray, least: floa
         eb.append(b + n)
         held += len(a)
         if held > 2_000_000:  # only a spanning forest is kept
-            label = _labels(n + len(q.x), np.concatenate(ea), np.concatenate(eb))
+            label = labels(n + len(q.x), np.concatenate(ea), np.concatenate(eb))
             own = np.flatnonzero(label != np.arange(len(label)))
             ea, eb, held = [own], [label[own]], len(own)
 
@@ -144,13 +135,15 @@ def dual(p: CoverTree, q: CoverTree, wp: np.ndarray, wq: np.ndarray, least: floa
         a, b = a[open_], b[open_]
         done = leaf_p[a] & leaf_q[b]
         for i, j in zip(a[done].tolist(), b[done].tolist()):
-            x, y = p.order[slice(*p.span[i])], q.order[slice(*q.span[j])]
-            hit = p.x[x] @ q.x[y].T >= least
-            if hit.any():
-                links_p[x] += hit @ wq[y]
-                links_q[y] += wp[x] @ hit
-                k, m = np.nonzero(hit)
-                edges(x[k], y[m])
+            all_x, y = p.order[slice(*p.span[i])], q.order[slice(*q.span[j])]
+            for k in range(0, len(all_x), 512):
+                x = all_x[k : k + 512]
+                hit = p.x[x] @ q.x[y].T >= least
+                if hit.any():
+                    links_p[x] += hit @ wq[y]
+                    links_q[y] += wp[x] @ hit
+                    u, v = np.nonzero(hit)
+                    edges(x[u], y[v])
         a, b = a[~done], b[~done]
         # the node with the larger radius is opened, unless it is a leaf
         first = ~leaf_p[a] & (leaf_q[b] | (p.radii[a] >= q.radii[b]))
@@ -160,7 +153,7 @@ def dual(p: CoverTree, q: CoverTree, wp: np.ndarray, wq: np.ndarray, least: floa
             na += kids if f else [i] * len(kids)
             nb += [j] * len(kids) if f else kids
         a, b = np.array(na, np.int64), np.array(nb, np.int64)
-    return links_p, links_q, _labels(n + len(q.x), np.concatenate(ea) if ea else np.zeros(0, np.int64), np.concatenate(eb) if eb else np.zeros(0, np.int64))
+    return links_p, links_q, labels(n + len(q.x), np.concatenate(ea) if ea else np.zeros(0, np.int64), np.concatenate(eb) if eb else np.zeros(0, np.int64))
 
 
 def _read(vectors: DataFrame, width: str) -> DataFrame:
