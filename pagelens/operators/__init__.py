@@ -1 +1 @@
-"""Spark-native page extraction and corpus analytics."""
+"""Operators over pages and corpora."""

@@ -1 +1 @@
-"""Spark-native page extraction and corpus analytics."""
+"""Queries and their SQL."""

@@ -1 +1 @@
-"""Spark-native page extraction and corpus analytics."""
+"""Sources and sinks: HTML folders, Markdown files, chunk lines, batch summaries."""

@@ -1 +1 @@
-"""Spark-native page extraction and corpus analytics."""
+"""Incremental mode on Structured Streaming."""
