@@ -416,3 +416,48 @@ def answer_score(spark, sf_dir):
 def events_daily(spark, sf_dir):
     """Extension: tumbling windows over the event table."""
     return table(spark, sf_dir, "events").groupBy("event_type", F.window(F.col("ts").cast("timestamp"), "1 day").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value")).select("event_type", F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n", "value")
+
+
+from ..operators import extract as _extract  # noqa: E402
+from ..operators import nodes as _nodes  # noqa: E402
+from ..operators import template as _template  # noqa: E402
+
+
+@query("""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
+t AS (SELECT page_id, lower(unnest(regexp_extract_all(h, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM p) SELECT page_id, tag, count(*)::BIGINT AS n FROM t WHERE tag <> 'script' GROUP BY ALL""")
+def node_counts(spark, sf_dir):
+    return _nodes.nodes(table(spark, sf_dir, "pages")).filter("tag not in ('', 'script')").groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+
+
+@query()
+def node_text_lengths(spark, sf_dir):
+    t = _nodes.without(_nodes.nodes(table(spark, sf_dir, "pages")), F.col("tag").isin("script", "style", "noscript", "svg", "template"))
+    return _nodes.text_lengths(t)
+
+
+@query()
+def extract_markdown(spark, sf_dir):
+    return _extract.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "markdown", "root", "n_blocks", "n_kept", "tokens", "warnings")
+
+
+@query()
+def extract_chunks(spark, sf_dir):
+    out = _extract.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", F.explode("chunks").alias("c"))
+    return out.select("page_id", "url", "c.index", "c.heading_path", "c.depth", "c.words", "c.text", "c.embed_text")
+
+
+@query("SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '\\s+', ' ', 'g')) AS title FROM pages")
+def front_matter(spark, sf_dir):
+    out = _extract.extract_pages(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", F.trim(F.regexp_replace("title", r"\s+", " ")).alias("title"))
+
+
+@query()
+def density_scores(spark, sf_dir):
+    out = _extract.extract_pages(table(spark, sf_dir, "pages")).select("page_id", F.explode("blocks").alias("b"))
+    return out.select("page_id", "b.*")
+
+
+@query()
+def template_mine(spark, sf_dir):
+    return _template.mine(table(spark, sf_dir, "pages"))
