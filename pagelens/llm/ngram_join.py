@@ -10,7 +10,7 @@ what is left of the cells:
 2. Among the sets that remain, shingles are counted again, whole; a set of which a quarter stands alone is done too. The others are
    cut into cells, one for each shingle of their windows, rarest first; cells of equal members are one.
 3. Each class is compared with the pivot of its first cell; links join components. A cell within one component is done.
-4. Small cells compare what is left of them. In a large one, two pivot documents divide the others into Voronoi regions; a document that
+4. Small cells are compared as wholes, in dense blocks within a task. In a large one, two pivot documents divide the others into Voronoi regions; a document that
    is no more than twice the radius farther from the other pivot lies in both, so that any linked pair shares a region; regions
    are cells again. After `rounds` of this, what is left is compared in pairs of blocks, across components only.
 
@@ -283,11 +283,6 @@ class _Join:
         self.sets, self.windows, self.tenths, self.radius, self.small, self.rounds = sets, windows, tenths, 1 - tenths / 100, small, rounds
         self.label = sets.select("id", F.col("id").alias("comp"))
 
-    def fits(self):
-        """Whether two sets can be near at all: they have in common at most what neither has alone, and together that and what each has alone."""
-        common = F.least(F.col("na") - F.col("ua"), F.col("nb") - F.col("ub"))
-        return 100 * common >= self.tenths * F.greatest(F.col("na") + F.col("ub"), F.col("nb") + F.col("ua"))
-
     def link(self, near: DataFrame) -> None:
         """Join the components of linked pairs (a, b)."""
         at = self.label
@@ -304,12 +299,6 @@ class _Join:
         some = rows.groupBy("cell").agg(F.count("*").alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("cell", "size")
         return materialize(rows.join(some, "cell"), "open")
 
-    def pairs(self, rows: DataFrame) -> DataFrame:
-        """Pairs of different components in a cell whose sizes allow a link."""
-        x = rows.select("cell", F.col("id").alias("a"), F.col("n").alias("na"), F.col("alone").alias("ua"), F.col("comp").alias("ca"))
-        y = rows.select("cell", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("alone").alias("ub"), F.col("comp").alias("cb"))
-        return x.join(y, "cell").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & self.fits()).select("a", "b").distinct()
-
     def cells(self) -> DataFrame:
         window = self.windows.select("id", "n", "alone", F.explode("pivots").alias("cell"))
         window = materialize(window, "window")
@@ -329,16 +318,14 @@ class _Join:
             most = rows.agg(F.max("size")).first()[0]
             if most is None:
                 return self.label
-            few, many = rows.filter(F.col("size") <= self.small), rows.filter(F.col("size") > self.small)
-            pairs, pivots = self.pairs(few), None
-            if most > self.small:
-                pivots = self.pivots(many, r)
-                each = many.join(pivots, "cell").select("id", F.explode(F.array("p1", "p2")).alias("p")).filter("id <> p")
-                pairs = pairs.union(each.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))).distinct()
-            seen = materialize(_compare(pairs, self.sets, self.radius), "seen")
-            self.link(seen.filter("near"))
-            if pivots is None:
+            self.settle(rows.filter(F.col("size") <= self.small))
+            if most <= self.small:
                 return self.label
+            many = rows.filter(F.col("size") > self.small)
+            pivots = self.pivots(many, r)
+            each = many.join(pivots, "cell").select("id", F.explode(F.array("p1", "p2")).alias("p")).filter("id <> p")
+            seen = materialize(_compare(each.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct(), self.sets, self.radius), "seen")
+            self.link(seen.filter("near"))
             cells = self.regions(many, pivots, seen, r)
         self.settle(self.open_cells(cells))
         return self.label
