@@ -28,27 +28,27 @@ ROOT_MARKERS = ('id="root"', "id='root'", 'id="app"', "id='app'", 'id="__next"',
 
 
 def _count_in(words: Column, vocabulary: str) -> Column:
-    known = F.array(*[F.lit(w) for w in vocabulary.split()])
-    return F.size(F.filter(words, lambda w: F.array_contains(known, w))).cast("long")
+    return F.size(F.filter(words, lambda w: w.isin(vocabulary.split()))).cast("long")
 
 
-def language_signals(text: Column, stopwords: dict[str, str] = STOPWORDS) -> dict[str, Column]:
-    """n_words, english, best_other and best_other_count: words of each language's list in a text without addresses."""
+def language_words(text: Column) -> Column:
+    """Words of a text without addresses."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)\S*(://|www\.|@)\S*", " ")
-    words = F.regexp_extract_all(F.lower(bare), F.lit(r"\p{L}+"), F.lit(0))
-    english = set(stopwords["en"].split())
-    other = sorted(k for k in stopwords if k != "en")
-    counts = {k: _count_in(words, " ".join(w for w in stopwords[k].split() if len(w) > 1 and w not in english)) for k in other}
-    best = F.greatest(*counts.values()) if len(counts) > 1 else next(iter(counts.values()))
-    name = F.coalesce(*[F.when(counts[k] == best, k) for k in other])
-    return {"n_words": F.size(words).cast("long"), "english": _count_in(words, stopwords["en"]), "best_other": name, "best_other_count": best}
+    return F.regexp_extract_all(F.lower(bare), F.lit(r"\p{L}+"), F.lit(0))
 
 
-def language(docs: DataFrame, id: str, text: str) -> DataFrame:
-    s = language_signals(F.col(text))
-    out = docs.select(id, *[c.alias(k) for k, c in s.items()])
+def language(docs: DataFrame, id: str, text: str, stopwords: dict[str, str] = STOPWORDS) -> DataFrame:
+    """(id, n_words, english, best_other, best_other_count, reason): words of each language's list, and whether another outweighs English."""
+    english = set(stopwords["en"].split())
+    other = sorted(k for k in stopwords if k != "en")
+    own = {k: " ".join(w for w in stopwords[k].split() if len(w) > 1 and w not in english) for k in other}
+    seen = docs.select(id, language_words(F.col(text)).alias("w"))
+    counts = seen.select(id, F.size("w").cast("long").alias("n_words"), _count_in(F.col("w"), stopwords["en"]).alias("english"), *[_count_in(F.col("w"), own[k]).alias(f"_{k}") for k in other])
+    best = F.greatest(*[F.col(f"_{k}") for k in other]) if len(other) > 1 else F.col(f"_{other[0]}")
+    name = F.coalesce(*[F.when(F.col(f"_{k}") == F.col("best_other_count"), k) for k in other])
+    out = counts.withColumn("best_other_count", best).withColumn("best_other", name)
     foreign = (F.col("n_words") >= 40) & (F.col("best_other_count") >= 10) & (F.col("best_other_count") > F.col("english"))
-    return out.withColumn("reason", F.when(foreign, "non_english_stopwords"))
+    return out.select(id, "n_words", "english", "best_other", "best_other_count", F.when(foreign, "non_english_stopwords").alias("reason"))
 
 
 def host_reason(url: Column) -> Column:
