@@ -79,7 +79,7 @@ def test_chunks_keep_every_word():
 
 
 def test_templates(spark):
-    rows = [(i, f"https://s.example.com/x/{i}", f"<body><nav class='top'><a href='/'>Home page</a> <a href='/b'>About our company</a></nav><p>{i} {FILL}</p></body>") for i in range(9)]
+    rows = [(i, f"https://s.example.com/x/{i}", f"<body><nav class='top'><a href='/'>Home page</a> <a href='/b'>About our company and its people</a></nav><p>{i} {FILL}</p></body>") for i in range(9)]
     pages = spark.createDataFrame([*rows, (99, rows[0][1], rows[0][2])], "page_id long, url string, html string")
     found = template.mine(pages).collect()
     assert [(r.group_key, r.page_hits, r.frequency) for r in found] == [("s.example.com/x", 9, 1.0)]
