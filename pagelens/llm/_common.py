@@ -32,20 +32,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df to the shared folder and read it back: a lost executor then costs no recomputation, and lineage ends here."""
+def materialize(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: a lost executor then costs no recomputation, and lineage ends here.
+
+    by: a column to lay the files out by, so that forget() can remove one of its values.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._pagelens_path = path
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Remove a materialized table that no later plan reads."""
+def forget(df: DataFrame, part: str = "") -> None:
+    """Remove a materialized table, or a part such as kind=T of it, that no later plan reads."""
     path = getattr(df, "_pagelens_path", None)
     if path:
+        path = f"{path}/{part}"
         spark = df.sparkSession
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

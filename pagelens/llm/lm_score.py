@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U, chunked, column, grouped, mapped, materialize, mix, partitions, release, texts
+from ._common import U, chunked, column, forget, grouped, mapped, materialize, mix, partitions, release, texts
 
 BLANK, END = 32, 10  # END ends a line
 LONG = 4
@@ -230,7 +230,7 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *,
             yield from out(flush(batch_no, vocabulary, docs_))
 
     schema = f"kind string, batch long, bucket int, id {kind}, held boolean, a binary, b binary, c binary"
-    table = materialize(mapped(rows, read, schema), "tokens")
+    table = materialize(mapped(rows, read, schema), "tokens", by="kind")
     asked = table.filter("kind = 'T'").select("bucket", "batch", "a", "b", "c").repartition(buckets, "bucket").sortWithinPartitions("bucket", "batch")
 
     def merge(batches):
@@ -249,9 +249,11 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *,
             yield {"kind": ["Q"] * len(places), "bucket": [bucket] * len(places), "batch": [x[0] for x in places], "a": [x[1] for x in places], "b": [x[2].tobytes() for x in places]} | {k: [0] * len(places) for k in said_}
 
     words = materialize(mapped(asked, merge, "kind string, bucket int, batch long, a binary, b binary, tokens long, kinds long, lines long, once long"), "words")
+    forget(table, "kind=T")
+    documents = table.filter("kind = 'D'").select("batch", "id", "held", "a", "b", "c")  # reads that part's files alone
     release(spark)
     told = words.agg(*[F.coalesce(F.sum(k), F.lit(0)) for k in ("tokens", "kinds", "lines", "once")]).first()
-    ends, all_lines = table.filter("kind = 'D' and not held").agg(F.count("*"), F.coalesce(F.sum((F.octet_length("c") / 4).cast("long")), F.lit(0))).first()
+    ends, all_lines = documents.filter("not held").agg(F.count("*"), F.coalesce(F.sum((F.octet_length("c") / 4).cast("long")), F.lit(0))).first()
     escape = line_escape(all_lines, told[2], told[3])
     line_bytes = all_lines - told[2] + told[3]  # lines that were coded by bytes when they were new
     n_train, v_train = told[0] + ends, told[1] + (ends > 0)
@@ -349,6 +351,10 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *,
 
     ask = words.select("kind", "bucket", "batch", "a", "b").union(priced).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     answers = mapped(ask, answer, f"kind string, batch long, id {kind}, held boolean, a binary, b binary, c binary")
+    answers = materialize(answers, "answers")
+    forget(words)
+    forget(cuts_)
+    release(spark)
     floor = n_train + 0.5 * (v_train + 1)
     end_base = math.log10((ends + 0.5) / floor)
     stop = (ends + 0.5) / (all_lines + 1)
@@ -385,7 +391,7 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *,
                         out[name].append(x)
                 yield out
 
-    parts_ = answers.union(table.filter("kind = 'D'").select("kind", "batch", "id", "held", "a", "b", "c")).repartition(buckets, "batch").sortWithinPartitions("batch", "kind")
+    parts_ = answers.union(documents.select(F.lit("D").alias("kind"), "batch", "id", "held", "a", "b", "c")).repartition(buckets, "batch").sortWithinPartitions("batch", "kind")
     out = mapped(parts_, total, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id)
 
