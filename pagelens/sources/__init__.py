@@ -1 +1,57 @@
-"""Sources and sinks: HTML folders, Markdown files, chunk lines, batch summaries."""
+"""Sources and sinks: HTML folders, Markdown, chunk lines, batch summaries. All go through Spark's readers and writers."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def decode(raw: Column) -> Column:
+    """Text of fetched bytes: by byte-order mark, else UTF-8 where it is valid, else the charset that the head names, else Windows-1252."""
+    named = F.lower(F.regexp_extract(F.decode(F.substring(raw, 1, 2000), "ISO-8859-1"), r"""(?i)<meta[^>]*charset=["']?([A-Za-z0-9_\-]+)""", 1))
+    latin = F.decode(raw, "ISO-8859-1")
+    return (
+        F.when(F.hex(F.substring(raw, 1, 3)) == "EFBBBF", F.decode(F.substring(raw, 4, 2_000_000_000), "UTF-8"))
+        .when(F.hex(F.substring(raw, 1, 2)).isin("FEFF", "FFFE"), F.decode(raw, "UTF-16"))
+        .when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
+        .when(named.isin("utf-8", "utf8"), F.make_valid_utf8(raw.cast("string")))
+        .otherwise(latin)
+    )
+
+
+def read_html_dir(spark: SparkSession, path: str) -> DataFrame:
+    """(page_id, url, html) of a folder of <id>.html files, with the url of <id>.meta.json where there is one; names that start with _ are skipped."""
+    stem = lambda suffix: F.regexp_extract("path", rf"([^/]+){suffix}$", 1)
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(path).select(stem(r"\.html").alias("page_id"), decode(F.col("content")).alias("html"))
+    meta = spark.read.format("binaryFile").option("pathGlobFilter", "*.meta.json").load(path)
+    meta = meta.select(stem(r"\.meta\.json").alias("page_id"), F.get_json_object(F.decode("content", "UTF-8"), "$.url").alias("url"))
+    return raw.filter(~F.col("page_id").startswith("_")).join(meta, "page_id", "left").select("page_id", "url", "html")
+
+
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    """(interaction_id, query, answer, split, page_url, page_result): questions in JSON lines, one row for each search result."""
+    schema = "interaction_id string, query string, answer string, alt_ans array<string>, split int, domain string, search_results array<struct<page_url:string,page_result:string>>"
+    q = spark.read.schema(schema).json(path)
+    return q.select("interaction_id", "query", "answer", "alt_ans", "split", "domain", F.explode_outer("search_results").alias("r")).select("*", "r.page_url", "r.page_result").drop("r")
+
+
+def documents(extracted: DataFrame) -> DataFrame:
+    """(page_content, metadata) for document loaders: the body without front matter, and flat metadata."""
+    body = F.regexp_replace("markdown", r"(?s)\A---\n.*?\n---\n+", "")
+    flat = F.from_json("front_matter", "map<string,string>")
+    return extracted.select(body.alias("page_content"), F.map_concat(flat, F.create_map(F.lit("page_id"), F.col("page_id").cast("string"))).alias("metadata"))
+
+
+def write_markdown(extracted: DataFrame, path: str) -> None:
+    """Markdown by page, in Parquet laid out for lookups by page."""
+    extracted.select("page_id", "url", "markdown").write.mode("overwrite").parquet(path)
+
+
+def write_chunks(extracted: DataFrame, path: str) -> None:
+    """One JSON object for each chunk, with its page's url."""
+    extracted.select("page_id", "url", F.explode("chunks").alias("c")).select("page_id", "url", "c.*").write.mode("overwrite").json(path)
+
+
+def summary(extracted: DataFrame) -> DataFrame:
+    """One row for each page: what a batch run reports."""
+    return extracted.select("page_id", "url", "tokens", "root", "n_blocks", "n_kept", "warnings", F.size("chunks").alias("n_chunks"))
