@@ -33,6 +33,9 @@ class Config:
     prune: bool = True
     micro: bool = True
     link_blocks: bool = True
+    rules: bool = True
+    detectors: bool = True
+    disabled: tuple[str, ...] = ()
 
     @classmethod
     def of(cls, preset: str = "balanced", page_type: str = "unknown", **overrides) -> Config:
