@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit, decontaminate, embedding_dedup, langid, lm_score, ngram_join, pii, substring_dedup, token_output, url_filter
+from . import best_fit, decontaminate, embedding_dedup, langid, lm_score, ngram_join, pii, sql, substring_dedup, token_output, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1,
@@ -17,4 +17,10 @@ QUERIES = {
     "op10_embedding_near_dedup": embedding_dedup.op10,
 }
 
-ORACLE: dict[str, str] = {"op3_url_filter": url_filter.OP3_SQL}
+ORACLE: dict[str, str] = {
+    "op1_ngram_jaccard_join": sql.OP1,
+    "op3_url_filter": url_filter.OP3_SQL,
+    "op5_decontaminate": sql.OP5,
+    "op8_substring_dedup": sql.OP8,
+    "op10_embedding_near_dedup": sql.OP10,
+}
