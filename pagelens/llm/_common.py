@@ -72,7 +72,7 @@ def scan_splits(df: DataFrame, least: int | None = None) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
-def chunked(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def chunked(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Batches cut so that one holds about `limit` bytes of text: memory stays bounded whatever the batch size is."""
     for batch in batches:
         if not batch.num_rows:

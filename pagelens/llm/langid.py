@@ -41,15 +41,16 @@ class Model:
 
     langs: list[str]
     prior: np.ndarray
-    tables: dict[int, dict[str, np.ndarray]]
+    tables: dict[int, dict[str, tuple[float, ...]]]
 
-    def word_score(self, word: str) -> np.ndarray | None:
+    def word_score(self, word: str) -> tuple[float, ...] | None:
         if (known := self.tables[0].get(word)) is not None:
             return known
         for n in ORDERS:
-            table = self.tables[n]
-            if found := [v for g in _grams(word, n) if (v := table.get(g)) is not None]:
-                return np.mean(found, axis=0)
+            s = f"<{word}>" if n > 1 else word
+            found = [v for v in map(self.tables[n].get, [s[i : i + n] for i in range(max(1, len(s) - n + 1))]) if v]
+            if found:
+                return tuple([sum(x) / len(found) for x in zip(*found)])
         return None
 
 
@@ -98,7 +99,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", *, where: Colum
             n = top.drop(columns="w").to_numpy(np.float64).reshape(len(top), len(langs))
             all_n = np.array([x or 0 for x in totals.get(k, [0] * len(langs))], np.float64)
             logs = np.log((n + 0.5) / (all_n + 0.5 * (len(top) + 1)))
-            tables[k] = dict(zip(top["w"], logs))
+            tables[k] = dict(zip(top["w"], map(tuple, logs.tolist())))
     finally:
         words.unpersist()
         g.unpersist()
@@ -113,19 +114,17 @@ class _Seen(dict):
         self.model, self.rows = model, np.zeros((1 << 12, max(1, len(model.langs))))
 
     def __missing__(self, piece: str) -> int:
-        total = np.zeros(self.rows.shape[1])
-        for w in _words(piece):
-            if (v := self.model.word_score(w)) is not None:
-                total += v
+        scores = [v for w in _words(piece) if (v := self.model.word_score(w)) is not None]
         if (n := len(self)) == len(self.rows):
             self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-        self.rows[n] = total
+        if scores:
+            self.rows[n] = scores[0] if len(scores) == 1 else [sum(x) for x in zip(*scores)]
         self[piece] = n
         return n
 
 
 class Predictor:
-    def __init__(self, model: Model, limit: int = 400_000):
+    def __init__(self, model: Model, limit: int = 150_000):
         self.model, self.limit, self.seen = model, limit, _Seen(model)
 
     def __call__(self, text: str | None) -> tuple[str, float]:

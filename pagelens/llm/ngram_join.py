@@ -245,7 +245,7 @@ def _middle(r: int):
     return F.struct(F.col("alone") / F.col("n"), F.xxhash64("id", F.lit(r)))
 
 
-def _block_links(percent: int, columns: int = 4096):
+def _block_links(percent: int, columns: int = 2048):
     """A spanning forest of the links between sets of different components in one group, from dense products over shared shingles."""
 
     def run(group):
@@ -268,7 +268,11 @@ def _block_links(percent: int, columns: int = 4096):
             m = np.zeros((len(ids), columns), np.float32)
             m[own[x:y], at[x:y] - low] = 1
             both += m @ m.T  # counts stay below 2**24, where single precision is exact
-        i, j = np.nonzero((100 * both >= percent * (n[:, None] + n[None, :] - both) - 1e-3) & (comp[:, None] != comp[None, :]))
+        need = np.float32(percent / (100 + percent))  # of the sum of both sizes; decided in whole numbers below
+        size = n.astype(np.float32)
+        mask = both >= need * (size[:, None] + size[None, :]) - np.float32(0.5)
+        mask &= comp[:, None] != comp[None, :]
+        i, j = np.nonzero(mask)
         exact = both[i, j].astype(np.int64)
         sure = 100 * exact >= percent * (n[i] + n[j] - exact)
         label = labels(len(ids), i[sure], j[sure])
@@ -330,7 +334,7 @@ class _Join:
         self.settle(self.open_cells(cells))
         return self.label
 
-    def settle(self, left: DataFrame, block: int = 1024) -> None:
+    def settle(self, left: DataFrame, block: int = 512) -> None:
         """Compare what is left of cells as wholes, across components, in pairs of blocks of about `block` sets.
 
         Cells that share documents form a region; it is taken as one where that means fewer comparisons than its cells do.
