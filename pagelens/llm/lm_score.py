@@ -1,5 +1,8 @@
 """Language-model scores by prediction by partial matching (PPM) over bytes.
 
+op4 is score_stream(): contexts run over the bytes of the whole text, across blanks and line ends. score() is the form by vocabulary, which
+keeps contexts within a token and knows whole lines; it is as follows.
+
 A text is its lines (cut at line feeds), a line its tokens (ASCII-lower-cased, cut at ASCII blanks), each followed by a blank byte, and
 a line's end. Contexts are tried from the longest to the shortest. The longest is the whole line so far: along a line of `long`
 tokens or more that training has seen, it predicts every byte, so such a line is coded at once, by its share of all lines; any other
@@ -24,6 +27,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -396,6 +400,239 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *,
     return out.withColumnRenamed("id", id)
 
 
+def stream(text: bytes) -> bytes:
+    """The bytes of a text that are coded: lower-cased, every blank and line feed as it stands, and a last line's end."""
+    return text.lower() + bytes([END])
+
+
+def stream_windows(streams: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows (`order` bytes of context, zeros before the stream's start, and a byte) of all bytes of streams, and each stream's number of windows."""
+    n = np.fromiter(map(len, streams), np.int64, len(streams))
+    pad = b"\0" * order
+    flat = b"".join([*(x for s in streams for x in (pad, s)), b"\0" * 8])
+    g = np.ndarray(max(0, len(flat) - 8 - order), ">u8", flat, strides=1).astype(U) >> U(8 * (7 - order))
+    sizes = np.full(2 * len(n), order, np.int64)
+    sizes[::2] = n
+    keep = np.repeat(np.arange(len(sizes)) % 2 == 0, sizes)[: len(g)]
+    return g[keep], n
+
+
+def _portions(streams: list[bytes], limit: int = 2_000_000):
+    """Slices of streams of about `limit` bytes together."""
+    first, size = 0, 0
+    for i, s in enumerate(streams):
+        if size and size + len(s) > limit:
+            yield slice(first, i)
+            first, size = i, 0
+        size += len(s)
+    if first < len(streams):
+        yield slice(first, len(streams))
+
+
+def _summed(sums: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of all tables, each with the sum of its counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*sums))
+    if not len(keys):
+        return keys, counts
+    at = np.argsort(keys)
+    keys = keys[at]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(counts[at], first)
+
+
+def _runs(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs, by one sort (np.unique hashes first, which is slower here)."""
+    g = np.sort(g)
+    first = np.flatnonzero(np.append(True, g[1:] != g[:-1])[: len(g)])
+    return g[first], np.diff(np.append(first, len(g)))
+
+
+def _zip(b: bytes) -> bytes:
+    return len(b).to_bytes(8, "little") + pa.compress(b, codec="zstd", asbytes=True)
+
+
+def _unzip(b: bytes) -> bytes:
+    return pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """64-bit numbers byte plane by byte plane, compressed: sorted ones shrink to a byte or two."""
+    return _zip(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unpack(b: bytes, kind=U) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_unzip(b), np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def score_stream(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *, order: int = 6, batch_bytes: int = 24_000_000) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; the model learns from rows that are not held out.
+
+    A text is its stream() of bytes. Every byte is predicted from the up to `order` bytes before it, across blanks and line ends, and
+    after each line feed comes whether the text ends. Batches send their distinct windows to the windows' contexts, where training
+    counts meet and code lengths are found, and their distinct tokens, for the unigram base, to the tokens' buckets.
+
+    order: bytes of context, 2 to 7.
+    """
+    spark = docs.sparkSession
+    buckets = partitions(spark)
+    kind = docs.schema[id].dataType.simpleString()
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), held_out.alias("held"))
+    names = ("kind", "batch", "bucket", "id", "held", "a", "b", "n")
+    schema = f"kind string, batch long, bucket int, id {kind}, held boolean, a binary, b binary, n long"
+
+    def dealt(of):
+        at = np.argsort(of, kind="stable")
+        cuts = np.searchsorted(of[at], np.arange(buckets + 1))
+        return ((i, at[cuts[i] : cuts[i + 1]]) for i in range(buckets) if cuts[i] < cuts[i + 1])
+
+    def flush(no, docs_):
+        count, sums = {}, []
+        for k, held, s in docs_:
+            yield "D", no, -1, k, held, s, None, s.count(b"\n")
+            for w in s.split():
+                count[w] = count.get(w, 0) + (not held)
+        for own in _portions([x[2] for x in docs_]):
+            g, n = stream_windows([x[2] for x in docs_[own]], order)
+            keys, _ = _runs(g)
+            taught, times = _runs(g[np.repeat([not x[1] for x in docs_[own]], n)])
+            c = np.zeros(len(keys), np.int64)
+            c[np.searchsorted(keys, taught)] = times
+            sums.append((keys, c))
+            if len(sums) >= 4:
+                sums = [_summed(sums)]
+        keys, n = _summed(sums)
+        few, c = _aggregate(_low(keys, 1), n)
+        yield "L", no, -1, None, None, _pack(few), _pack(c.astype(np.int64)), 0
+        for i, own in dealt((mix((keys >> U(8)) & U(0xFFFF)) % U(buckets)).astype(np.int64)):
+            yield "W", no, i, None, None, _pack(keys[own]), _pack(n[own]), 0
+        tokens = list(count)
+        n = np.fromiter(count.values(), np.int64, len(count))
+        for i, own in dealt((np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), U, len(tokens)) % U(buckets)).astype(np.int64)):
+            yield "T", no, i, None, None, _zip(b" ".join([tokens[j] for j in own.tolist()])), _pack(n[own]), 0
+
+    def read(batches):
+        no, docs_, size = TaskContext.get().partitionId() << 24, [], 0
+
+        def out(rows):
+            held, size = [], 0
+            for r in rows:
+                held.append(r)
+                size += len(r[5])
+                if size > 4_000_000 or len(held) == 2000:
+                    yield dict(zip(names, map(list, zip(*held))))
+                    held, size = [], 0
+            if held:
+                yield dict(zip(names, map(list, zip(*held))))
+
+        for batch in chunked(batches):
+            for k, t, held in zip(column(batch, "id"), texts(batch), column(batch, "held")):
+                docs_.append((k, bool(held), stream(t)))
+                size += len(t) + 1
+            if size >= batch_bytes:
+                yield from out(flush(no, docs_))
+                no, docs_, size = no + 1, [], 0
+        if docs_:
+            yield from out(flush(no, docs_))
+
+    table = materialize(mapped(rows, read, schema), "streams", by="kind")
+    documents = table.filter("kind = 'D'").select("batch", "id", "held", "a", "n")
+    cuts_ = table.filter("kind = 'W'").select("bucket", "batch", "a", "b")
+    asked = table.filter("kind = 'T'").select("bucket", "batch", "a", "b").repartition(buckets, "bucket").sortWithinPartitions("bucket", "batch")
+
+    def merge(batches):
+        for bucket, group in grouped(batches):
+            vocabulary, count, places = _Vocabulary(), [], []
+            for batch in group:
+                for no, a, b in zip(*(column(batch, x) for x in ("batch", "a", "b"))):
+                    ws = _unzip(a).split(b" ")
+                    places.append((no, a, np.fromiter(map(vocabulary.__getitem__, ws), np.int32, len(ws))))
+                    count.append(_unpack(b, np.int64))
+            total = np.bincount(np.concatenate([x[2] for x in places]), np.concatenate(count), len(vocabulary)).astype(np.int64)
+            for i, (no, a, at) in enumerate(places):
+                yield {"batch": [no], "a": [a], "b": [_pack(total[at])], "tokens": [0 if i else int(total.sum())], "kinds": [0 if i else int((total > 0).sum())]}
+
+    words = materialize(mapped(asked, merge, "batch long, a binary, b binary, tokens long, kinds long"), "words")
+    forget(table, "kind=T")
+    release(spark)
+    told = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    ends, all_lines = documents.filter("not held").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_train, v_train = told[0] + ends, told[1] + (ends > 0)
+
+    def lows(batches):
+        keys, count = np.zeros(0, U), np.zeros(0)
+        for batch in batches:
+            for k, c in zip(column(batch, "a"), column(batch, "b")):
+                keys, count = _summed([(keys, count), (_unpack(k), _unpack(c).astype(np.float64))])
+        yield {"key": keys.astype(np.int64), "n": count.astype(np.int64)}
+
+    low = mapped(table.filter("kind = 'L'").select("a", "b"), lows, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 0").toPandas()  # two bytes: 65,536 rows at most
+    said = spark.sparkContext.broadcast(_aggregate(low["key"].to_numpy(np.int64).astype(U), low["n"].to_numpy(np.float64)))
+
+    def price(batches):
+        for _, group in grouped(batches):
+            who = [x for b in group for x in column(b, "batch")]
+            keys = [_unpack(x) for b in group for x in column(b, "a")]
+            all_keys, count = _summed([(k, _unpack(x).astype(np.float64)) for k, x in zip(keys, (x for b in group for x in column(b, "b")))])
+            known = count > 0
+            p = code_lengths(all_keys, all_keys[known], count[known], said.value, order)
+            values, code = np.unique(p, return_inverse=True)  # few: counts are small numbers
+            for no, k in zip(who, keys):
+                code_ = code[np.searchsorted(all_keys, k)]
+                own, _ = _runs(code_)
+                at = np.searchsorted(own, code_)
+                at, values_ = at.astype("<u4").view(np.uint8).reshape(-1, 4).T, values[own]
+                yield {"kind": ["B"], "batch": [no], "id": [None], "held": [None], "a": [_pack(k)], "b": [_zip(at.tobytes() + values_.tobytes())], "n": [len(k)]}
+
+    final = f"kind string, batch long, id {kind}, held boolean, a binary, b binary, n long"
+    priced = mapped(cuts_.repartition(buckets, "bucket").sortWithinPartitions("bucket"), price, final)
+    none = [F.lit(None).cast(kind).alias("id"), F.lit(None).cast("boolean").alias("held")]
+    counted = words.select(F.lit("A").alias("kind"), "batch", *none, "a", "b", F.lit(0).cast("long").alias("n"))
+    coded = documents.select(F.lit("D").alias("kind"), "batch", "id", "held", "a", F.lit(None).cast("binary").alias("b"), "n")
+    floor = n_train + 0.5 * (v_train + 1)
+    end_base = math.log10((ends + 0.5) / floor)
+    stop = (ends + 0.5) / (all_lines + 1)
+
+    def total(batches):
+        for _, group in grouped(batches, "batch"):
+            count, keys, prices, ready = {}, [np.zeros(0, U)], [np.zeros(0)], False
+            for batch in group:  # answers sort before documents
+                held = []
+                for what, k, h, a, b, n in zip(*(column(batch, x) for x in ("kind", "id", "held", "a", "b", "n"))):
+                    if what == "A":
+                        count.update(zip(_unzip(a).split(b" "), _unpack(b, np.int64).tolist()))
+                    elif what == "B":
+                        keys.append(_unpack(a))
+                        b = _unzip(b)
+                        at = np.ascontiguousarray(np.frombuffer(b, np.uint8, 4 * n).reshape(4, -1).T).view("<u4").ravel()
+                        prices.append(np.frombuffer(b, np.float64, offset=4 * n)[at])
+                    else:
+                        held.append((k, h, a, n))
+                if not held:
+                    continue
+                if not ready:
+                    keys, prices, ready = np.concatenate(keys), np.concatenate(prices), True
+                    at = np.argsort(keys)
+                    keys, prices = keys[at], prices[at]
+                for own in _portions([x[2] for x in held]):
+                    out = {k: [] for k in ("id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")}
+                    g, size = stream_windows([x[2] for x in held[own]], order)
+                    at = np.argsort(g)
+                    p = np.empty(len(g))
+                    p[at] = prices[np.searchsorted(keys, g[at])]
+                    sums = np.add.reduceat(p, np.cumsum(size) - size)
+                    for (k, h, s, lines_), sum_ in zip(held[own], sums.tolist()):
+                        c = np.fromiter(map(count.__getitem__, ws := s.split()), np.int64, len(ws))
+                        base = float(np.log10((c + 0.5) / floor).sum()) + end_base
+                        score_ = sum_ + math.log10(stop) + (lines_ - 1) * math.log10(1 - stop)
+                        for name, x in zip(out, (k, h, len(ws) + 1, int((c > 0).sum()) + (ends > 0), n_train, base, score_)):
+                            out[name].append(x)
+                    yield out
+
+    parts_ = counted.union(priced).union(coded).repartition(buckets, "batch").sortWithinPartitions("batch", "kind")
+    out = mapped(parts_, total, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return out.withColumnRenamed("id", id)
+
+
 def adaptive(docs: DataFrame, id: str = "doc_id", text: str = "text", *, order: int = 6) -> DataFrame:
     """(id, score) with a trie of each document's own, learned byte by byte as it is scored."""
     kind = docs.schema[id].dataType.simpleString()
@@ -409,4 +646,4 @@ def adaptive(docs: DataFrame, id: str = "doc_id", text: str = "text", *, order:
 
 def op4(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs, F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1, F.lit(False)))
+    return score_stream(docs, F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1, F.lit(False)))

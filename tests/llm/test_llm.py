@@ -169,6 +169,42 @@ def test_lm_score(spark):
     assert lm_score.adaptive(table(spark, rows[:3])).count() == 3
 
 
+@pytest.mark.parametrize("order", [3, 6])
+def test_lm_score_stream(spark, order):
+    rows = [*corpus(2), (900, "alpha beta gamma delta", None), (901, "gamma alpha delta beta", None), (902, "Two  blanks\n\nthen\tlines\n", None)]
+    rows += [(2000 + i, "alpha beta gamma delta", None) for i in range(8) if not zlib.crc32(str(2000 + i).encode()) % 5 == 1]
+    held = lambda i: 900 <= i < 1000 or zlib.crc32(str(i).encode()) % 5 == 1
+    is_held = F.col("doc_id").between(900, 999) | (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1)
+    got = {r.doc_id: r for r in lm_score.score_stream(table(spark, rows), is_held, order=order, batch_bytes=20_000).collect()}
+    trie, tokens, n_lines = lm_score.Trie(order), collections.Counter(), 0
+    streams = {i: (t or "").encode().lower() + b"\n" for i, t, _ in rows}
+    for i, s in streams.items():
+        if not held(i):
+            tokens.update([*s.split(), None])
+            n_lines += s.count(b"\n")
+            for k in range(len(s)):
+                trie.learn(s[max(0, k - order) : k], s[k])
+    n, v, stop = sum(tokens.values()), len(tokens), (tokens[None] + 0.5) / (n_lines + 1)
+    for i, s in streams.items():
+        ws = [*s.split(), None]
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(ws), sum(tokens[w] > 0 for w in ws), n)
+        assert r.base_score == pytest.approx(sum(math.log10((tokens[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws))
+        assert r.score == pytest.approx(math.log10(stop) + (s.count(b"\n") - 1) * math.log10(1 - stop) + sum(trie.log10(s[max(0, k - order) : k], s[k]) for k in range(len(s))))
+    assert got[900].score > got[901].score + 1  # the same words in another order
+    assert lm_score.score_stream(table(spark, []), F.lit(False)).count() == 0
+
+
+def test_op4_sees_word_order(spark, tmp_path):
+    ids = [i for i in range(40) if not zlib.crc32(str(i).encode()) % 5 == 1]
+    a, b = [i for i in range(100, 140) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    rows = [(i, "alpha beta gamma delta", None) for i in ids] + [(a, "x alpha beta gamma delta", None), (b, "x gamma alpha delta beta", None)]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in lm_score.op4(spark, str(tmp_path)).collect()}
+    assert got[a].held_out and got[b].held_out and got[a].base_score == pytest.approx(got[b].base_score)
+    assert got[a].score > got[b].score + 1
+
+
 def test_trie_sums_to_one():
     t = lm_score.Trie(3)
     t.score(b"the then there other\nthe", adaptive=True)
