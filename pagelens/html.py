@@ -25,11 +25,11 @@ SCOPE = frozenset("body html td th table button article section div main li bloc
 
 
 class _Builder(HTMLParser):
-    def __init__(self, most_nodes: int, most_depth: int):
+    def __init__(self, most_depth: int):
         super().__init__(convert_charrefs=True)
         self.tag, self.attrs, self.text, self.parent, self.end, self.depth = [], [], [], [], [], []
         self.open: list[int] = []
-        self.most_nodes, self.most_depth = most_nodes, most_depth
+        self.most_depth = most_depth
 
     def _add(self, tag: str, attrs: dict, text: str) -> int:
         if self.tag and not tag and self.text[-1] and not self.tag[-1] and self.parent[-1] == (self.open[-1] if self.open else -1):
@@ -49,8 +49,6 @@ class _Builder(HTMLParser):
             self.end[self.open.pop()] = len(self.tag) - 1
 
     def handle_starttag(self, tag, attrs):
-        if len(self.tag) >= self.most_nodes:
-            return
         kinds, held = CLOSES.get(tag, (set(), set()))
         if tag in CLOSE_P:
             kinds, held = kinds | {"p"}, held | SCOPE
@@ -79,15 +77,14 @@ class _Builder(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if len(self.tag) < self.most_nodes:
-            self._add("", {}, data)
+        self._add("", {}, data)
 
 
 class Page:
     """A parsed page; nodes are switched off by interval, never moved."""
 
-    def __init__(self, html: str | None, most_nodes: int = 500_000, most_depth: int = 2_000):
-        b = _Builder(most_nodes, most_depth)
+    def __init__(self, html: str | None, most_depth: int = 2_000):
+        b = _Builder(most_depth)
         try:
             b.feed(html or "")
             b.close()

@@ -85,3 +85,8 @@ def test_templates(spark):
     assert [(r.group_key, r.page_hits, r.frequency) for r in found] == [("s.example.com/x", 9, 1.0)]
     out = extract.extract_pages(pages, templates=template.mine(pages), prune=False, link_blocks=False)
     assert not out.filter("markdown like '%About our company%'").count()
+
+
+def test_nothing_of_a_very_large_page_is_dropped():
+    p = Page("<body>" + "<p>x" * 260_000 + "<div>the last words</div>")
+    assert len(p) > 500_000 and p.get_text(0).endswith("x the last words")
