@@ -29,6 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(df: DataFrame, by: str) -> DataFrame:
+    """df with k before its columns: 0, 1, 2, ... in the order of `by`, counted in every partition of a distributed sort."""
+    rows = df.orderBy(F.col(by).asc_nulls_last()).rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
+    return df.sparkSession.createDataFrame(rows, "k long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
+
+
 # SQL parts
 NETLOC = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1)"
 HOST = f"regexp_replace(lower({NETLOC}), '^www\\.', '')"
@@ -227,8 +233,7 @@ def doc_word_f1(spark, sf_dir):
     """Every document against one benchmark item, dealt in turn."""
     b = table(spark, sf_dir, "benchmark")
     n = b.count()
-    refs = [r.text for r in b.orderBy("item_id").select("text").limit(10_000).collect()]  # a bounded table of references
-    ref = spark.createDataFrame([(i, t) for i, t in enumerate(refs)], "k long, reference string")
+    ref = numbered(b.select("item_id", F.col("text").alias("reference")), "item_id").select("k", "reference")
     pairs = table(spark, sf_dir, "documents").withColumn("k", F.pmod("doc_id", F.lit(max(1, n)))).join(ref, "k").select("doc_id", F.col("text").alias("predicted"), "reference")
     return overlap.word_f1(pairs, "doc_id")
 
