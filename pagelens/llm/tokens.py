@@ -10,7 +10,7 @@ import numpy as np
 
 END = 2
 _RUN = re.compile(r"\s{2000}")
-_PROBE = "It's 1,024 words\n\n  of  Ünïcode 中文 <|endoftext|> \t'll ~~ x　y"
+_PROBE = "It's 1,024 words\n\n  of  Ünïcode 中文 \t'll ~~ x　y"
 
 
 def default_path() -> str:
@@ -31,7 +31,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path or default_path())
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t["content"] for t in json.loads(self.tok.to_str()).get("added_tokens", []) if t["content"]]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.fast = self._ranked()
         if self.fast and list(self.fast.encode_ordinary(_PROBE)) != self.tok.encode(_PROBE, add_special_tokens=False).ids:
             self.fast = None
@@ -55,8 +56,8 @@ class Encoder:
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if self.fast is None:
             return [self.whole(t) if t else b"" for t in texts]
-        # tiktoken's pattern search gives up on very long runs of blanks
-        return [(self.whole(t) if _RUN.search(t) else np.array(self.fast.encode_ordinary(t), "<u4").tobytes()) if t else b"" for t in texts]
+        # tiktoken's pattern search gives up on very long runs of blanks, and it knows no added tokens
+        return [(self.whole(t) if _RUN.search(t) or self.added and self.added.search(t) else np.array(self.fast.encode_ordinary(t), "<u4").tobytes()) if t else b"" for t in texts]
 
 
 def pieces(n: int, room: int) -> list[tuple[int, int]]:

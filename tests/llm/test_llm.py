@@ -379,3 +379,14 @@ def test_pipeline(spark, tmp_path):
     assert "a1@host" not in seen["pii_pseudonyms"][5] and seen["pii_pseudonyms"][0] == twin
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == {0, 2, 5, 6}
+
+
+def test_added_tokens_in_a_text():
+    from tokenizers import Tokenizer
+
+    from pagelens.llm.tokens import default_path
+
+    tok, e = Tokenizer.from_file(default_path()), Encoder()
+    ts = ["foo <|endoftext|> bar", "<|endoftext|>", "a<|endoftext|>b <|endoftext", "plain words"]
+    assert e.fast is not None
+    assert [np.frombuffer(x, "<u4").tolist() for x in e(ts)] == [tok.encode(t, add_special_tokens=False).ids for t in ts]
