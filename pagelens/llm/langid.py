@@ -5,7 +5,7 @@ then 3-, 2- and 1-grams, and takes the longest that training saw. A text's langu
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; a text whose words say nothing takes the language
 with the most training rows; ties go to the language that sorts first; a null id is not held out and not trained on; repeated
-rows are judged one by one; without any labelled row everything is `und`; other columns of the input are left alone.
+rows are judged one by one; without any labelled row, or any word in them, everything is `und`; other columns of the input are left alone.
 """
 
 from __future__ import annotations
@@ -54,19 +54,22 @@ class Model:
         return None
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", *, where: Column | None = None, max_docs: int = 4_000, max_words: int = 60_000, max_grams: int = 30_000) -> Model:
-    """Learn from the labelled rows of docs; where more than about max_docs are labelled, from those whose text hashes lowest.
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", *, where: Column | None = None, max_docs: int = 4_000, max_words: int = 60_000, max_grams: int = 30_000, id: str = "doc_id", least_docs: int = 500) -> Model:
+    """Learn from the labelled rows of docs; where more than about max_docs are labelled, from those whose id and text hash lowest.
 
-    max_docs is the only bound on the sample (all words of its rows count); max_words and max_grams bound the model.
+    Each language has its share of max_docs, or least_docs rows where that is more (all rows, if it has fewer); nothing else bounds the
+    sample (all words of its rows count). max_words and max_grams bound the model. A language without a counted word is not predicted.
     """
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull()) if where is None else docs.filter(where).select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    keys = ["id"] if id in docs.columns else []
+    rows = (docs if where is None else docs.filter(where)).select(*[F.col(id).alias("id") for _ in keys], F.col(text).alias("text"), F.col(lang).alias("lang"))
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs, total = sorted(per), sum(per.values())
     if not total:
         return Model([], np.zeros(0), {n: {} for n in (0, *ORDERS)})
-    share = min(1.0, max_docs / total)
-    if share < 1:
-        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    if total > max_docs:
+        most = [(la, int(min(1.0, max(max_docs / total, least_docs / n)) * (1 << 30))) for la, n in per.items()]
+        rows = rows.filter(F.pmod(F.xxhash64(*keys, "text"), F.lit(1 << 30)) < F.create_map(*[F.lit(x) for pair in most for x in pair])[F.col("lang")])
 
     def count(batches):
         for batch in chunked(batches):
@@ -86,6 +89,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", *, where: Colum
             yield {"lang": [k[0] for k in counts], "k": [k[1] for k in counts], "w": [k[2] for k in counts], "n": list(counts.values())}
 
     words = mapped(rows, count, "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n")).persist()
+    heard = {r.lang for r in words.select("lang").distinct().collect()}
+    langs = [la for la in langs if la in heard]
+    if not langs:
+        words.unpersist()
+        return Model([], np.zeros(0), {n: {} for n in (0, *ORDERS)})
     of = lambda df, kinds: df.groupBy(*kinds, "w").agg(*[F.sum(F.when(F.col("lang") == la, F.col("n")).otherwise(0)).alias(f"n{i}") for i, la in enumerate(langs)])
     sums = lambda df, kinds: df.agg(*[F.sum(f"n{i}") for i in range(len(langs))]) if not kinds else df.groupBy(*kinds).agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(langs))])
     best = F.desc(sum((F.col(f"n{i}") for i in range(1, len(langs))), F.col("n0")))

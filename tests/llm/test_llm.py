@@ -390,3 +390,11 @@ def test_added_tokens_in_a_text():
     ts = ["foo <|endoftext|> bar", "<|endoftext|>", "a<|endoftext|>b <|endoftext", "plain words"]
     assert e.fast is not None
     assert [np.frombuffer(x, "<u4").tolist() for x in e(ts)] == [tok.encode(t, add_special_tokens=False).ids for t in ts]
+
+
+def test_language_with_few_rows(spark):
+    rows = [(i, f"bread house light w{i % 90}", "en") for i in range(3000)] + [(9000 + i, "maito leipa talo", "fi") for i in range(6)] + [(9500, "123 !!", "xx")]
+    model = langid.fit(table(spark, rows), max_docs=100, least_docs=20)
+    assert model.langs == ["en", "fi"]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(table(spark, [(1, "maito leipa", None), (2, "bread light", None)]), model).collect()}
+    assert got == {1: "fi", 2: "en"}
