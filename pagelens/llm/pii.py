@@ -8,7 +8,8 @@ Kinds: `card` (13 to 19 digits with an issuer's prefix and a valid check digit;
 (octets up to 255), `date` (days that exist, in the layout they had), `ssn`, `iban` (valid check digits before and after), `email`
 (letters and digits of the name), `secret` (32 or more hex digits after a word such as token or key).
 
-Defined cases: a null or empty text stays as it is with no finds; digits that fail validation stay; texts of any length are worked
+Defined cases: a null or empty text stays as it is with no finds; digits that fail validation stay, where a run of their groups
+is no card either; texts of any length are worked
 on whole; repeated rows are judged one by one; other columns are left alone.
 """
 
@@ -125,9 +126,32 @@ class Pseudonyms:
         x, n = _spread(value, classes)
         return _fill(value, self.permuted(f"{label}/{re.sub('[0-9]', '0', value) if label == 'phone' else len(value)}", x, n), classes)
 
+    @staticmethod
+    def _is_card(value: str) -> bool:
+        digits = re.sub("[ -]", "", value)
+        return not (len(set(re.findall("[ -]", value))) > 1 or not _CARD.match(digits) or luhn(digits) or len(set(digits)) == 1)
+
+    def _part(self, value: str) -> tuple[int, int] | None:
+        """The longest, then the first run of whole groups of 13 to 19 digits that is a card, where all of value is none."""
+        if self._is_card(value):
+            return None
+        at = [m.span() for m in re.finditer("[0-9]+", value)]
+        runs = [(a, b) for i, (a, _) in enumerate(at) for _, b in at[i:] if 13 <= sum(ch in DIGITS for ch in value[a:b]) <= 19 and self._is_card(value[a:b])]
+        return max(runs, key=lambda r: (sum(ch in DIGITS for ch in value[slice(*r)]), -r[0]), default=None)
+
+    def part(self, value: str) -> str | None:
+        """value with the card in it replaced; walked until the new card is what would be found, so that it can be turned back."""
+        if not (found := self._part(value)):
+            return None
+        a, b = found
+        while True:
+            value = value[:a] + self.card(value[a:b]) + value[b:]
+            if self._part(value) == found:
+                return value
+
     def card(self, value: str) -> str | None:
         digits = re.sub("[ -]", "", value)
-        if len(set(re.findall("[ -]", value))) > 1 or not _CARD.match(digits) or luhn(digits) or len(set(digits)) == 1:
+        if not self._is_card(value):
             return None
         head = _CARD.match(digits)[0]  # the issuer's prefix stays, so that a pseudonym is valid
         body = digits[len(head) : -1]
@@ -216,6 +240,8 @@ class Pseudonyms:
                     self.known.clear()
                 self.known[kind, value] = getattr(self, kind)(value)
             got = self.known[kind, value]
+            if got is None and kind == "card":
+                got = self.part(value)
             if got is None and kind == "card" and not value.isdigit():
                 kind, got = "phone", self.phone(value)
             if got is None:

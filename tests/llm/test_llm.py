@@ -398,3 +398,13 @@ def test_language_with_few_rows(spark):
     assert model.langs == ["en", "fi"]
     got = {r.doc_id: r.lang_pred for r in langid.predict(table(spark, [(1, "maito leipa", None), (2, "bread light", None)]), model).collect()}
     assert got == {1: "fi", 2: "en"}
+
+
+def test_card_beside_other_digits():
+    pen = pii.Pseudonyms()
+    for t in ["pay 4111 1111 1111 1111 12/27", "4111111111111111 123", "2 4111111111111111", *[f"4111 1111 1111 1111 {i:03}" for i in range(0, 999, 7)]]:
+        counts = {}
+        out = pen(t, counts)
+        assert counts == {"card": 1} and out != t and len(out) == len(t) and pii.reveal(out) == t
+        if not pii.Pseudonyms._is_card(t):
+            assert "4111111111111111" not in out.replace(" ", "")
