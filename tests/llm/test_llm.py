@@ -303,19 +303,53 @@ def test_best_fit(spark):
     assert best_fit.sequences(table(spark, [])).count() == 0
 
 
-def test_token_output(spark):
+def plain_best_fit(lengths, room):
+    """Bins by trying every open bin for every item, longest first: the least room that is enough, the last opened of equals."""
+    free, bins = [], []
+    for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+        fits = [b for b in range(len(free)) if free[b] >= lengths[k]]
+        if not fits:
+            free.append(room)
+            bins.append([])
+            fits = [len(free) - 1]
+        b = min(fits, key=lambda b: free[b])
+        free[b] -= lengths[k]
+        bins[b].append(k)
+    return sorted(free)
+
+
+def test_best_fit_decreasing_equals_plain_search():
+    rnd = random.Random(3)
+    for _ in range(200):
+        room = rnd.choice([1, 7, 16, 60])
+        lengths = [rnd.randint(1, room) for _ in range(rnd.randint(0, 40))]
+        got = token_output.best_fit_decreasing(np.array(lengths, np.int64), room)
+        assert sorted(k for b in got for k in b) == list(range(len(lengths)))
+        assert sorted(room - sum(lengths[k] for k in b) for b in got) == plain_best_fit(lengths, room)
+        _, _, fill = best_fit.best_fit(np.array(lengths, np.int64), room)
+        assert sorted(room - f for f in fill) == plain_best_fit(lengths, room)
+
+
+@pytest.mark.parametrize("buffer", [16_000_000, 500])
+def test_token_output(spark, tmp_path, buffer):
     rows = corpus(9, 30)
-    out = token_output.pack(table(spark, rows), room=64, pad=0).collect()
+    docs = table(spark, [*rows, rows[0]])
+    token_output.write(token_output.pack(docs, room=64, pad=7, buffer=buffer), str(tmp_path / "packed"))
+    out = spark.read.parquet(str(tmp_path / "packed")).collect()
     e, found = Encoder(), []
     whole = {i: np.frombuffer(e.whole(t or "") + (2).to_bytes(4, "little"), "<u4") for i, t, _ in rows}
     for r in out:
-        ids, pos = np.frombuffer(r.ids, "<u4"), np.frombuffer(r.positions, "<u4")
-        assert len(ids) == len(pos) == 64 and r.cu_seqlens[-1] == r.n_tokens
+        ids, pos = np.array(r.input_ids), np.array(r.position_ids)
+        assert len(ids) == len(pos) == 64 and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens
+        assert (ids[r.n_tokens :] == 7).all() and not pos[r.n_tokens :].any()
         for k, (i, p, s) in enumerate(zip(r.doc_ids, r.pieces, r.starts)):
             a, b = r.cu_seqlens[k : k + 2]
             assert (ids[a:b] == whole[i][s : s + b - a]).all() and (pos[a:b] == np.arange(b - a)).all()
             found.append((i, p, s, b - a, None))
-    check_pieces(rows, 64, found)
+    assert len({r.sequence_id for r in out}) == len(out)
+    twice = [x for x in found if x[0] == rows[0][0]]
+    assert sorted(twice) == sorted(2 * [x for x in set(twice)])  # a repeated row is packed again
+    check_pieces(rows, 64, set(found))
     assert token_output.pack(table(spark, [])).count() == 0
 
 
@@ -328,6 +362,36 @@ def test_encoder_equals_library():
     assert e([" " * 5000, None]) == [e.whole(" " * 5000), b""]
 
 
+def test_encoder_classes_of_all_code_points():
+    """Letters, numbers, blanks and the rest are told alike by both libraries, for every code point, between and after other characters."""
+    e = Encoder()
+    assert e.fast is not None
+    for first in range(0, 0x110000, 0x400):
+        chars = [chr(c) for c in range(first, first + 0x400) if not 0xD800 <= c < 0xE000]
+        t = "".join(f"a{c}1{c}{c} {c}!{c}  x" for c in chars)
+        if t:
+            assert e([t]) == [e.whole(t)], hex(first)
+
+
+def test_packing_in_bounded_groups(spark):
+    from pagelens.llm._common import materialize
+
+    rnd = random.Random(5)
+    rows = [(i, 0, rnd.choice([1, 3, 10, 33, 40, 64]), i, i, i) for i in range(600)]
+    items = spark.createDataFrame(rows, "id long, piece int, length long, _group int, _bin long, offset long")
+    out = best_fit.pack(materialize(items), room=64, per_group=40, fan_in=4).collect()
+    bins = collections.defaultdict(list)
+    for r in out:
+        assert (r._group, r._bin) == (r.id, r.id)
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert sorted((r.id, r.length) for r in out) == sorted((r[0], r[2]) for r in rows)
+    for b in bins.values():
+        b.sort()
+        assert [o for o, _ in b] == [sum(n for _, n in b[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 64
+    _, _, fill = best_fit.best_fit(np.array([r[2] for r in rows]), 64)
+    assert len(bins) <= 1.1 * len(fill)
+
+
 def test_embeddings(spark):
     rng = np.random.RandomState(11)
     c = rng.randn(6, 8)
