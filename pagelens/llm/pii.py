@@ -2,15 +2,21 @@
 
 What is found and validated is replaced by another value of the same format, by a keyed permutation of the format's values: a
 Feistel network over the values' numbers, walked until it lands inside the format. Equal values get equal pseudonyms in every
-document, different values different ones, and with the key `reveal` turns them back. No value is its own pseudonym.
+document, different values different ones, and with the key `reveal` turns them back exactly. No value is its own pseudonym.
 
-Kinds: `card` (13 to 19 digits with an issuer's prefix and a valid check digit; the pseudonym's is valid too), `phone`, `ip`
-(octets up to 255), `date` (days that exist, in the layout they had), `ssn`, `iban` (valid check digits before and after), `email`
-(letters and digits of the name), `secret` (32 or more hex digits after a word such as token or key).
+Kinds: `card` (13 to 19 digits with an issuer's prefix and a valid check digit; the pseudonym's is valid too), `phone` (8 to 15
+digits, with separators or a leading +; digits are permuted by their number and put back into the layout, so that one number in
+several layouts stays one; ten bare digits are no phone), `ip` (octets up to 255), `date` (days that exist, in the layout they had; a
+pseudonym stays within the years 1-1899, 1900-2099 or 2100-9999, and day and month keep their number of digits, so that a day in
+several layouts stays one and comes back exactly), `ssn`, `iban` (valid check digits before and after), `email` (letters and digits of
+the name), `secret` (32 or more hex digits after a word such as token or key).
+
+There is no built-in key: callers give one, and the query and the pipeline take `spark.pagelens.pii.key` from the session or, where it
+is unset, a random key of that run, whose pseudonyms nobody can turn back and which link within the run alone.
 
 Defined cases: a null or empty text stays as it is with no finds; digits that fail validation stay, where a run of their groups
-is no card either; texts of any length are worked
-on whole; repeated rows are judged one by one; other columns are left alone.
+is no card either; texts of any length are worked on whole; repeated rows are judged one by one and alike; an empty table gives no
+rows; other columns are left alone, and where one has the name of a count the counts' names get another underscore in front.
 """
 
 from __future__ import annotations
@@ -18,18 +24,17 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import secrets
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import chunked, column, mapped
 
 KINDS = ("card", "phone", "ip", "date", "ssn", "iban", "email", "secret")
 ROUNDS = 8
-#: For tests and examples; production runs give their own.
-KEY = b"an example key, to be replaced"
 
 _LIKELY = re.compile(r"[0-9][0-9.\-/ ()]{4}|[0-9a-fA-F]{20}|@")
 _FIND = re.compile(
@@ -44,7 +49,8 @@ _FIND = re.compile(
     r"|(?P<phone>(?<![\w.+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?!\w|[.-][0-9])|(?<![\w+])\+[0-9]{8,15}(?!\w))"
 )
 _CARD = re.compile(r"4|5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[47]|6(?:011|5)|3(?:0[0-5]|[68])|35")
-FIRST, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
+#: First years of the spans that dates stay within.
+SPANS = (1, 1900, 2100, 10000)
 
 
 def luhn(digits: str) -> int:
@@ -112,10 +118,18 @@ _digit = lambda ch: DIGITS if ch in DIGITS else ""
 _any = lambda ch: next((a for a in (DIGITS, LOWER, UPPER) if ch in a), "")
 
 
+def _exists(y: int, m: int, d: int) -> bool:
+    try:
+        datetime.date(y, m, d)
+    except ValueError:
+        return False
+    return True
+
+
 class Pseudonyms:
     """Replaces what it finds; keeps the pseudonyms of the last values, up to `limit` of them."""
 
-    def __init__(self, key: bytes = KEY, step: int = 1, limit: int = 100_000):
+    def __init__(self, key: bytes, step: int = 1, limit: int = 100_000):
         self.key, self.step, self.limit = key, step, limit
         self.known: dict[tuple[str, str], str | None] = {}
 
@@ -124,7 +138,7 @@ class Pseudonyms:
 
     def _format(self, label: str, value: str, classes: Callable[[str], str]) -> str:
         x, n = _spread(value, classes)
-        return _fill(value, self.permuted(f"{label}/{re.sub('[0-9]', '0', value) if label == 'phone' else len(value)}", x, n), classes)
+        return _fill(value, self.permuted(f"{label}/{len(value)}", x, n), classes)
 
     @staticmethod
     def _is_card(value: str) -> bool:
@@ -164,8 +178,14 @@ class Pseudonyms:
         n = sum(ch in DIGITS for ch in value)
         if not 8 <= n <= 15:
             return None
-        m = re.match(r"\+[0-9]{1,3}(?=[ .(-])[ .-]?|", value)
-        return m[0] + self._format("phone", value[m.end() :], _digit)
+        code = re.match(r"\+[0-9]{1,3}(?=[ .(-])[ .-]?|\+1(?=[0-9]{10}$)|", value)[0]
+        rest = value[len(code) :]
+        x, n = _spread(rest, _digit)
+        while True:  # a layout that cards have too: walked until it is none
+            x = self.permuted(f"phone/{n}", x, n)
+            new = code + _fill(rest, x, _digit)
+            if not re.fullmatch("[0-9](?:[ -]?[0-9]){12,}", new) or not self._is_card(new) and not self._part(new):
+                return new
 
     def ip(self, value: str) -> str | None:
         parts = value.split(".")
@@ -174,29 +194,36 @@ class Pseudonyms:
         x = self.permuted("ip", int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32)
         return ".".join(map(str, x.to_bytes(4, "big")))
 
-    def _day(self, y: str, m: str, d: str) -> datetime.date | None:
-        try:
-            day = datetime.date(int(y), int(m), int(d))
-        except ValueError:
-            return None
-        if not 0 <= day.toordinal() - FIRST < DAYS:
+    def _day(self, y: str, m: str, d: str) -> tuple[int, int, int] | None:
+        y, m, d = int(y), int(m), int(d)
+        if not _exists(y, m, d):
             return None
-        return datetime.date.fromordinal(FIRST + self.permuted("date", day.toordinal() - FIRST, DAYS))
+        first, end = next((a, b) for a, b in zip(SPANS, SPANS[1:]) if y < b)
+        months, days = ((1, 9), (10, 3))[m > 9], ((1, 9), (10, 22))[d > 9]
+        n = (end - first) * months[1] * days[1]
+        x = ((y - first) * months[1] + m - months[0]) * days[1] + d - days[0]
+        while True:  # one cycle holds all of the grid, so that this permutes the days that exist
+            x = self.permuted(f"date/{first}/{months[1]}/{days[1]}", x, n)
+            rest, d = divmod(x, days[1])
+            y, m = divmod(rest, months[1])
+            y, m, d = y + first, m + months[0], d + days[0]
+            if _exists(y, m, d):
+                return y, m, d
 
     def iso(self, value: str) -> str | None:
         day = self._day(*value.split("-"))
-        return day and day.isoformat()
+        return day and "{:04}-{:02}-{:02}".format(*day)
 
     def dmy(self, value: str) -> str | None:
-        """Day first with dots; with slashes month first. The layout's width stays two digits where either had two."""
+        """Day first with dots, month first with slashes; each part keeps its width."""
         sep = "." if "." in value else "/"
         a, b, y = value.split(sep)
         day = self._day(y, b, a) if sep == "." else self._day(y, a, b)
         if not day:
             return None
-        one, two = (day.day, day.month) if sep == "." else (day.month, day.day)
-        wide = len(a) == len(b) == 2
-        return f"{one:02}{sep}{two:02}{sep}{day.year}" if wide else f"{one}{sep}{two}{sep}{day.year}"
+        y, m, d = day
+        one, two = (d, m) if sep == "." else (m, d)
+        return f"{one:0{len(a)}}{sep}{two:0{len(b)}}{sep}{y:04}"
 
     def ssn(self, value: str) -> str | None:
         a, b, c = map(int, value.split("-"))
@@ -254,13 +281,20 @@ class Pseudonyms:
         return _FIND.sub(new, text)
 
 
-def pseudonymize(docs: DataFrame, text: str = "text", key: bytes = KEY, *, counts: bool = False) -> DataFrame:
+def count_names(columns: list[str]) -> list[str]:
+    """Names of the counts of KINDS that no column has."""
+    prefix = "n_"
+    while {prefix + k for k in KINDS} & set(columns):
+        prefix = "_" + prefix
+    return [prefix + k for k in KINDS]
+
+
+def pseudonymize(docs: DataFrame, text: str = "text", *, key: bytes, counts: bool = False) -> DataFrame:
     """docs with personal data in the text replaced. All columns stay; with counts, a column n_<kind> for each kind follows."""
-    schema = ", ".join(f"n_{k} long" for k in KINDS)
-    src = docs
-    if counts:
-        for k in KINDS:
-            src = src.withColumn(f"n_{k}", F.lit(0).cast("long"))
+    if not key:
+        raise ValueError("a key is needed")
+    names = count_names(docs.columns) if counts else []
+    src = docs.select("*", *[F.lit(0).cast("long").alias(k) for k in names])
 
     def run(batches):
         pen = Pseudonyms(key)
@@ -272,20 +306,25 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: bytes = KEY, *, count
                 new.append(pen(t, c))
                 seen.append(c)
             out = batch.set_column(i, batch.schema.field(i), pa.array(new, batch.schema.field(i).type))
-            if counts:
-                for k in KINDS:
-                    j = out.schema.get_field_index(f"n_{k}")
-                    out = out.set_column(j, out.schema.field(j), pa.array([c.get(k, 0) for c in seen], pa.int64()))
+            for name, k in zip(names, KINDS):
+                j = out.schema.get_field_index(name)
+                out = out.set_column(j, out.schema.field(j), pa.array([c.get(k, 0) for c in seen], pa.int64()))
             yield out
 
     return src.mapInArrow(run, src.schema)
 
 
-def reveal(text: str, key: bytes = KEY) -> str:
+def reveal(text: str, key: bytes) -> str:
     """The text before pseudonymize; pseudonyms are of the same formats, so they are found again."""
     return Pseudonyms(key, step=-1)(text)
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """spark.pagelens.pii.key, or a random key of this call."""
+    given = spark.conf.get("spark.pagelens.pii.key", None)
+    return given.encode() if given else secrets.token_bytes(32)
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymize(docs, counts=True)
+    return pseudonymize(docs, key=session_key(spark), counts=True)

@@ -100,17 +100,72 @@ def test_ngram_join_empty(spark):
     assert ngram_join.join(table(spark, [])).count() == 0
 
 
+KEY = b"a key of the tests"
+
+
+def test_pseudonyms_are_permutations_and_come_back():
+    """Every kind, in many layouts: other values, of the same format, different for different values, and exactly turned back."""
+    rnd, pen, back = random.Random(13), pii.Pseudonyms(KEY), pii.Pseudonyms(KEY, step=-1)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+
+    def day():
+        return rnd.randint(1, 9999), rnd.randint(1, 12), rnd.randint(1, 28)
+
+    def card():
+        body = rnd.choice(["4", "51", "34", "6011", "35", "2221"])
+        body += digits(rnd.choice([15, 16]) - 1 - len(body))
+        return body + str(-pii.luhn(body + "0") % 10)
+
+    makers = {
+        "phone": lambda: rnd.choice(["{0}-{1}-{2}", "({0}) {1}-{2}", "{0}.{1}.{2}", "+1 {0} {1} {2}", "+44 {0} {1}{2}", "+1{0}{1}{2}"]).format(digits(3), digits(3), digits(4)),
+        "iso": lambda: "{:04}-{:02}-{:02}".format(*day()),
+        "dotted": lambda: (lambda y, m, d: rnd.choice([f"{d}.{m}.{y:04}", f"{d:02}.{m:02}.{y:04}", f"{d:02}.{m}.{y:04}", f"{d}.{m:02}.{y:04}"]))(*day()),
+        "slashed": lambda: (lambda y, m, d: rnd.choice([f"{m}/{d}/{y:04}", f"{m:02}/{d:02}/{y:04}"]))(*day()),
+        "card": card,
+        "ip": lambda: ".".join(str(rnd.randint(0, 255)) for _ in range(4)),
+        "email": lambda: f"{rnd.choice('abC9')}{rnd.choice(['x', '.y', '_7'])}{digits(2)}@host.example",
+        "secret": lambda: "token=" + "".join(rnd.choice("0123456789abcdef") for _ in range(32)),
+        "ssn": lambda: f"{rnd.randint(1, 665):03}-{rnd.randint(1, 99):02}-{rnd.randint(1, 9999):04}",
+    }
+    for kind, make in makers.items():
+        values = list({make() for _ in range(400)})
+        out = [pen(f"x {v} y") for v in values]
+        for v, o in zip(values, out):
+            assert o != f"x {v} y", (kind, v)
+            assert back(o) == f"x {v} y", (kind, v, o)
+            if kind not in ("ip", "email"):
+                assert [ch.isdigit() for ch in o] == [ch.isdigit() for ch in f"x {v} y"] or kind == "secret"
+        assert len(set(out)) == len(values), kind
+
+
+def test_pseudonyms_link_across_layouts():
+    pen, digits = pii.Pseudonyms(KEY), lambda s: "".join(ch for ch in s if ch.isdigit())
+    same = [digits(pen(t)) for t in ("555-123-4567", "(555) 123-4567", "555.123.4567")]
+    assert same[0] == same[1] == same[2] and digits(pen("+1 555 123 4567")) == "1" + same[0] == digits(pen("+15551234567"))
+    y, m, d = pen("2021-03-04").split("-")
+    assert pen("04.03.2021") == f"{d}.{m}.{y}" and pen("3/4/2021") == f"{int(m)}/{int(d)}/{y}" and pen("1850-01-01")[:2] in ("18", "17", "16", "15", "14", "13", "12", "11", "10", "09", "08", "07", "06", "05", "04", "03", "02", "01", "00")
+
+
+def test_pseudonyms_need_a_key_and_spare_columns(spark):
+    docs = spark.createDataFrame([(1, "call 555-123-4567", 9), (1, "call 555-123-4567", 9), (2, "word " * 200_000 + "a1@host.example.com", 9)], "doc_id long, text string, n_card int")
+    with pytest.raises(ValueError):
+        pii.pseudonymize(docs, key=b"")
+    out = pii.pseudonymize(docs, key=KEY, counts=True).orderBy("doc_id").collect()
+    assert [r.n_card for r in out] == [9, 9, 9] and [r._n_phone for r in out] == [1, 1, 0] and [r._n_email for r in out] == [0, 0, 1]
+    assert out[0].text == out[1].text != "call 555-123-4567" and len(out[2].text) == 1_000_019
+
+
 def test_pseudonyms(spark):
     texts = ["mail a.b9@host.example.com or +1 (201) 555-0123", "4417744280351547 and again 4417744280351547", "9807915762804490 stays, 2.0. stays", "on 2021-03-04 and 12.03.2021 at 161.17.88.162", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "123-45-6789, GB82 WEST 1234 5698 7654 32", None, "", "999.1.1.1 and 2021-02-30 stay"]
-    out = [r.text for r in pii.pseudonymize(table(spark, [(i, t, None) for i, t in enumerate(texts)])).orderBy("doc_id").collect()]
+    out = [r.text for r in pii.pseudonymize(table(spark, [(i, t, None) for i, t in enumerate(texts)]), key=KEY).orderBy("doc_id").collect()]
     for a, b in zip(texts, out):
         if not a or "stay" in a:
             assert b == a or "stays" in a and b == a
         else:
             assert a != b and len(a) == len(b) or "161." in a
-            assert pii.reveal(b) == a
+            assert pii.reveal(b, KEY) == a
     assert out[1].split(" and again ")[0] == out[1].split(" and again ")[1] and pii.luhn(out[1].split()[0]) == 0
-    assert pii.pseudonymize(table(spark, [])).count() == 0
+    assert pii.pseudonymize(table(spark, []), key=KEY).count() == 0
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 256, 1000])
@@ -465,10 +520,10 @@ def test_language_with_few_rows(spark):
 
 
 def test_card_beside_other_digits():
-    pen = pii.Pseudonyms()
+    pen = pii.Pseudonyms(KEY)
     for t in ["pay 4111 1111 1111 1111 12/27", "4111111111111111 123", "2 4111111111111111", *[f"4111 1111 1111 1111 {i:03}" for i in range(0, 999, 7)]]:
         counts = {}
         out = pen(t, counts)
-        assert counts == {"card": 1} and out != t and len(out) == len(t) and pii.reveal(out) == t
+        assert counts == {"card": 1} and out != t and len(out) == len(t) and pii.reveal(out, KEY) == t
         if not pii.Pseudonyms._is_card(t):
             assert "4111111111111111" not in out.replace(" ", "")
