@@ -36,7 +36,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets become pseudonyms of the same format."""
-    return _measured(pii.pseudonymize(docs))
+    return _measured(pii.pseudonymize(docs, key=pii.session_key(spark)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
