@@ -66,6 +66,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets_for(spark: SparkSession, size: int, each: int, most: int = 4096) -> int:
+    """Buckets for `size` bytes or rows with about `each` in one: at least as many as there are shuffle partitions."""
+    return max(partitions(spark), min(most, -(-size // each)))
+
+
+def deal(df: DataFrame, n: int, key: str = "bucket", *order: str) -> DataFrame:
+    """df with every key 0 to n - 1 in a partition of its own, sorted by key and `order` in it: no two keys collide as they do by hash."""
+    return df.repartitionById(n, F.col(key).cast("int")).sortWithinPartitions(key, *order)
+
+
 def scan_splits(df: DataFrame, least: int | None = None) -> DataFrame:
     """df, dealt out evenly when its scan has fewer partitions than the cluster has cores."""
     n = least or df.sparkSession.sparkContext.defaultParallelism

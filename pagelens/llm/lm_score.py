@@ -1,25 +1,19 @@
 """Language-model scores by prediction by partial matching (PPM) over bytes.
 
-op4 is score_stream(): contexts run over the bytes of the whole text, across blanks and line ends. score() is the form by vocabulary, which
-keeps contexts within a token and knows whole lines; it is as follows.
-
-A text is its lines (cut at line feeds), a line its tokens (ASCII-lower-cased, cut at ASCII blanks), each followed by a blank byte, and
-a line's end. Contexts are tried from the longest to the shortest. The longest is the whole line so far: along a line of `long`
-tokens or more that training has seen, it predicts every byte, so such a line is coded at once, by its share of all lines; any other
-line costs that context's escape and is coded byte by byte. There a byte is predicted from the up to `order` bytes before it, as far
-back as the blank that its token follows: the trie of contexts holds the counts of the bytes seen after each; a byte that the longest
-context has not seen costs an escape and is looked for in the next shorter one, where the bytes seen before are excluded; the last
-resort is uniform. A context seen T times with q different bytes gives a byte seen c times (2c-1)/2T and the escape q/2T; the lines'
-escape is what leaving each training line out in turn gives. After each line comes whether the text ends.
-
-As byte contexts end at the token, a token costs the same everywhere, so the corpus is scored by its vocabulary: batches send their
-distinct tokens to the tokens' buckets, where training counts meet; the buckets' byte windows go to the contexts that they end in,
-where the trie is counted and the code length of every window is found; answers travel back the same way. All of it grows with the
-corpus and is spread over all tasks: the only tables sent to every task are those of orders 0 and 1, of at most 65,536 entries.
-
-Defined cases: a null or empty text is its end alone; a null id is learned from and not held out; rows that repeat an id are scored one
-by one; without training rows every byte is uniform, and the base score is that of an empty count; an empty table gives no rows;
-other columns are left alone.
+A text is its bytes, ASCII letters lower-cased, and a last line feed; after each line feed comes whether the text ends there. Every
+byte is predicted from the up to `order` bytes before it, across blanks and line ends: the trie of contexts holds the counts of the
+bytes seen after each, and contexts are tried from the longest to the shortest. A byte that a context has not seen costs its escape and
+is looked for in the next shorter one, where the bytes seen before are excluded; the last resort is uniform. A context seen T times
+with q different bytes gives a byte seen c times (2c-1)/2T and the escape q/2T.
+
+score() is pretrained: all texts that are not held out are learned from first. A context with its byte is a window, and one that many
+texts share need not be coded for each of them: batches send their distinct windows to buckets by the three bytes before the byte, where
+training counts meet and code lengths are found, and get them back. The trie thus grows with the corpus and is spread over all
+tasks; only its orders 0 to 2, at most 2**24 entries, are sent to every task. adaptive() learns each document's own trie as it codes it.
+
+Defined cases: a null or empty text is its end alone; texts of any length are coded whole; a null id is learned from and not held out;
+rows that repeat an id are scored one by one; without training rows every byte is uniform, and the base score is that of an empty count;
+an empty table gives no rows; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U, chunked, column, forget, grouped, mapped, materialize, mix, partitions, release, texts
+from ._common import U, buckets_for, chunked, column, deal, forget, grouped, mapped, materialize, mix, release, texts
 
-BLANK, END = 32, 10  # END ends a line
-LONG = 4
+END = 10  # ends a line
+LOW = 3  # orders 0 to LOW - 1 are sent to every task; windows are dealt by this many bytes of context
 
 
 class Trie:
@@ -67,50 +61,17 @@ class Trie:
             excluded |= at.keys()
         return out - math.log10(256 - len(excluded))
 
-    @staticmethod
-    def symbols(tokens: list[bytes]):
-        """(bytes before it in its token, byte) of each byte of a line."""
-        for w in tokens:
-            s = bytes([BLANK]) + w + bytes([BLANK])
-            yield from ((s[:i], s[i]) for i in range(1, len(s)))
-        yield bytes([BLANK]), END
-
     def score(self, text: bytes, adaptive: bool = False) -> float:
-        """log10 probability of a text by its bytes alone, without lines' contexts."""
-        total = 0.0
-        for line in text.lower().split(b"\n"):
-            for past, symbol in self.symbols(line.split()):
-                total += self.log10(past, symbol)
-                if adaptive:
-                    self.learn(past, symbol)
+        """log10 probability of a text's bytes."""
+        total, s = 0.0, stream(text)
+        for k in range(len(s)):
+            past = s[max(0, k - self.order) : k]
+            total += self.log10(past, s[k])
+            if adaptive:
+                self.learn(past, s[k])
         return total
 
 
-def lines(text: bytes) -> list[list[bytes]]:
-    """Tokens of the lines of a text, lower-cased; a text without tokens is one line."""
-    return [x for x in (line.split() for line in text.lower().split(b"\n")) if x] or [[]]
-
-
-def line_key(tokens: list[bytes]) -> bytes:
-    """A long line's name in the vocabulary; no token starts with a line feed."""
-    return b"\n" + xxhash.xxh3_128_hexdigest(b" ".join(tokens)).encode()[:24]
-
-
-def windows(tokens: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The windows (`order` bytes of context, zeros before the token's blank, and a byte) of all tokens, and each token's number of windows."""
-    pad = b"\0" * (order - 1) + bytes([BLANK])
-    stream = np.frombuffer(b"".join(pad + t + b" " for t in tokens), np.uint8)
-    n = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
-    size = n + order
-    start = np.concatenate([[0], np.cumsum(size)])[:-1]
-    at = np.arange(int(size.sum())) - np.repeat(start, size)
-    pos = np.flatnonzero(at >= order)
-    g = np.zeros(len(pos), U)
-    for j in range(order, -1, -1):
-        g = (g << U(8)) | stream[pos - j].astype(U)
-    return g, n
-
-
 def _low(g: np.ndarray, order: int) -> np.ndarray:
     """Windows cut to the last `order` bytes of context."""
     return g & U((1 << 8 * (order + 1)) - 1)
@@ -136,17 +97,12 @@ class _Level:
         return at, where[at] == what
 
 
-def _aggregate(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    k, back = np.unique(keys, return_inverse=True)
-    return k, np.bincount(back, counts, len(k))
-
-
 def code_lengths(g: np.ndarray, known: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray], order: int) -> np.ndarray:
-    """log10 probability of each window of g, by the training windows `known`, of which all that share two bytes of context with g are
-    there; low: entries of order 1 of the whole corpus."""
+    """log10 probability of each window of g, by the training windows `known`, of which all that share LOW bytes of context with g are
+    there; low: entries of order LOW - 1 of the whole corpus."""
     levels: list[_Level] = []
     for j in range(order + 1):
-        k, c = _aggregate(_low(low[0], j), low[1]) if j < 2 else _aggregate(_low(known, j), counts)
+        k, c = _summed([(_low(low[0], j), low[1]) if j < LOW else (_low(known, j), counts)])
         level = _Level(k, c)
         if levels:
             at, hit = _Level.find(levels[-1].keys, _low(k, j - 1))
@@ -174,232 +130,12 @@ def code_lengths(g: np.ndarray, known: np.ndarray, counts: np.ndarray, low: tupl
     return out
 
 
-def line_escape(lines_: int, long_: int, once: int) -> float:
-    """The probability that a line is not coded as a whole: lines that are short or that training saw once, of all lines."""
-    return (lines_ - long_ + once + 0.5) / (lines_ + 1)
-
-
 class _Vocabulary(dict):
     def __missing__(self, token: bytes) -> int:
         self[token] = n = len(self)
         return n
 
 
-def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *, order: int = 6, batch_bytes: int = 24_000_000) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; the model learns from rows that are not held out.
-
-    order: bytes of context, 2 to 7.
-    """
-    spark = docs.sparkSession
-    buckets = partitions(spark)
-    kind = docs.schema[id].dataType.simpleString()
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), held_out.alias("held"))
-
-    def flush(batch_no, vocabulary, docs_):
-        tokens = list(vocabulary)
-        n = len(tokens)
-        count = np.zeros(n, np.int64)
-        for k, held, ids, own, sizes in docs_:
-            yield {"kind": "D", "batch": batch_no, "bucket": -1, "id": k, "held": held, "a": ids.tobytes(), "b": own.tobytes(), "c": sizes.tobytes()}
-        if taught := [x for _, held, ids, own, _ in docs_ if not held for x in (ids, own[own >= 0])]:
-            count = np.bincount(np.concatenate(taught), minlength=n)
-        if n:
-            b = (np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), U, n) % U(buckets)).astype(np.int64)
-            at = np.argsort(b, kind="stable")
-            cuts = np.searchsorted(b[at], np.arange(buckets + 1))
-            for i in range(buckets):
-                own = at[cuts[i] : cuts[i + 1]]
-                if len(own):
-                    yield {"kind": "T", "batch": batch_no, "bucket": i, "id": None, "held": None, "a": b" ".join([tokens[j] for j in own.tolist()]), "b": own.astype(np.int32).tobytes(), "c": count[own].tobytes()}
-
-    def read(batches):
-        batch_no, vocabulary, docs_, size = TaskContext.get().partitionId() << 24, _Vocabulary(), [], 0
-
-        def out(rows):
-            rows = list(rows)
-            for i in range(0, len(rows), 2000):
-                yield {k: [r[k] for r in rows[i : i + 2000]] for k in ("kind", "batch", "bucket", "id", "held", "a", "b", "c")}
-
-        for batch in chunked(batches):
-            for k, t, held in zip(column(batch, "id"), texts(batch), column(batch, "held")):
-                cut_ = lines(t)
-                ws = [w for x in cut_ for w in x]
-                own = np.array([vocabulary[line_key(x)] if len(x) >= LONG else -1 for x in cut_], np.int32)
-                docs_.append((k, held, np.fromiter(map(vocabulary.__getitem__, ws), np.int32, len(ws)), own, np.array([len(x) for x in cut_], np.int32)))
-                size += len(t)
-            if size >= batch_bytes:
-                yield from out(flush(batch_no, vocabulary, docs_))
-                batch_no, vocabulary, docs_, size = batch_no + 1, _Vocabulary(), [], 0
-        if docs_:
-            yield from out(flush(batch_no, vocabulary, docs_))
-
-    schema = f"kind string, batch long, bucket int, id {kind}, held boolean, a binary, b binary, c binary"
-    table = materialize(mapped(rows, read, schema), "tokens", by="kind")
-    asked = table.filter("kind = 'T'").select("bucket", "batch", "a", "b", "c").repartition(buckets, "bucket").sortWithinPartitions("bucket", "batch")
-
-    def merge(batches):
-        for bucket, group in grouped(batches):
-            vocabulary, count, places = _Vocabulary(), [], []
-            for batch in group:
-                for no, a, b, c in zip(*(column(batch, x) for x in ("batch", "a", "b", "c"))):
-                    ws = a.split(b" ")
-                    at = np.fromiter(map(vocabulary.__getitem__, ws), np.int32, len(ws))
-                    places.append((no, b, at))
-                    count.append(np.frombuffer(c, np.int64))
-            total = np.bincount(np.concatenate([x[2] for x in places]), np.concatenate(count), len(vocabulary)).astype(np.int64)
-            line = np.fromiter((w[0] == END for w in vocabulary), bool, len(vocabulary))
-            said_ = {"tokens": int(total[~line].sum()), "kinds": int((total[~line] > 0).sum()), "lines": int(total[line].sum()), "once": int((total[line] == 1).sum())}
-            yield {"kind": ["V"], "bucket": [bucket], "batch": [-1], "a": [b" ".join(vocabulary)], "b": [total.tobytes()]} | {k: [v] for k, v in said_.items()}
-            yield {"kind": ["Q"] * len(places), "bucket": [bucket] * len(places), "batch": [x[0] for x in places], "a": [x[1] for x in places], "b": [x[2].tobytes() for x in places]} | {k: [0] * len(places) for k in said_}
-
-    words = materialize(mapped(asked, merge, "kind string, bucket int, batch long, a binary, b binary, tokens long, kinds long, lines long, once long"), "words")
-    forget(table, "kind=T")
-    documents = table.filter("kind = 'D'").select("batch", "id", "held", "a", "b", "c")  # reads that part's files alone
-    release(spark)
-    told = words.agg(*[F.coalesce(F.sum(k), F.lit(0)) for k in ("tokens", "kinds", "lines", "once")]).first()
-    ends, all_lines = documents.filter("not held").agg(F.count("*"), F.coalesce(F.sum((F.octet_length("c") / 4).cast("long")), F.lit(0))).first()
-    escape = line_escape(all_lines, told[2], told[3])
-    line_bytes = all_lines - told[2] + told[3]  # lines that were coded by bytes when they were new
-    n_train, v_train = told[0] + ends, told[1] + (ends > 0)
-    end_window = U(BLANK << 8 | END)
-
-    def cut(batches):
-        for batch in batches:
-            for bucket, a, b in zip(*(column(batch, x) for x in ("bucket", "a", "b"))):
-                ws, total = a.split(b" "), np.frombuffer(b, np.int64)
-                own = [i for i, w in enumerate(ws) if w[0] != END]
-                if not own:
-                    continue
-                g, n = windows([ws[i] for i in own], order)
-                keys, count = _aggregate(g, np.repeat(total[own], n))
-                part = (mix((keys >> U(8)) & U(0xFFFF)) % U(buckets)).astype(np.int64)
-                at = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[at], np.arange(buckets + 1))
-                some = [i for i in range(buckets) if cuts[i] < cuts[i + 1]]
-                own = [at[cuts[i] : cuts[i + 1]] for i in some]
-                yield {"part": some, "bucket": [bucket] * len(some), "keys": [keys[x].tobytes() for x in own], "count": [count[x].astype(np.int64).tobytes() for x in own]}
-
-    cuts_ = materialize(mapped(words.filter("kind = 'V'").select("bucket", "a", "b"), cut, "part int, bucket int, keys binary, count binary"), "windows")
-
-    def lows(batches):
-        keys, count = np.zeros(0, U), np.zeros(0)
-        for batch in batches:
-            for k, c in zip(column(batch, "keys"), column(batch, "count")):
-                keys, count = _aggregate(np.concatenate([keys, _low(np.frombuffer(k, U), 1)]), np.concatenate([count, np.frombuffer(c, np.int64)]))
-        yield {"key": keys.astype(np.int64), "n": count.astype(np.int64)}
-
-    low = mapped(cuts_, lows, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 0").toPandas()  # two bytes: 65,536 rows at most
-    low_keys, low_counts = low["key"].to_numpy(np.int64).astype(U), low["n"].to_numpy(np.float64)
-    if line_bytes:
-        low_keys, low_counts = _aggregate(np.append(low_keys, end_window), np.append(low_counts, float(line_bytes)))
-    said = spark.sparkContext.broadcast((low_keys, low_counts))
-
-    def price(batches):
-        for part, group in grouped(batches, "part"):
-            who = [x for b in group for x in column(b, "bucket")]
-            keys = [np.frombuffer(x, U) for b in group for x in column(b, "keys")]
-            all_keys, count = _aggregate(np.concatenate(keys), np.concatenate([np.frombuffer(x, np.int64) for b in group for x in column(b, "count")]))
-            known = count > 0
-            k, c = all_keys[known], count[known]
-            if line_bytes and int(mix(np.array([BLANK], U))[0] % U(buckets)) == part:
-                k, c = _aggregate(np.append(k, end_window), np.append(c, float(line_bytes)))
-            p = code_lengths(all_keys, k, c, said.value, order)
-            yield {"kind": ["R"] * len(who), "bucket": who, "batch": [part] * len(who), "a": [x.tobytes() for x in keys], "b": [p[np.searchsorted(all_keys, x)].tobytes() for x in keys]}
-
-    priced = mapped(cuts_.repartition(buckets, "part").sortWithinPartitions("part"), price, "kind string, bucket int, batch long, a binary, b binary")
-
-    # a line end's own code length, from the windows that share its context
-    start_part = int(mix(np.array([BLANK], U))[0] % U(buckets))
-
-    def end_price(batches):
-        keys, count = [np.zeros(0, U)], [np.zeros(0)]
-        for batch in batches:
-            for k, c in zip(column(batch, "keys"), column(batch, "count")):
-                k, c = np.frombuffer(k, U), np.frombuffer(c, np.int64)
-                own = ((k >> U(8)) & U(0xFFFF)) == U(BLANK)
-                keys.append(k[own])
-                count.append(c[own].astype(float))
-        k, c = _aggregate(np.concatenate(keys), np.concatenate(count))
-        yield {"key": k.astype(np.int64), "n": c.astype(np.int64)}
-
-    starts = mapped(cuts_.filter(F.col("part") == start_part), end_price, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 0").toPandas()  # the 256 bytes after a blank
-    k, c = starts["key"].to_numpy(np.int64).astype(U), starts["n"].to_numpy(np.float64)
-    if line_bytes:
-        k, c = _aggregate(np.append(k, end_window), np.append(c, float(line_bytes)))
-    end_score = float(code_lengths(np.array([end_window], U), k, c, (low_keys, low_counts), order)[0])
-
-    def answer(batches):
-        for bucket, group in grouped(batches):
-            keys, prices, tokens, count, questions = [], [], [], None, []
-            for batch in group:
-                for what, no, a, b in zip(*(column(batch, x) for x in ("kind", "batch", "a", "b"))):
-                    if what == "R":
-                        keys.append(np.frombuffer(a, U))
-                        prices.append(np.frombuffer(b, np.float64))
-                    elif what == "V":
-                        tokens, count = a.split(b" "), np.frombuffer(b, np.int64)
-                    else:
-                        questions.append((no, a, np.frombuffer(b, np.int32)))
-            key, price_ = np.concatenate([np.zeros(0, U), *keys]), np.concatenate([np.zeros(0), *prices])
-            at = np.argsort(key)
-            key, price_ = key[at], price_[at]
-            value = np.zeros(len(tokens))
-            words_ = np.array([i for i, w in enumerate(tokens) if w[0] != END], np.int64)
-            for i in range(0, len(words_), 100_000):
-                own = words_[i : i + 100_000]
-                g, n = windows([tokens[j] for j in own.tolist()], order)
-                edge = np.concatenate([[0], np.cumsum(n)])[:-1]
-                value[own] = np.add.reduceat(price_[np.searchsorted(key, g)], edge)
-            for no, local, at in questions:
-                yield {"kind": ["A"], "batch": [no], "id": [None], "held": [None], "a": [local], "b": [count[at].tobytes()], "c": [value[at].tobytes()]}
-
-    ask = words.select("kind", "bucket", "batch", "a", "b").union(priced).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    answers = mapped(ask, answer, f"kind string, batch long, id {kind}, held boolean, a binary, b binary, c binary")
-    answers = materialize(answers, "answers")
-    forget(words)
-    forget(cuts_)
-    release(spark)
-    floor = n_train + 0.5 * (v_train + 1)
-    end_base = math.log10((ends + 0.5) / floor)
-    stop = (ends + 0.5) / (all_lines + 1)
-
-    def total(batches):
-        for _, group in grouped(batches, "batch"):
-            local, count, value, held = [], [], [], []
-            for batch in group:  # answers sort before documents
-                out = {k: [] for k in ("id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")}
-                for what, k, h, a, b, c in zip(*(column(batch, x) for x in ("kind", "id", "held", "a", "b", "c"))):
-                    if what == "A":
-                        local.append(np.frombuffer(a, np.int32))
-                        count.append(np.frombuffer(b, np.int64))
-                        value.append(np.frombuffer(c, np.float64))
-                        continue
-                    if local:
-                        at = np.concatenate(local)
-                        n, v = np.zeros(len(at), np.int64), np.zeros(len(at))
-                        n[at], v[at] = np.concatenate(count), np.concatenate(value)
-                        base = np.log10((n + 0.5) / floor)
-                        held, local = [n > 0, base, v, n], []
-                    ids, own, sizes = (np.frombuffer(x, np.int32) for x in (a, b, c))
-                    known, base_ = (int(held[0][ids].sum()), float(held[1][ids].sum())) if len(ids) else (0, 0.0)
-                    by_bytes = np.full(len(own), end_score)
-                    if len(ids):
-                        full = sizes > 0
-                        by_bytes[full] += np.add.reduceat(held[2][ids], (np.cumsum(sizes) - sizes)[full])
-                    by_bytes += math.log10(escape)
-                    seen = np.zeros(len(own), np.int64)
-                    seen[own >= 0] = held[3][own[own >= 0]] if len(ids) else 0
-                    line = np.where(seen > 0, math.log10(1 - escape) + np.log10(np.maximum(seen, 1) / max(told[2], 1)), by_bytes)
-                    score_ = float(line.sum()) + math.log10(stop) + (len(own) - 1) * math.log10(1 - stop)
-                    for name, x in zip(out, (k, h, len(ids) + 1, known + (ends > 0), n_train, base_ + end_base, score_)):
-                        out[name].append(x)
-                yield out
-
-    parts_ = answers.union(documents.select(F.lit("D").alias("kind"), "batch", "id", "held", "a", "b", "c")).repartition(buckets, "batch").sortWithinPartitions("batch", "kind")
-    out = mapped(parts_, total, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return out.withColumnRenamed("id", id)
-
-
 def stream(text: bytes) -> bytes:
     """The bytes of a text that are coded: lower-cased, every blank and line feed as it stands, and a last line's end."""
     return text.lower() + bytes([END])
@@ -464,21 +200,18 @@ def _unpack(b: bytes, kind=U) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(_unzip(b), np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
-def score_stream(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *, order: int = 6, batch_bytes: int = 24_000_000) -> DataFrame:
+def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *, order: int = 6, batch_bytes: int = 32_000_000, bucket_bytes: int = 256_000_000) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; the model learns from rows that are not held out.
 
-    A text is its stream() of bytes. Every byte is predicted from the up to `order` bytes before it, across blanks and line ends, and
-    after each line feed comes whether the text ends. Batches send their distinct windows to the windows' contexts, where training
-    counts meet and code lengths are found, and their distinct tokens, for the unigram base, to the tokens' buckets.
-
-    order: bytes of context, 2 to 7.
+    order: bytes of context, 3 to 7. batch_bytes: of text whose windows and tokens are sent together. bucket_bytes: of all texts, for
+    which there is one bucket of windows. Tokens, for the unigram base, travel as windows do.
     """
     spark = docs.sparkSession
-    buckets = partitions(spark)
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), held_out.alias("held"))
-    names = ("kind", "batch", "bucket", "id", "held", "a", "b", "n")
-    schema = f"kind string, batch long, bucket int, id {kind}, held boolean, a binary, b binary, n long"
+    buckets = buckets_for(spark, rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, bucket_bytes)
+    names = ("kind", "batch", "bucket", "ids", "held", "a", "b")
+    schema = f"kind string, batch long, bucket int, ids array<{kind}>, held array<boolean>, a binary, b binary"
 
     def dealt(of):
         at = np.argsort(of, kind="stable")
@@ -487,28 +220,31 @@ def score_stream(docs: DataFrame, held_out, id: str = "doc_id", text: str = "tex
 
     def flush(no, docs_):
         count, sums = {}, []
-        for k, held, s in docs_:
-            yield "D", no, -1, k, held, s, None, s.count(b"\n")
-            for w in s.split():
-                count[w] = count.get(w, 0) + (not held)
         for own in _portions([x[2] for x in docs_]):
-            g, n = stream_windows([x[2] for x in docs_[own]], order)
+            part = docs_[own]
+            streams, held = [x[2] for x in part], [x[1] for x in part]
+            yield "D", no, -1, [x[0] for x in part], held, _zip(b"".join(streams)), _pack(np.array([len(x) for x in streams], np.int64))
+            for s, h in zip(streams, held):
+                for w in s.split():
+                    count[w] = count.get(w, 0) + (not h)
+            g, n = stream_windows(streams, order)
             keys, _ = _runs(g)
-            taught, times = _runs(g[np.repeat([not x[1] for x in docs_[own]], n)])
+            taught, times = _runs(g[np.repeat(np.logical_not(held), n)])
             c = np.zeros(len(keys), np.int64)
             c[np.searchsorted(keys, taught)] = times
             sums.append((keys, c))
             if len(sums) >= 4:
                 sums = [_summed(sums)]
         keys, n = _summed(sums)
-        few, c = _aggregate(_low(keys, 1), n)
-        yield "L", no, -1, None, None, _pack(few), _pack(c.astype(np.int64)), 0
-        for i, own in dealt((mix((keys >> U(8)) & U(0xFFFF)) % U(buckets)).astype(np.int64)):
-            yield "W", no, i, None, None, _pack(keys[own]), _pack(n[own]), 0
+        taught = n > 0
+        few, c = _summed([(_low(keys[taught], LOW - 1), n[taught])])
+        yield "L", no, -1, None, None, _pack(few), _pack(c)
+        for i, own in dealt((mix((keys >> U(8)) & U((1 << 8 * LOW) - 1)) % U(buckets)).astype(np.int64)):
+            yield "W", no, i, None, None, _pack(keys[own]), _pack(n[own])
         tokens = list(count)
         n = np.fromiter(count.values(), np.int64, len(count))
         for i, own in dealt((np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), U, len(tokens)) % U(buckets)).astype(np.int64)):
-            yield "T", no, i, None, None, _zip(b" ".join([tokens[j] for j in own.tolist()])), _pack(n[own]), 0
+            yield "T", no, i, None, None, _zip(b" ".join([tokens[j] for j in own.tolist()])), _pack(n[own])
 
     def read(batches):
         no, docs_, size = TaskContext.get().partitionId() << 24, [], 0
@@ -528,16 +264,14 @@ def score_stream(docs: DataFrame, held_out, id: str = "doc_id", text: str = "tex
             for k, t, held in zip(column(batch, "id"), texts(batch), column(batch, "held")):
                 docs_.append((k, bool(held), stream(t)))
                 size += len(t) + 1
-            if size >= batch_bytes:
-                yield from out(flush(no, docs_))
-                no, docs_, size = no + 1, [], 0
+                if size >= batch_bytes:
+                    yield from out(flush(no, docs_))
+                    no, docs_, size = no + 1, [], 0
         if docs_:
             yield from out(flush(no, docs_))
 
     table = materialize(mapped(rows, read, schema), "streams", by="kind")
-    documents = table.filter("kind = 'D'").select("batch", "id", "held", "a", "n")
-    cuts_ = table.filter("kind = 'W'").select("bucket", "batch", "a", "b")
-    asked = table.filter("kind = 'T'").select("bucket", "batch", "a", "b").repartition(buckets, "bucket").sortWithinPartitions("bucket", "batch")
+    asked = deal(table.filter("kind = 'T'").select("bucket", "batch", "a", "b"), buckets, "bucket", "batch")
 
     def merge(batches):
         for bucket, group in grouped(batches):
@@ -553,41 +287,60 @@ def score_stream(docs: DataFrame, held_out, id: str = "doc_id", text: str = "tex
 
     words = materialize(mapped(asked, merge, "batch long, a binary, b binary, tokens long, kinds long"), "words")
     forget(table, "kind=T")
-    release(spark)
+
+    def ends_of(batches):
+        for batch in batches:
+            for held, a, b in zip(*(column(batch, x) for x in ("held", "a", "b"))):
+                data, at = _unzip(a), 0
+                for h, n in zip(held, _unpack(b, np.int64).tolist()):
+                    if not h:
+                        yield {"texts": [1], "lines": [data.count(b"\n", at, at + n)]}
+                    at += n
+
+    documents = table.filter("kind = 'D'").select("batch", "ids", "held", "a", "b")
+    ends, all_lines = mapped(documents, ends_of, "texts long, lines long").agg(F.coalesce(F.sum("texts"), F.lit(0)), F.coalesce(F.sum("lines"), F.lit(0))).first()
     told = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    ends, all_lines = documents.filter("not held").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     n_train, v_train = told[0] + ends, told[1] + (ends > 0)
 
     def lows(batches):
-        keys, count = np.zeros(0, U), np.zeros(0)
+        sums = [(np.zeros(0, U), np.zeros(0, np.int64))]
         for batch in batches:
             for k, c in zip(column(batch, "a"), column(batch, "b")):
-                keys, count = _summed([(keys, count), (_unpack(k), _unpack(c).astype(np.float64))])
-        yield {"key": keys.astype(np.int64), "n": count.astype(np.int64)}
+                sums = [_summed([*sums, (_unpack(k), _unpack(c, np.int64))])]
+        yield {"a": [_pack(sums[0][0])], "b": [_pack(sums[0][1])]}
 
-    low = mapped(table.filter("kind = 'L'").select("a", "b"), lows, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 0").toPandas()  # two bytes: 65,536 rows at most
-    said = spark.sparkContext.broadcast(_aggregate(low["key"].to_numpy(np.int64).astype(U), low["n"].to_numpy(np.float64)))
+    low = mapped(mapped(table.filter("kind = 'L'").select("a", "b"), lows, "a binary, b binary").coalesce(1), lows, "a binary, b binary").first()
+    said = spark.sparkContext.broadcast((_unpack(low.a), _unpack(low.b, np.int64).astype(np.float64)) if low else (np.zeros(0, U), np.zeros(0)))
+    release(spark)
 
     def price(batches):
         for _, group in grouped(batches):
-            who = [x for b in group for x in column(b, "batch")]
-            keys = [_unpack(x) for b in group for x in column(b, "a")]
-            all_keys, count = _summed([(k, _unpack(x).astype(np.float64)) for k, x in zip(keys, (x for b in group for x in column(b, "b")))])
+            sums, held = [], 0
+            for batch in group:
+                for a, b in zip(column(batch, "a"), column(batch, "b")):
+                    sums.append((_unpack(a), _unpack(b, np.int64)))
+                    held += len(sums[-1][0])
+                    if held > 4_000_000:
+                        sums = [_summed(sums)]
+                        held = 0
+            all_keys, count = _summed(sums)
             known = count > 0
-            p = code_lengths(all_keys, all_keys[known], count[known], said.value, order)
+            k, c = all_keys[known], count[known].astype(np.float64)
+            p = code_lengths(all_keys, k, c, said.value, order)
             values, code = np.unique(p, return_inverse=True)  # few: counts are small numbers
-            for no, k in zip(who, keys):
-                code_ = code[np.searchsorted(all_keys, k)]
-                own, _ = _runs(code_)
-                at = np.searchsorted(own, code_)
-                at, values_ = at.astype("<u4").view(np.uint8).reshape(-1, 4).T, values[own]
-                yield {"kind": ["B"], "batch": [no], "id": [None], "held": [None], "a": [_pack(k)], "b": [_zip(at.tobytes() + values_.tobytes())], "n": [len(k)]}
-
-    final = f"kind string, batch long, id {kind}, held boolean, a binary, b binary, n long"
-    priced = mapped(cuts_.repartition(buckets, "bucket").sortWithinPartitions("bucket"), price, final)
-    none = [F.lit(None).cast(kind).alias("id"), F.lit(None).cast("boolean").alias("held")]
-    counted = words.select(F.lit("A").alias("kind"), "batch", *none, "a", "b", F.lit(0).cast("long").alias("n"))
-    coded = documents.select(F.lit("D").alias("kind"), "batch", "id", "held", "a", F.lit(None).cast("binary").alias("b"), "n")
+            for batch in group:
+                for no, a in zip(column(batch, "batch"), column(batch, "a")):
+                    code_ = code[np.searchsorted(all_keys, _unpack(a))]
+                    own, _ = _runs(code_)
+                    at = np.searchsorted(own, code_)
+                    at, values_ = at.astype("<u4").view(np.uint8).reshape(-1, 4).T, values[own]
+                    yield {"kind": ["B"], "batch": [no], "ids": [None], "held": [None], "a": [a], "b": [len(code_).to_bytes(8, "little") + _zip(at.tobytes() + values_.tobytes())]}
+
+    final = f"kind string, batch long, ids array<{kind}>, held array<boolean>, a binary, b binary"
+    priced = mapped(deal(table.filter("kind = 'W'").select("bucket", "batch", "a", "b"), buckets, "bucket", "batch"), price, final)
+    none = [F.lit(None).cast(f"array<{kind}>").alias("ids"), F.lit(None).cast("array<boolean>").alias("held")]
+    counted = words.select(F.lit("A").alias("kind"), "batch", *none, "a", "b")
+    coded = documents.select(F.lit("D").alias("kind"), "batch", "ids", "held", "a", "b")
     floor = n_train + 0.5 * (v_train + 1)
     end_base = math.log10((ends + 0.5) / floor)
     stop = (ends + 0.5) / (all_lines + 1)
@@ -596,40 +349,38 @@ def score_stream(docs: DataFrame, held_out, id: str = "doc_id", text: str = "tex
         for _, group in grouped(batches, "batch"):
             count, keys, prices, ready = {}, [np.zeros(0, U)], [np.zeros(0)], False
             for batch in group:  # answers sort before documents
-                held = []
-                for what, k, h, a, b, n in zip(*(column(batch, x) for x in ("kind", "id", "held", "a", "b", "n"))):
+                for what, ids, held, a, b in zip(*(column(batch, x) for x in ("kind", "ids", "held", "a", "b"))):
                     if what == "A":
                         count.update(zip(_unzip(a).split(b" "), _unpack(b, np.int64).tolist()))
-                    elif what == "B":
+                        continue
+                    if what == "B":
                         keys.append(_unpack(a))
-                        b = _unzip(b)
+                        n, b = int.from_bytes(b[:8], "little"), _unzip(b[8:])
                         at = np.ascontiguousarray(np.frombuffer(b, np.uint8, 4 * n).reshape(4, -1).T).view("<u4").ravel()
                         prices.append(np.frombuffer(b, np.float64, offset=4 * n)[at])
-                    else:
-                        held.append((k, h, a, n))
-                if not held:
-                    continue
-                if not ready:
-                    keys, prices, ready = np.concatenate(keys), np.concatenate(prices), True
-                    at = np.argsort(keys)
-                    keys, prices = keys[at], prices[at]
-                for own in _portions([x[2] for x in held]):
+                        continue
+                    if not ready:
+                        keys, prices, ready = np.concatenate(keys), np.concatenate(prices), True
+                        at = np.argsort(keys)
+                        keys, prices = keys[at], prices[at]
+                    data, edges = _unzip(a), np.concatenate([[0], np.cumsum(_unpack(b, np.int64))]).tolist()
+                    streams = [data[x:y] for x, y in zip(edges, edges[1:])]
                     out = {k: [] for k in ("id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")}
-                    g, size = stream_windows([x[2] for x in held[own]], order)
+                    g, size = stream_windows(streams, order)
                     at = np.argsort(g)
                     p = np.empty(len(g))
                     p[at] = prices[np.searchsorted(keys, g[at])]
                     sums = np.add.reduceat(p, np.cumsum(size) - size)
-                    for (k, h, s, lines_), sum_ in zip(held[own], sums.tolist()):
+                    for k, h, s, sum_ in zip(ids, held, streams, sums.tolist()):
                         c = np.fromiter(map(count.__getitem__, ws := s.split()), np.int64, len(ws))
                         base = float(np.log10((c + 0.5) / floor).sum()) + end_base
-                        score_ = sum_ + math.log10(stop) + (lines_ - 1) * math.log10(1 - stop)
+                        score_ = sum_ + math.log10(stop) + (s.count(b"\n") - 1) * math.log10(1 - stop)
                         for name, x in zip(out, (k, h, len(ws) + 1, int((c > 0).sum()) + (ends > 0), n_train, base, score_)):
                             out[name].append(x)
                     yield out
 
-    parts_ = counted.union(priced).union(coded).repartition(buckets, "batch").sortWithinPartitions("batch", "kind")
-    out = mapped(parts_, total, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    parts = counted.union(priced).union(coded).repartition(buckets, "batch").sortWithinPartitions("batch", "kind")
+    out = mapped(parts, total, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id)
 
 
@@ -646,4 +397,4 @@ def adaptive(docs: DataFrame, id: str = "doc_id", text: str = "text", *, order:
 
 def op4(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score_stream(docs, F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1, F.lit(False)))
+    return score(docs, F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1, F.lit(False)))

@@ -186,51 +186,13 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0), rules).count() == 0
 
 
-def test_lm_score(spark):
-    rows = corpus(2)
-    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
-    out = lm_score.score(table(spark, rows), F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1, order=3)
-    got = {r.doc_id: r for r in out.collect()}
-    tokens, whole, n_lines = collections.Counter(), collections.Counter(), 0
-    for i, t, _ in rows:
-        if not held(i):
-            tokens.update((t or "").encode().lower().split())
-            tokens[None] += 1
-            for x in lm_score.lines((t or "").encode()):
-                n_lines += 1
-                whole.update([tuple(x)] if len(x) >= lm_score.LONG else [])
-    n, v = sum(tokens.values()), len(tokens)
-    once = sum(c == 1 for c in whole.values())
-    escape, stop = lm_score.line_escape(n_lines, sum(whole.values()), once), (tokens[None] + 0.5) / (n_lines + 1)
-    trie = lm_score.Trie(3)
-    for w, c in tokens.items():
-        if w is not None:
-            s = b" " + w + b" "
-            for k in range(1, len(s)):
-                trie.learn(s[:k], s[k], c)
-    trie.learn(b" ", lm_score.END, n_lines - sum(whole.values()) + once)
-    for i, t, _ in rows:
-        ws = [*(t or "").encode().lower().split(), None]
-        ls = lm_score.lines((t or "").encode())
-        score = math.log10(stop) + (len(ls) - 1) * math.log10(1 - stop)
-        for x in ls:
-            c = whole[tuple(x)] if len(x) >= lm_score.LONG else 0
-            score += math.log10((1 - escape) * c / sum(whole.values())) if c else math.log10(escape) + sum(trie.log10(*s) for s in lm_score.Trie.symbols(x))
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(ws), sum(tokens[w] > 0 for w in ws), n)
-        assert r.base_score == pytest.approx(sum(math.log10((tokens[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws))
-        assert r.score == pytest.approx(score)
-    assert lm_score.score(table(spark, []), F.lit(False)).count() == 0
-    assert lm_score.adaptive(table(spark, rows[:3])).count() == 3
-
-
 @pytest.mark.parametrize("order", [3, 6])
-def test_lm_score_stream(spark, order):
+def test_lm_score(spark, order):
     rows = [*corpus(2), (900, "alpha beta gamma delta", None), (901, "gamma alpha delta beta", None), (902, "Two  blanks\n\nthen\tlines\n", None)]
     rows += [(2000 + i, "alpha beta gamma delta", None) for i in range(8) if not zlib.crc32(str(2000 + i).encode()) % 5 == 1]
     held = lambda i: 900 <= i < 1000 or zlib.crc32(str(i).encode()) % 5 == 1
     is_held = F.col("doc_id").between(900, 999) | (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1)
-    got = {r.doc_id: r for r in lm_score.score_stream(table(spark, rows), is_held, order=order, batch_bytes=20_000).collect()}
+    got = {r.doc_id: r for r in lm_score.score(table(spark, rows), is_held, order=order, batch_bytes=20_000).collect()}
     trie, tokens, n_lines = lm_score.Trie(order), collections.Counter(), 0
     streams = {i: (t or "").encode().lower() + b"\n" for i, t, _ in rows}
     for i, s in streams.items():
@@ -247,7 +209,23 @@ def test_lm_score_stream(spark, order):
         assert r.base_score == pytest.approx(sum(math.log10((tokens[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws))
         assert r.score == pytest.approx(math.log10(stop) + (s.count(b"\n") - 1) * math.log10(1 - stop) + sum(trie.log10(s[max(0, k - order) : k], s[k]) for k in range(len(s))))
     assert got[900].score > got[901].score + 1  # the same words in another order
-    assert lm_score.score_stream(table(spark, []), F.lit(False)).count() == 0
+    assert lm_score.score(table(spark, []), F.lit(False)).count() == 0
+    alone = {r.doc_id: r.score for r in lm_score.adaptive(table(spark, rows[:5])).collect()}
+    for i, t, _ in rows[:5]:
+        own, sum_ = lm_score.Trie(6), 0.0
+        for k in range(len(streams[i])):
+            sum_ += own.log10(streams[i][:k], streams[i][k])
+            own.learn(streams[i][:k], streams[i][k])
+        assert alone[i] == pytest.approx(sum_)
+
+
+def test_lm_score_repeats_and_no_training(spark):
+    rows = [(1, "one two", None), (1, "one two", None), (2, None, None), (2, "other text", None)]
+    got = sorted((r.doc_id, r.held_out, round(r.score, 9)) for r in lm_score.score(table(spark, rows), F.lit(False)).collect())
+    assert len(got) == 4 and got[0] == got[1] and got[2] != got[3]
+    none = lm_score.score(table(spark, rows), F.lit(True)).collect()
+    assert all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.base_score) for r in none)
+    assert {round(r.score, 6) for r in none if r.doc_id == 1} == {round(8 * math.log10(1 / 256) + math.log10(0.5), 6)}
 
 
 def test_op4_sees_word_order(spark, tmp_path):
