@@ -8,7 +8,7 @@ with q different bytes gives a byte seen c times (2c-1)/2T and the escape q/2T.
 
 score() is pretrained: all texts that are not held out are learned from first. A context with its byte is a window, and one that many
 texts share need not be coded for each of them: batches send their distinct windows to buckets by the three bytes before the byte, where
-training counts meet and code lengths are found, and get them back. The trie thus grows with the corpus and is spread over all
+training counts meet and code lengths are found, and get them back, rounded to 2**-24. The trie thus grows with the corpus and is spread over all
 tasks; only its orders 0 to 2, at most 2**24 entries, are sent to every task. adaptive() learns each document's own trie as it codes it.
 
 Defined cases: a null or empty text is its end alone; texts of any length are coded whole; a null id is learned from and not held out;
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from ._common import U, buckets_for, chunked, column, deal, forget, grouped, mapped, materialize, mix, release, texts
 
 END = 10  # ends a line
+STEPS = 1 << 24  # code lengths travel in steps of this part of a decimal digit
 LOW = 3  # orders 0 to LOW - 1 are sent to every task; windows are dealt by this many bytes of context
 
 
@@ -153,18 +154,6 @@ def stream_windows(streams: list[bytes], order: int) -> tuple[np.ndarray, np.nda
     return g[keep], n
 
 
-def _portions(streams: list[bytes], limit: int = 2_000_000):
-    """Slices of streams of about `limit` bytes together."""
-    first, size = 0, 0
-    for i, s in enumerate(streams):
-        if size and size + len(s) > limit:
-            yield slice(first, i)
-            first, size = i, 0
-        size += len(s)
-    if first < len(streams):
-        yield slice(first, len(streams))
-
-
 def _summed(sums: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys of all tables, each with the sum of its counts."""
     keys, counts = (np.concatenate(x) for x in zip(*sums))
@@ -218,12 +207,13 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *,
         cuts = np.searchsorted(of[at], np.arange(buckets + 1))
         return ((i, at[cuts[i] : cuts[i + 1]]) for i in range(buckets) if cuts[i] < cuts[i + 1])
 
-    def flush(no, docs_):
-        count, sums = {}, []
-        for own in _portions([x[2] for x in docs_]):
-            part = docs_[own]
+    def read(batches):
+        """Rows of one batch after the other; texts leave as soon as a portion of them is counted."""
+        no, sums, count, size = TaskContext.get().partitionId() << 24, [], {}, 0
+
+        def portion(part):
+            nonlocal sums
             streams, held = [x[2] for x in part], [x[1] for x in part]
-            yield "D", no, -1, [x[0] for x in part], held, _zip(b"".join(streams)), _pack(np.array([len(x) for x in streams], np.int64))
             for s, h in zip(streams, held):
                 for w in s.split():
                     count[w] = count.get(w, 0) + (not h)
@@ -233,42 +223,49 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *,
             c = np.zeros(len(keys), np.int64)
             c[np.searchsorted(keys, taught)] = times
             sums.append((keys, c))
-            if len(sums) >= 4:
+            if len(sums) >= 8:
                 sums = [_summed(sums)]
-        keys, n = _summed(sums)
-        taught = n > 0
-        few, c = _summed([(_low(keys[taught], LOW - 1), n[taught])])
-        yield "L", no, -1, None, None, _pack(few), _pack(c)
-        for i, own in dealt((mix((keys >> U(8)) & U((1 << 8 * LOW) - 1)) % U(buckets)).astype(np.int64)):
-            yield "W", no, i, None, None, _pack(keys[own]), _pack(n[own])
-        tokens = list(count)
-        n = np.fromiter(count.values(), np.int64, len(count))
-        for i, own in dealt((np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), U, len(tokens)) % U(buckets)).astype(np.int64)):
-            yield "T", no, i, None, None, _zip(b" ".join([tokens[j] for j in own.tolist()])), _pack(n[own])
+            yield "D", no, -1, [x[0] for x in part], held, _zip(b"".join(streams)), _pack(np.array([len(x) for x in streams], np.int64))
 
-    def read(batches):
-        no, docs_, size = TaskContext.get().partitionId() << 24, [], 0
+        def tokens():
+            ws = list(count)
+            n = np.fromiter(count.values(), np.int64, len(count))
+            for i, own in dealt((np.fromiter(map(xxhash.xxh3_64_intdigest, ws), U, len(ws)) % U(buckets)).astype(np.int64)):
+                yield "T", no, i, None, None, _zip(b" ".join([ws[j] for j in own.tolist()])), _pack(n[own])
+
+        def windows():
+            keys, n = _summed(sums)
+            taught = n > 0
+            few, c = _summed([(_low(keys[taught], LOW - 1), n[taught])])
+            yield "L", no, -1, None, None, _pack(few), _pack(c)
+            for i, own in dealt((mix((keys >> U(8)) & U((1 << 8 * LOW) - 1)) % U(buckets)).astype(np.int64)):
+                yield "W", no, i, None, None, _pack(keys[own]), _pack(n[own])
 
         def out(rows):
             held, size = [], 0
             for r in rows:
                 held.append(r)
                 size += len(r[5])
-                if size > 4_000_000 or len(held) == 2000:
+                if size > 1_000_000 or len(held) == 2000:
                     yield dict(zip(names, map(list, zip(*held))))
                     held, size = [], 0
             if held:
                 yield dict(zip(names, map(list, zip(*held))))
 
-        for batch in chunked(batches):
-            for k, t, held in zip(column(batch, "id"), texts(batch), column(batch, "held")):
-                docs_.append((k, bool(held), stream(t)))
-                size += len(t) + 1
-                if size >= batch_bytes:
-                    yield from out(flush(no, docs_))
-                    no, docs_, size = no + 1, [], 0
-        if docs_:
-            yield from out(flush(no, docs_))
+        for batch in chunked(batches, limit=1_000_000):
+            part = [(k, bool(held), stream(t)) for k, t, held in zip(column(batch, "id"), texts(batch), column(batch, "held"))]
+            yield from out(portion(part))
+            size += sum(len(x[2]) for x in part)
+            if len(count) > 250_000:
+                yield from out(tokens())
+                count = {}
+            if size >= batch_bytes:
+                yield from out(tokens())
+                yield from out(windows())
+                no, sums, count, size = no + 1, [], {}, 0
+        if size:
+            yield from out(tokens())
+            yield from out(windows())
 
     table = materialize(mapped(rows, read, schema), "streams", by="kind")
     asked = deal(table.filter("kind = 'T'").select("bucket", "batch", "a", "b"), buckets, "bucket", "batch")
@@ -326,15 +323,11 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *,
             all_keys, count = _summed(sums)
             known = count > 0
             k, c = all_keys[known], count[known].astype(np.float64)
-            p = code_lengths(all_keys, k, c, said.value, order)
-            values, code = np.unique(p, return_inverse=True)  # few: counts are small numbers
+            cost = np.rint(code_lengths(all_keys, k, c, said.value, order) * -STEPS).astype("<u4")
             for batch in group:
                 for no, a in zip(column(batch, "batch"), column(batch, "a")):
-                    code_ = code[np.searchsorted(all_keys, _unpack(a))]
-                    own, _ = _runs(code_)
-                    at = np.searchsorted(own, code_)
-                    at, values_ = at.astype("<u4").view(np.uint8).reshape(-1, 4).T, values[own]
-                    yield {"kind": ["B"], "batch": [no], "ids": [None], "held": [None], "a": [a], "b": [len(code_).to_bytes(8, "little") + _zip(at.tobytes() + values_.tobytes())]}
+                    own = cost[np.searchsorted(all_keys, _unpack(a))]
+                    yield {"kind": ["B"], "batch": [no], "ids": [None], "held": [None], "a": [a], "b": [_zip(own.view(np.uint8).reshape(-1, 4).T.tobytes())]}
 
     final = f"kind string, batch long, ids array<{kind}>, held array<boolean>, a binary, b binary"
     priced = mapped(deal(table.filter("kind = 'W'").select("bucket", "batch", "a", "b"), buckets, "bucket", "batch"), price, final)
@@ -347,7 +340,7 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *,
 
     def total(batches):
         for _, group in grouped(batches, "batch"):
-            count, keys, prices, ready = {}, [np.zeros(0, U)], [np.zeros(0)], False
+            count, keys, prices, ready = {}, [np.zeros(0, U)], [np.zeros(0, "<u4")], False
             for batch in group:  # answers sort before documents
                 for what, ids, held, a, b in zip(*(column(batch, x) for x in ("kind", "ids", "held", "a", "b"))):
                     if what == "A":
@@ -355,9 +348,7 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *,
                         continue
                     if what == "B":
                         keys.append(_unpack(a))
-                        n, b = int.from_bytes(b[:8], "little"), _unzip(b[8:])
-                        at = np.ascontiguousarray(np.frombuffer(b, np.uint8, 4 * n).reshape(4, -1).T).view("<u4").ravel()
-                        prices.append(np.frombuffer(b, np.float64, offset=4 * n)[at])
+                        prices.append(np.ascontiguousarray(np.frombuffer(_unzip(b), np.uint8).reshape(4, -1).T).view("<u4").ravel())
                         continue
                     if not ready:
                         keys, prices, ready = np.concatenate(keys), np.concatenate(prices), True
@@ -368,9 +359,9 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *,
                     out = {k: [] for k in ("id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")}
                     g, size = stream_windows(streams, order)
                     at = np.argsort(g)
-                    p = np.empty(len(g))
-                    p[at] = prices[np.searchsorted(keys, g[at])]
-                    sums = np.add.reduceat(p, np.cumsum(size) - size)
+                    cost = np.empty(len(g), np.int64)
+                    cost[at] = prices[np.searchsorted(keys, g[at])]
+                    sums = np.add.reduceat(cost, np.cumsum(size) - size) / -STEPS
                     for k, h, s, sum_ in zip(ids, held, streams, sums.tolist()):
                         c = np.fromiter(map(count.__getitem__, ws := s.split()), np.int64, len(ws))
                         base = float(np.log10((c + 0.5) / floor).sum()) + end_base
