@@ -198,7 +198,8 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *,
     spark = docs.sparkSession
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), held_out.alias("held"))
-    buckets = buckets_for(spark, rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, bucket_bytes)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = buckets_for(spark, size, bucket_bytes)
     names = ("kind", "batch", "bucket", "ids", "held", "a", "b")
     schema = f"kind string, batch long, bucket int, ids array<{kind}>, held array<boolean>, a binary, b binary"
 
@@ -370,7 +371,7 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", *,
                             out[name].append(x)
                     yield out
 
-    parts = counted.union(priced).union(coded).repartition(buckets, "batch").sortWithinPartitions("batch", "kind")
+    parts = counted.union(priced).union(coded).repartition(buckets_for(spark, size, batch_bytes // 2, 1 << 20), "batch").sortWithinPartitions("batch", "kind")
     out = mapped(parts, total, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id)
 

@@ -10,15 +10,18 @@ what is left of the cells:
 2. Among the sets that remain, shingles are counted again, whole; a set of which a quarter stands alone is done too. The others are
    cut into cells, one for each shingle of their windows, rarest first; cells of equal members are one.
 3. Each class is compared with the pivot of its first cell; links join components. A cell within one component is done.
-4. Small cells are compared as wholes, in dense blocks within a task. In a large one, two pivot documents divide the others into Voronoi regions; a document that
-   is no more than twice the radius farther from the other pivot lies in both, so that any linked pair shares a region; regions
-   are cells again. After `rounds` of this, what is left is compared in pairs of blocks, across components only.
+4. A cell of up to `small` sets is one task's work: pivots, farthest first, divide it into Voronoi regions. A pivot's region takes the
+   sets nearest to it and, by the triangle inequality, those that are no more than twice the radius farther from it than from their
+   own pivot, nor farther from it than its own sets and the radius reach; sets far from all pivots are a region too. Regions are cells
+   again, until a handful of sets is left or all are one component; every link is a pivot's.
+5. A larger cell is divided the same way by two pivots, distributedly, as long as that lessens the work; what no longer divides is
+   compared in pairs of blocks, each by step 4.
 
 Only spanning links are kept, so that a group of copies costs as many rows as it has members. Nothing is gathered in one place.
 
 Defined cases: no words or no text gives an empty set, linked with nothing; fewer than k words are one shingle; equal sets link;
-rows that repeat an id count as the one with the smallest fingerprint; rows without an id are left out; an empty table gives no
-rows; other columns are left alone.
+rows that repeat an id count as the one with the smallest fingerprint; rows without an id are left out; texts of any length are
+hashed whole; an empty table gives no rows; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import U, chunked, column, components, grouped, labels, mapped, materialize, mix, partitions, release, texts, window_hashes, word_hashes
+from ._common import U, buckets_for, chunked, column, components, deal, grouped, labels, mapped, materialize, mix, release, texts, window_hashes, word_hashes
 from .url_filter import Bloom
 
 #: Share of a set, beyond the window that one common shingle needs, in which partners must meet again and again.
@@ -82,9 +85,8 @@ def _packed(keys: np.ndarray, own: np.ndarray, ids: np.ndarray, buckets: int):
             yield i, ids[who].tobytes(), count.astype(np.int32).tobytes(), keys[cuts[i] : cuts[i + 1]].tobytes()
 
 
-def _survey(docs: DataFrame, k: int, tenths: int) -> DataFrame:
+def _survey(docs: DataFrame, k: int, tenths: int, buckets: int) -> DataFrame:
     """Rows (id, n, fp1, fp2) of documents and (id, seen): how many shingles of a document's wide window occur in other documents' too."""
-    buckets = partitions(docs.sparkSession)
 
     def emit(batches):
         for batch in chunked(batches):
@@ -126,7 +128,7 @@ def _survey(docs: DataFrame, k: int, tenths: int) -> DataFrame:
                 zero = np.zeros(len(ids), np.int64)
                 yield {"id": ids, "n": zero, "fp1": zero, "fp2": zero, "seen": seen}
 
-    rows = mapped(docs, emit, "kind int, bucket int, a binary, b binary, c binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    rows = deal(mapped(docs, emit, "kind int, bucket int, a binary, b binary, c binary"), buckets)
     return mapped(rows, count, "id long, n long, fp1 long, fp2 long, seen long")
 
 
@@ -151,12 +153,11 @@ def _candidate_sets(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     return found.join(chosen, ["id", "fp1", "fp2"], "left_semi").dropDuplicates(["id"]).select("id", "n", "h")
 
 
-def _windows(sets: DataFrame, tenths: int) -> DataFrame:
+def _windows(sets: DataFrame, tenths: int, buckets: int) -> DataFrame:
     """(id, n, alone, pivots): how many shingles of a set no other set has, and its window over the shingle pivots, rarest first.
 
     Sets of which more are alone than a partner may lack are left out; they have no link.
     """
-    buckets = partitions(sets.sparkSession)
 
     def emit(batches):
         for batch in batches:
@@ -223,10 +224,10 @@ def _windows(sets: DataFrame, tenths: int) -> DataFrame:
             some = np.unique(part).tolist()
             yield {"part": some, "n": [1] * len(some), "a": [ids[part == i].tobytes() for i in some], "b": [n[part == i].tobytes() for i in some], "c": [b""] * len(some)}
 
-    packed = mapped(sets.select("id", "h"), emit, "bucket int, a binary, b binary, c binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    packed = deal(mapped(sets.select("id", "h"), emit, "bucket int, a binary, b binary, c binary"), buckets)
     schema = "part int, n int, a binary, b binary, c binary"
     found = mapped(packed, count, "part int, a binary, b binary, c binary").select("part", F.lit(None).cast("int").alias("n"), "a", "b", "c")
-    both = found.union(mapped(sets.select("id", "n"), sizes, schema)).repartition(buckets, "part").sortWithinPartitions("part")
+    both = deal(found.union(mapped(sets.select("id", "n"), sizes, schema)), buckets, "part")
     return mapped(both, choose, "id long, n long, alone long, pivots array<long>")
 
 
@@ -245,46 +246,102 @@ def _middle(r: int):
     return F.struct(F.col("alone") / F.col("n"), F.xxhash64("id", F.lit(r)))
 
 
-def _block_links(percent: int, columns: int = 2048):
-    """A spanning forest of the links between sets of different components in one group, from dense products over shared shingles."""
+class Regions:
+    """The links between sets of different components in one group, found by recursive Voronoi regions of pivots.
+
+    keys, at: the sets' shared shingles as small numbers, set by set, and where each set starts; n: whole sizes; comp: a number for each
+    component, which links join. regions and distances count what was done.
+    """
+
+    def __init__(self, keys: np.ndarray, at: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int, pivots: int = 8, leaf: int = 8):
+        self.keys, self.at, self.n, self.comp = keys, at, n, comp.copy()
+        self.percent, self.radius, self.pivots, self.leaf = percent, 1 - percent / 100, pivots, leaf
+        self.mark = np.zeros(int(keys.max()) + 1 if len(keys) else 1, bool)
+        self.links: list[tuple[int, int]] = []
+        self.regions = self.distances = 0
+
+    def far(self, p: int, rows: np.ndarray, keys: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Distances of rows, whose shingles are keys cut at edges, from p; rows within the radius join its component."""
+        own = self.keys[self.at[p] : self.at[p + 1]]
+        self.mark[own] = True
+        both = np.diff(np.concatenate([[0], np.cumsum(self.mark[keys])])[edges])
+        self.mark[own] = False
+        either = self.n[p] + self.n[rows] - both
+        self.distances += len(rows)
+        for i in rows[(100 * both >= self.percent * either) & (self.comp[rows] != self.comp[p])].tolist():
+            if self.comp[i] != self.comp[p]:
+                self.links.append((p, i))
+                self.comp[self.comp == self.comp[i]] = self.comp[p]
+        return 1 - both / either
+
+    def _gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.at[rows + 1] - self.at[rows]
+        edges = np.concatenate([[0], np.cumsum(size)])
+        return self.keys[np.repeat(self.at[rows] - edges[:-1], size) + np.arange(edges[-1])], edges
+
+    def run(self) -> list[tuple[int, int]]:
+        todo = [np.arange(len(self.n))]
+        while todo:
+            rows = todo.pop()
+            if len(rows) < 2 or (self.comp[rows] == self.comp[rows[0]]).all():
+                continue
+            self.regions += 1
+            keys, edges = self._gather(rows)
+            if len(rows) <= self.leaf:
+                for i in range(len(rows) - 1):
+                    self.far(int(rows[i]), rows[i + 1 :], keys[edges[i + 1] :], edges[i + 1 :] - edges[i + 1])
+                continue
+            chosen, away = [0], []
+            while True:
+                away.append(self.far(int(rows[chosen[-1]]), rows, keys, edges))
+                near = np.min(away, axis=0)
+                near[chosen] = -1
+                if len(chosen) >= min(self.pivots, len(rows) // 2):
+                    break
+                chosen.append(int(near.argmax()))
+            todo += self.divide(rows, chosen, np.array(away))
+        return self.links
+
+    def divide(self, rows: np.ndarray, chosen: list[int], away: np.ndarray) -> list[np.ndarray]:
+        """The regions of pivots that have met all others: any two others within the radius share one."""
+        r, slack = self.radius, 1e-9
+        rest = np.ones(len(rows), bool)
+        rest[chosen] = False
+        nearest, near = away.argmin(axis=0), away.min(axis=0)
+        outside = 2 * r  # a set at least so far from every pivot belongs to none
+        out = []
+        for p, d in enumerate(away):
+            own = rest & (nearest == p) & (near < outside)
+            if own.any():
+                out.append(rows[rest & (d <= near + 2 * r + slack) & (d <= near[own].max() + r + slack)])
+        if (rest & (near >= outside)).any():
+            out.append(rows[rest & (near >= outside - r - slack)])
+        return out
+
+
+def _region_links(percent: int):
+    """A spanning forest of the links between sets of different components in one group."""
 
     def run(group):
         import pyarrow as pa
 
-        ids, comp = np.asarray(group["id"].combine_chunks(), np.int64), np.asarray(group["comp"].combine_chunks(), np.int64)
+        ids = np.asarray(group["id"].combine_chunks(), np.int64)
+        _, comp = np.unique(np.asarray(group["comp"].combine_chunks(), np.int64), return_inverse=True)
         h = group["h"].combine_chunks()
         n = np.asarray(h.value_lengths(), np.int64)
-        keys, at, df = np.unique(np.asarray(h.flatten(), np.int64), return_inverse=True, return_counts=True)
-        own = np.repeat(np.arange(len(ids)), n)
-        shared = df > 1
-        place = np.cumsum(shared) - 1
-        keep = shared[at]
-        own, at = own[keep], place[at[keep]]
-        order = np.argsort(at, kind="stable")
-        own, at = own[order], at[order]
-        both = np.zeros((len(ids), len(ids)), np.float32)
-        for low in range(0, int(shared.sum()), columns):
-            x, y = np.searchsorted(at, (low, low + columns))
-            m = np.zeros((len(ids), columns), np.float32)
-            m[own[x:y], at[x:y] - low] = 1
-            both += m @ m.T  # counts stay below 2**24, where single precision is exact
-        need = np.float32(percent / (100 + percent))  # of the sum of both sizes; decided in whole numbers below
-        size = n.astype(np.float32)
-        mask = both >= need * (size[:, None] + size[None, :]) - np.float32(0.5)
-        mask &= comp[:, None] != comp[None, :]
-        i, j = np.nonzero(mask)
-        exact = both[i, j].astype(np.int64)
-        sure = 100 * exact >= percent * (n[i] + n[j] - exact)
-        label = labels(len(ids), i[sure], j[sure])
-        linked = np.flatnonzero(label != np.arange(len(ids)))
-        return pa.table({"a": ids[linked], "b": ids[label[linked]]})
+        _, key, df = np.unique(np.asarray(h.flatten(), np.int64), return_inverse=True, return_counts=True)
+        shared = (df > 1)[key]
+        at = np.concatenate([[0], np.cumsum(shared)])[np.concatenate([[0], np.cumsum(n)])]
+        links = Regions(key[shared], at, n, comp, percent).run()
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
+        return pa.table({"a": ids[a], "b": ids[b]})
 
     return run
 
 
 class _Join:
-    def __init__(self, sets: DataFrame, windows: DataFrame, tenths: int, small: int, rounds: int):
-        self.sets, self.windows, self.tenths, self.radius, self.small, self.rounds = sets, windows, tenths, 1 - tenths / 100, small, rounds
+    def __init__(self, sets: DataFrame, windows: DataFrame, tenths: int, small: int):
+        self.sets, self.windows, self.tenths, self.radius, self.small = sets, windows, tenths, 1 - tenths / 100, small
         self.label = sets.select("id", F.col("id").alias("comp"))
 
     def link(self, near: DataFrame) -> None:
@@ -316,26 +373,27 @@ class _Join:
         home = cells.select("cell", "id").join(pivot, "cell").filter("id <> p").groupBy("id").agg(F.min_by("p", "rank").alias("p"))
         home = home.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
         self.link(materialize(_compare(home, self.sets, self.radius).filter("near"), "home"))
-        for r in range(self.rounds):
+        before, r = None, 0
+        while True:
             release(self.sets.sparkSession)
             rows = self.open_cells(cells)
-            most = rows.agg(F.max("size")).first()[0]
+            most, work = rows.agg(F.max("size"), F.sum(F.when(F.col("size") > self.small, F.col("size")))).first()  # a cell of m sets adds m times m
             if most is None:
                 return self.label
             self.settle(rows.filter(F.col("size") <= self.small))
-            if most <= self.small:
-                return self.label
             many = rows.filter(F.col("size") > self.small)
+            if most <= self.small or before is not None and work > 0.8 * before:
+                self.settle(many)
+                return self.label
+            before, r = work, r + 1
             pivots = self.pivots(many, r)
             each = many.join(pivots, "cell").select("id", F.explode(F.array("p1", "p2")).alias("p")).filter("id <> p")
             seen = materialize(_compare(each.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct(), self.sets, self.radius), "seen")
             self.link(seen.filter("near"))
             cells = self.regions(many, pivots, seen, r)
-        self.settle(self.open_cells(cells))
-        return self.label
 
-    def settle(self, left: DataFrame, block: int = 512) -> None:
-        """Compare what is left of cells as wholes, across components, in pairs of blocks of about `block` sets.
+    def settle(self, left: DataFrame, block: int = 512, shingles: int = 1_000_000) -> None:
+        """Divide what is left of cells within tasks, across components, in pairs of blocks of about `block` sets and `shingles` of theirs.
 
         Cells that share documents form a region; it is taken as one where that means fewer comparisons than its cells do.
         """
@@ -345,11 +403,11 @@ class _Join:
         rows = materialize(left.join(whole, "cell"), "left")
         cost = rows.groupBy("region").agg(F.countDistinct("id").alias("k"), F.sum("size").alias("s"))  # a cell of m rows adds m times m
         rows = rows.join(cost, "region").withColumn("key", F.when(F.col("k") * F.col("k") <= F.col("s"), F.col("region")).otherwise(F.col("cell")))
-        rows = materialize(rows.select("key", "id", "comp").distinct(), "keys")
-        blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("key", "blocks")
+        rows = materialize(rows.select("key", "id", "n", "comp").distinct(), "keys")
+        blocks = rows.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / shingles)).cast("int").alias("blocks"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("key", "blocks")
         at = rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         at = at.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "comp").join(self.sets.select("id", "h"), "id")
-        near = at.groupBy("key", "lo", "hi").applyInArrow(_block_links(self.tenths), "a long, b long")
+        near = at.groupBy("key", "lo", "hi").applyInArrow(_region_links(self.tenths), "a long, b long")
         self.link(materialize(near, "near"))
 
     def pivots(self, rows: DataFrame, r: int) -> DataFrame:
@@ -372,11 +430,12 @@ class _Join:
         return materialize(left.union(right), "cells")
 
 
-def join(docs: DataFrame, id: str = "doc_id", text: str = "text", *, k: int = 5, percent: int = 75, small: int = 32, rounds: int = 2) -> DataFrame:
+def join(docs: DataFrame, id: str = "doc_id", text: str = "text", *, k: int = 5, percent: int = 75, small: int = 512, bucket_bytes: int = 128_000_000) -> DataFrame:
     """(id, n_shingles, component_id) of every document."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull())
-    survey = materialize(_survey(rows, k, percent), "survey")
+    buckets = buckets_for(spark, rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, bucket_bytes)
+    survey = materialize(_survey(rows, k, percent, buckets), "survey")
     release(spark)
     meta = survey.filter("seen < 0").groupBy("id").agg(F.min(F.struct("fp1", "fp2", "n")).alias("x")).select("id", "x.*")
     meta = materialize(meta, "meta")
@@ -386,10 +445,10 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", *, k: int = 5,
     chosen = meta.join(seen, "id").filter(f"n > 0 and seen >= {least}").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "fp1", "fp2")
     chosen = materialize(chosen, "chosen")
     sets = materialize(_candidate_sets(rows, chosen, k), "sets")
-    windows = materialize(_windows(sets, percent), "windows")
+    windows = materialize(_windows(sets, percent, buckets), "windows")
     release(spark)
     sets = materialize(sets.join(windows.select("id"), "id", "left_semi"), "sets")
-    label = _Join(sets, windows, percent, small, rounds).run()
+    label = _Join(sets, windows, percent, small).run()
     copies = classes.filter("m > 1").select("fp1", "fp2", "rep")
     out = meta.join(copies, ["fp1", "fp2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")))
     out = out.join(label.select(F.col("id").alias("rep"), "comp"), "rep", "left")
@@ -402,9 +461,17 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **options)
     out = docs.join(away, docs[id] == away["_away"], "left_anti")
     if not docs.filter(F.col(id).isNotNull()).groupBy(id).count().filter("count > 1").isEmpty():
         rank = F.row_number().over(Window.partitionBy(id).orderBy(F.xxhash64(text), text))
-        out = out.withColumn("_rank", F.when(F.col(id).isNull(), 1).otherwise(rank)).filter("_rank = 1").drop("_rank")
+        name = free_name("_rank", docs.columns)
+        out = out.withColumn(name, F.when(F.col(id).isNull(), 1).otherwise(rank)).filter(F.col(name) == 1).drop(name)
     return out
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """name, with as many underscores in front as no column has."""
+    while name in columns:
+        name = "_" + name
+    return name
+
+
 def op1(spark, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -91,11 +91,70 @@ def test_ngram_join(spark, seed, small):
     sets = sets_of(rows)
     assert got == {i: (len(sets[i]), c) for i, c in clusters(sets).items()}
     if seed == 0:
-        kept = ngram_join.keep_one(table(spark, [*rows, rows[3]]))
-        assert kept.columns == table(spark, []).columns
+        kept = ngram_join.keep_one(table(spark, [*rows, rows[3]]).withColumn("_rank", F.lit(5)))
+        assert kept.columns == [*table(spark, []).columns, "_rank"]
         assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, c in clusters(sets).items() if i == c)
 
 
+def test_voronoi_regions_find_every_link():
+    """Clusters at several distances, sets far from all others and copies: the components of brute force, from fewer distances."""
+    rnd = random.Random(21)
+    for trial in range(30):
+        sets = []
+        for _ in range(rnd.randint(1, 8)):
+            base = [rnd.randrange(10**6) for _ in range(rnd.choice([5, 20, 60]))]
+            for _ in range(rnd.randint(1, 25)):
+                keep = [x for x in base if rnd.random() > rnd.choice([0.0, 0.05, 0.12, 0.3])] or base[:1]
+                sets.append(frozenset(keep + [rnd.randrange(10**6) for _ in range(rnd.choice([0, 1, 3]))]))
+        sets += [frozenset(rnd.randrange(40) for _ in range(12)) for _ in range(60)]
+        flat = np.array([x for s in sets for x in sorted(s)], np.int64)
+        n = np.array([len(s) for s in sets], np.int64)
+        _, key = np.unique(flat, return_inverse=True)
+        join = ngram_join.Regions(key, np.concatenate([[0], np.cumsum(n)]), n, np.arange(len(sets)), 75, leaf=rnd.choice([1, 8]), pivots=rnd.choice([1, 2, 8]))
+        links = join.run()
+        assert all(100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) for a, b in links)
+        want = clusters(dict(enumerate(sets)))
+        label = list(range(len(sets)))
+        for a, b in links:
+            a, b = label[a], label[b]
+            label = [min(a, b) if x in (a, b) else x for x in label]
+        assert label == [want[i] for i in range(len(sets))]
+        assert join.regions > 1
+
+
+def test_voronoi_regions_prune():
+    """Two hundred copies around each of ten centres: a small share of all distances is enough."""
+    rnd = random.Random(22)
+    sets = [[c * 1000 + i for i in range(100) if rnd.random() > 0.02] for c in range(10) for _ in range(200)]
+    n = np.array([len(s) for s in sets], np.int64)
+    order = np.random.RandomState(0).permutation(len(sets))
+    sets, n = [sets[i] for i in order], n[order]
+    join = ngram_join.Regions(np.array([x for s in sets for x in s], np.int64), np.concatenate([[0], np.cumsum(n)]), n, np.arange(len(sets)), 75)
+    join.run()
+    assert len(set(join.comp.tolist())) == 10 and join.distances < 2000 * 2000 / 2 / 20
+
+
+@pytest.mark.parametrize("small", [4, 512])
+def test_regions_decide_a_hot_cell(spark, small, monkeypatch):
+    """Documents that share one passage and are near copies in groups: one cell for all of them, which regions divide."""
+    rnd = random.Random(23)
+    shared = [f"s{i}" for i in range(12)]
+    rows = []
+    for g in range(4):
+        own = [f"g{g}w{i}" for i in range(30)]
+        for k in range(6):
+            t = list(own)
+            t[rnd.randrange(30)] = f"x{g}{k}"
+            rows.append((len(rows), " ".join(shared + t), None))
+    calls = []
+    before = ngram_join._Join.regions
+    monkeypatch.setattr(ngram_join._Join, "regions", lambda self, *a: calls.append(1) or before(self, *a))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(table(spark, rows), small=small).collect()}
+    sets = sets_of(rows)
+    assert got == {i: (len(sets[i]), c) for i, c in clusters(sets).items()}
+    assert small == 512 or calls
+
+
 def test_ngram_join_empty(spark):
     assert ngram_join.join(table(spark, [])).count() == 0
 
