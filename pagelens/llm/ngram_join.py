@@ -13,7 +13,8 @@ what is left of the cells:
 4. A cell of up to `small` sets is one task's work: pivots, farthest first, divide it into Voronoi regions. A pivot's region takes the
    sets nearest to it and, by the triangle inequality, those that are no more than twice the radius farther from it than from their
    own pivot, nor farther from it than its own sets and the radius reach; sets far from all pivots are a region too. Regions are cells
-   again, until a handful of sets is left or all are one component; every link is a pivot's.
+   again, until a handful of sets is left or all are one component; every link is a pivot's. Where the windows of all regions together
+   would be as much work as the cell is, it goes on undivided without its pivots, so that a cell never costs more than all its pairs.
 5. A larger cell is divided the same way by two pivots, distributedly, as long as that lessens the work; what no longer divides is
    compared in pairs of blocks, each by step 4.
 
@@ -316,6 +317,8 @@ class Regions:
                 out.append(rows[rest & (d <= near + 2 * r + slack) & (d <= near[own].max() + r + slack)])
         if (rest & (near >= outside)).any():
             out.append(rows[rest & (near >= outside - r - slack)])
+        if sum(len(x) ** 2 for x in out) > 0.8 * int(rest.sum()) ** 2:
+            return [rows[rest]]  # windows that hold nearly all of it in every region: other pivots may divide it, and these are done
         return out
 
 

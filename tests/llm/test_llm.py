@@ -134,6 +134,17 @@ def test_voronoi_regions_prune():
     assert len(set(join.comp.tolist())) == 10 and join.distances < 2000 * 2000 / 2 / 20
 
 
+def test_voronoi_regions_without_structure():
+    """Sets at middle distances from each other, which no window can part, cost no more than all pairs."""
+    rnd = random.Random(24)
+    sets = [[i for i in range(100) if rnd.random() < 0.75] for _ in range(300)]
+    n = np.array([len(s) for s in sets], np.int64)
+    join = ngram_join.Regions(np.array([x for s in sets for x in s], np.int64), np.concatenate([[0], np.cumsum(n)]), n, np.arange(300), 75)
+    join.run()
+    want = clusters({i: frozenset(s) for i, s in enumerate(sets)})
+    assert len(set(join.comp.tolist())) == len(set(want.values())) and join.distances <= 300 * 300
+
+
 @pytest.mark.parametrize("small", [4, 512])
 def test_regions_decide_a_hot_cell(spark, small, monkeypatch):
     """Documents that share one passage and are near copies in groups: one cell for all of them, which regions divide."""
