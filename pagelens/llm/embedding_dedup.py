@@ -2,15 +2,19 @@
 
 On unit vectors the cosine bounds a Euclidean distance. Vectors go to the nearest of a bounded number of centres, and each centre's
 cell to blocks of at most about `block` vectors; cells whose centres are farther apart than their radii and the limit together share
-no pair. For every other pair of blocks, one task builds a cover tree of each (nested levels whose radii halve) and walks both at
-once: node pairs that the radii keep apart are dropped, node pairs that lie within the limit as a whole are counted as a whole, and
-what is left at the leaves is decided by the cosine in double precision. A task returns link counts and a spanning forest of its links.
+no pair. For every other pair of blocks, a join of small tables, one task builds a cover tree of each (nested levels whose radii halve,
+down to a few vectors or single ones) and walks both at once: node pairs that the covering radii keep apart are dropped, node pairs that
+lie within the limit as a whole are counted as a whole, and single vectors are decided by the cosine in double precision. A task returns
+link counts and a spanning forest of its links.
+
+Where vectors have no structure (random directions), a net at half the radius has every vector as a node of its own; then the pairs of
+such nodes are all there is to walk, in one matrix product of blocks, and work grows with the square of the vectors.
 
 Equal vectors are one while trees are built, and count as many as they are.
 
 Defined cases: null, zero and empty vectors, and those with null or non-finite components, link with nothing; vectors of different
 lengths do not link; rows that repeat an id count as the one with the smallest fingerprint; rows without an id are left out; an
-empty table gives no rows; labels and other columns are never looked at.
+empty table gives no rows; vectors of any length are taken whole; labels and other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ._common import U, column, components, grouped, labels, mapped, materialize, mix, partitions
 
-LEAF, SLACK = 48, 1e-9
+LEAF, SLACK = 24, 1e-7  # distances come from products, whose last bits count for 2e-8 where they are near 0
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -34,6 +38,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _away(dots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, 2 - 2 * dots))
+
+
 class CoverTree:
     """Nodes over the rows of x, which `order` sorts so that a node's rows are order[start:end]; radius: of all rows of a node around its centre."""
 
@@ -43,117 +51,141 @@ class CoverTree:
         self.centre: list[int] = []
         self.radius: list[float] = []
         self.span: list[tuple[int, int]] = []
-        self.children: list[list[int]] = []
+        self.children: list[np.ndarray] = []
         if len(x):
-            root = self._node(0, 0, len(x))
-            self._grow(root)
+            todo = [(self._node(0, len(x)), 1.0)]  # all distances are at most 2
+            while todo:
+                node, r = todo.pop()
+                todo += self._grow(node, r)
         self.centres = x[self.centre] if self.centre else np.zeros((0, x.shape[1]))
-        self.radii = np.array(self.radius)
+        self.radii, self.sizes = np.array(self.radius), np.array([b - a for a, b in self.span], np.int64)
 
-    def _node(self, centre: int, start: int, end: int) -> int:
-        d = self._far(centre, self.order[start:end])
-        self.centre.append(centre)
-        self.radius.append(float(d.max()))
+    def _node(self, start: int, end: int) -> int:
+        """A node around its first row."""
+        rows = self.order[start:end]
+        self.centre.append(int(rows[0]))
+        self.radius.append(float(_away(self.x[rows] @ self.x[rows[0]]).max()) if len(rows) > 1 else 0.0)
         self.span.append((start, end))
-        self.children.append([])
+        self.children.append(np.zeros(0, np.int64))
         return len(self.centre) - 1
 
-    def _far(self, centre: int, rows: np.ndarray) -> np.ndarray:
-        diff = self.x[rows] - self.x[centre]
-        return np.sqrt(np.einsum("ij,ij->i", diff, diff))
-
-    def _grow(self, root: int) -> None:
-        todo = [(root, self.radius[root] / 2)]
+    def _grow(self, node: int, r: float) -> list[tuple[int, float]]:
+        """Children at the largest halved radius that parts the node; the first one keeps its centre."""
+        start, end = self.span[node]
+        if end - start <= self.leaf:
+            return []
+        rows = self.order[start:end].copy()
+        while r > SLACK:
+            of = self._net(rows, r)
+            if of.any():
+                break
+            r /= 2
+        else:
+            return []  # rows that differ in their last bits
+        by = np.argsort(of, kind="stable")
+        self.order[start:end] = rows[by]
+        cuts = np.flatnonzero(np.diff(of[by], prepend=-1)).tolist()
+        kids = [self._node(start + a, start + b) for a, b in zip(cuts, [*cuts[1:], end - start])]
+        self.children[node] = np.array(kids, np.int64)
+        return [(k, r / 2) for k in kids]
+
+    def _net(self, rows: np.ndarray, r: float, step: int = 256) -> np.ndarray:
+        """For each row, the number of the net's centre whose ball of radius r has it; centres are more than r apart, the first is rows[0]."""
+        least, of, centres = 1 - r * r / 2, np.empty(len(rows), np.int64), []
+        for a in range(0, len(rows), step):
+            own = self.x[rows[a : a + step]]
+            at = np.full(len(own), -1)
+            if centres:
+                dots = own @ self.x[centres].T
+                best = dots.argmax(axis=1)
+                at = np.where(dots[np.arange(len(own)), best] >= least, best, -1)
+            left = np.flatnonzero(at < 0)
+            near = own[left] @ own[left].T >= least
+            np.fill_diagonal(near, True)
+            free = np.ones(len(left), bool)
+            for i in range(len(left)):
+                if free[i]:
+                    at[left[near[i] & free]] = len(centres)
+                    free &= ~near[i]
+                    centres.append(rows[a + left[i]])
+            of[a : a + len(own)] = at
+        return of
+
+
+class Links:
+    """Links of every row of p (weighed by wq) and of q (by wp), and the component of each row, q's after p's, by dual traversal.
+
+    decided: products that decided a pair of vectors; whole: pairs of vectors counted by their nodes.
+    """
+
+    def __init__(self, p: CoverTree, q: CoverTree, wp: np.ndarray, wq: np.ndarray, least: float):
+        self.p, self.q, self.wp, self.wq, self.least = p, q, wp, wq, least
+        self.limit = math.sqrt(max(0.0, 2 - 2 * least))
+        self.of_p, self.of_q = np.zeros(len(p.x), np.int64), np.zeros(len(q.x), np.int64)
+        self.ea: list[np.ndarray] = []
+        self.eb: list[np.ndarray] = []
+        self.held = self.decided = self.whole = 0
+        todo = [(0, 0)] if len(p.x) and len(q.x) else []
         while todo:
-            node, r = todo.pop()
-            start, end = self.span[node]
-            if end - start <= self.leaf or self.radius[node] < 1e-12:
-                continue
-            r = min(r, self.radius[node] / 2)
-            rows, groups, rest = self.order[start:end], [], []
-            for _ in range(64):  # a net: centres more than r apart, every row within r of the first centre that holds it
-                near = self._far(rows[0], rows) <= r
-                (groups if near.sum() >= self.leaf // 3 else rest).append(rows[near])
-                rows = rows[~near]
-                if not len(rows):
-                    break
-            if len(rows) or rest:  # no structure at this radius: the rest is one child without children
-                rest = np.concatenate([*rest, rows])
-                closed = len(self.centre) + len(groups)
-                groups.append(rest)
-            else:
-                closed = -1
-            at = start
-            for g in groups:
-                self.order[at : at + len(g)] = g
-                child = self._node(int(g[0]), at, at + len(g))
-                self.children[node].append(child)
-                at += len(g)
-            if len(groups) > 1:
-                todo += [(c, r / 2) for c in self.children[node] if c != closed]
-            else:
-                for a in (self.centre, self.radius, self.span, self.children):
-                    a.pop()
-                self.children[node] = []
-                if closed < 0 and r > 1e-9:
-                    todo.append((node, r / 2))
-
-
-def dual(p: CoverTree, q: CoverTree, wp: np.ndarray, wq: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of every row of p (weighed by wq) and of q (by wp), and the component of each row, q's after p's."""
-    limit = math.sqrt(max(0.0, 2 - 2 * least))
-    links_p, links_q = np.zeros(len(p.x), np.int64), np.zeros(len(q.x), np.int64)
-    n = len(p.x)
-    ea: list[np.ndarray] = []
-    eb: list[np.ndarray] = []
-    held = 0
-
-    def edges(a, b):
-        nonlocal ea, eb, held
-        ea.append(a)
-        eb.append(b + n)
-        held += len(a)
-        if held > 2_000_000:  # only a spanning forest is kept
-            label = labels(n + len(q.x), np.concatenate(ea), np.concatenate(eb))
+            todo += self._open(*todo.pop())
+
+    def _edges(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.ea.append(a)
+        self.eb.append(b + len(self.of_p))
+        self.held += len(a)
+        if self.held > 2_000_000:  # only a spanning forest is kept
+            label = self.labels()
             own = np.flatnonzero(label != np.arange(len(label)))
-            ea, eb, held = [own], [label[own]], len(own)
-
-    a, b = (np.zeros(1, np.int64), np.zeros(1, np.int64)) if len(p.x) and len(q.x) else (np.zeros(0, np.int64),) * 2
-    leaf_p, leaf_q = np.array([not c for c in p.children]), np.array([not c for c in q.children])
-    while len(a):
-        diff = p.centres[a] - q.centres[b]
-        d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-        r = p.radii[a] + q.radii[b]
-        near = d <= limit + r + SLACK
-        whole = near & (d + r <= limit - SLACK)
-        for i, j in zip(a[whole].tolist(), b[whole].tolist()):
-            x, y = p.order[slice(*p.span[i])], q.order[slice(*q.span[j])]
-            links_p[x] += wq[y].sum()
-            links_q[y] += wp[x].sum()
-            edges(np.concatenate([x, np.full(len(y), x[0])]), np.concatenate([np.full(len(x), y[0]), y]))
-        open_ = near & ~whole
-        a, b = a[open_], b[open_]
-        done = leaf_p[a] & leaf_q[b]
-        for i, j in zip(a[done].tolist(), b[done].tolist()):
-            all_x, y = p.order[slice(*p.span[i])], q.order[slice(*q.span[j])]
-            for k in range(0, len(all_x), 512):
-                x = all_x[k : k + 512]
-                hit = p.x[x] @ q.x[y].T >= least
-                if hit.any():
-                    links_p[x] += hit @ wq[y]
-                    links_q[y] += wp[x] @ hit
-                    u, v = np.nonzero(hit)
-                    edges(x[u], y[v])
-        a, b = a[~done], b[~done]
-        # the node with the larger radius is opened, unless it is a leaf
-        first = ~leaf_p[a] & (leaf_q[b] | (p.radii[a] >= q.radii[b]))
-        na, nb = [], []
-        for i, j, f in zip(a.tolist(), b.tolist(), first.tolist()):
-            kids = p.children[i] if f else q.children[j]
-            na += kids if f else [i] * len(kids)
-            nb += [j] * len(kids) if f else kids
-        a, b = np.array(na, np.int64), np.array(nb, np.int64)
-    return links_p, links_q, labels(n + len(q.x), np.concatenate(ea) if ea else np.zeros(0, np.int64), np.concatenate(eb) if eb else np.zeros(0, np.int64))
+            self.ea, self.eb, self.held = [own], [label[own]], len(own)
+
+    def labels(self) -> np.ndarray:
+        none = [np.zeros(0, np.int64)]
+        return labels(len(self.of_p) + len(self.of_q), np.concatenate(self.ea or none), np.concatenate(self.eb or none))
+
+    def _rows(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Vectors x of p and y of q, decided one by one."""
+        for k in range(0, len(x), step := max(1, 2_000_000 // max(1, len(y)))):
+            own = x[k : k + step]
+            hit = self.p.x[own] @ self.q.x[y].T >= self.least
+            self.decided += hit.size
+            if hit.any():
+                self.of_p[own] += hit @ self.wq[y]
+                self.of_q[y] += self.wp[own] @ hit
+                u, v = np.nonzero(hit)
+                self._edges(own[u], y[v])
+
+    def _open(self, i: int, j: int) -> list[tuple[int, int]]:
+        p, q = self.p, self.q
+        a, b = p.children[i], q.children[j]
+        if not len(a) and not len(b):
+            self._rows(p.order[slice(*p.span[i])], q.order[slice(*q.span[j])])
+            return []
+        # of two inner nodes only the wider is opened, unless they are alike
+        if len(a) and len(b) and p.radii[i] > 1.5 * q.radii[j] or not len(b):
+            b = np.array([j])
+        elif len(a) and len(b) and q.radii[j] > 1.5 * p.radii[i] or not len(a):
+            a = np.array([i])
+        one_a, one_b = p.sizes[a] == 1, q.sizes[b] == 1
+        self._rows(p.order[[p.span[k][0] for k in a[one_a].tolist()]], q.order[[q.span[k][0] for k in b[one_b].tolist()]])
+        return [*self._pairs(a[~one_a], b), *self._pairs(a[one_a], b[~one_b])]
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+        """Node pairs that are neither apart nor whole."""
+        p, q, out = self.p, self.q, []
+        for k in range(0, len(a), step := max(1, 1_000_000 // max(1, len(b)))):
+            own = a[k : k + step]
+            d = _away(p.centres[own] @ q.centres[b].T)
+            r = p.radii[own][:, None] + q.radii[b][None, :]
+            near = d <= self.limit + r + SLACK
+            whole = near & (d + r <= self.limit - SLACK)
+            for u, v in np.argwhere(whole).tolist():
+                x, y = p.order[slice(*p.span[own[u]])], q.order[slice(*q.span[b[v]])]
+                self.whole += len(x) * len(y)
+                self.of_p[x] += self.wq[y].sum()
+                self.of_q[y] += self.wp[x].sum()
+                self._edges(np.concatenate([x, np.full(len(y), x[0])]), np.concatenate([np.full(len(x), y[0]), y]))
+            out += [(int(own[u]), int(b[v])) for u, v in np.argwhere(near & ~whole).tolist()]
+        return out
 
 
 def _read(vectors: DataFrame, width: str) -> DataFrame:
@@ -184,7 +216,7 @@ def _far_first(x: np.ndarray, count: int) -> np.ndarray:
     return x[chosen]
 
 
-def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", *, least: float = 0.9, block: int = 4096, most_centres: int = 256, sample: int = 8192) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", *, least: float = 0.9, block: int = 8192, most_centres: int = 256, sample: int = 8192) -> DataFrame:
     """(id, n_links, component_id, kept) of every vector. sample: rows that the centres are chosen from; every row is compared."""
     spark = vectors.sparkSession
     width = "<f8" if "double" in vectors.schema[vector].dataType.simpleString() else "<f4"
@@ -230,16 +262,8 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
     split = {r.cell: int(-(-r.n // block)) for r in cells}
     radius = {r.cell: r.r for r in cells}
     limit = math.sqrt(max(0.0, 2 - 2 * least))
-    blocks = [(c, k) for c in split for k in range(split[c])]
-    partners: dict[tuple[int, int], list[tuple[int, int]]] = {b: [] for b in blocks}  # (pair, side)
-    pair = 0
-    for i, x in enumerate(blocks):
-        for y in blocks[i:]:
-            if x[0] == y[0] or (x[0] >= 0 and y[0] >= 0 and np.linalg.norm(centres[x[0]] - centres[y[0]]) <= limit + radius[x[0]] + radius[y[0]] + SLACK):
-                partners[x].append((pair, 0))
-                if x != y:
-                    partners[y].append((pair, 1))
-                pair += 1
+    near = [(c, e) for i, c in enumerate(split) for e in [*split][i:] if c == e or c >= 0 and e >= 0 and np.linalg.norm(centres[c] - centres[e]) <= limit + radius[c] + radius[e] + SLACK]
+    count = sum(split[c] * split[e] if c != e else split[c] * (split[c] + 1) // 2 for c, e in near)
 
     def deal(batches):
         for batch in batches:
@@ -248,15 +272,21 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
             cell, _, raw = cell_of(batch)
             ids, m = np.array(column(batch, "id")), np.array(column(batch, "m"))
             part = (mix(ids.astype(np.int64).view(U)) % np.array([split[c] for c in cell.tolist()], U)).astype(np.int64)
-            out = {k: [] for k in ("pair", "side", "ids", "m", "v")}
+            out = {k: [] for k in ("cell", "part", "ids", "m", "v")}
             for c, k in sorted(set(zip(cell.tolist(), part.tolist()))):
                 at = np.flatnonzero((cell == c) & (part == k))
-                v = b"".join(raw[i] for i in at.tolist())
-                for number, side in partners[c, k]:
-                    for name, y in zip(out, (number, side, ids[at].tobytes(), m[at].tobytes(), v)):
-                        out[name].append(y)
+                for name, y in zip(out, (c, k, ids[at].tobytes(), m[at].tobytes(), b"".join(raw[i] for i in at.tolist()))):
+                    out[name].append(y)
             yield out
 
+    pieces = materialize(mapped(reps, deal, "cell long, part long, ids binary, m binary, v binary"), "pieces")
+    blocks = spark.createDataFrame(list(split.items()), "cell long, parts long").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    x, y = (blocks.select(F.col("cell").alias(f"c{i}"), F.col("part").alias(f"k{i}")) for i in (1, 2))
+    pairs = spark.createDataFrame(near, "c1 long, c2 long").join(x, "c1").join(y, "c2").filter("c1 <> c2 or k1 <= k2")
+    pairs = pairs.withColumn("pair", F.concat_ws("/", "c1", "k1", "c2", "k2"))
+    sides = pairs.select("pair", F.lit(0).alias("side"), F.col("c1").alias("cell"), F.col("k1").alias("part"))
+    sides = sides.union(pairs.filter("c1 <> c2 or k1 <> k2").select("pair", F.lit(1), "c2", "k2"))
+
     def compare(batches):
         for _, group in grouped(batches, "pair"):
             sides: list[list] = [[], []]
@@ -272,7 +302,8 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
                     v = np.concatenate([np.frombuffer(x[2], width).reshape(len(x[0]) // 8, -1) for x in side])
                     trees.append((ids[order], m[order], CoverTree(_unit(v[order]))))
             one, two = trees[0], trees[-1]
-            a, b, label = dual(one[2], two[2], one[1], two[1], least)
+            both = Links(one[2], two[2], one[1], two[1], least)
+            a, b, label = both.of_p, both.of_q, both.labels()
             ids = np.concatenate([one[0], two[0]])
             if len(trees) == 1:
                 found = [(one[0], a - one[1])]  # each vector met itself
@@ -284,7 +315,7 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
             own = np.flatnonzero((ids[label] != ids))
             yield {"a": ids[own], "b": ids[label[own]], "n": [0] * len(own)}
 
-    dealt = mapped(reps, deal, "pair int, side int, ids binary, m binary, v binary").repartition(max(partitions(spark), min(pair, 4096)), "pair").sortWithinPartitions("pair")
+    dealt = pieces.join(sides, ["cell", "part"]).select("pair", "side", "ids", "m", "v").repartition(max(partitions(spark), min(count, 1 << 16)), "pair").sortWithinPartitions("pair")
     links = materialize(mapped(dealt, compare, "a long, b long, n long"), "links")
     label = components(links.filter("b is not null").select("a", "b"))
     count = links.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))

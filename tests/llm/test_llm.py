@@ -524,6 +524,44 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_cover_tree_prunes_and_finds_every_link():
+    """Clusters at several radii, single vectors, near-equal ones: every link, with most pairs never decided one by one."""
+    rng = np.random.RandomState(31)
+    c = embedding_dedup._unit(rng.randn(40, 32))
+    x = [c[i] + s * rng.randn(32) / 6 for i in range(40) for s in (0.001, 0.05, 0.3, 0.6) for _ in range(12)]
+    x += [c[0] + 1e-9 * rng.randn(32) for _ in range(60)] + list(rng.randn(200, 32))
+    x = embedding_dedup._unit(np.array(x))[rng.permutation(len(x))]
+    w = rng.randint(1, 4, len(x))
+    p, q = embedding_dedup.CoverTree(x[:1200]), embedding_dedup.CoverTree(x[1200:])
+    for tree in (p, q):
+        assert sorted(tree.order.tolist()) == list(range(len(tree.x)))
+        for node, kids in enumerate(tree.children):
+            rows = tree.order[slice(*tree.span[node])]
+            assert np.linalg.norm(tree.x[rows] - tree.centres[node], axis=1).max() <= tree.radii[node] + 1e-7
+            if len(kids):
+                assert [tree.span[kids[0]][0], tree.span[kids[-1]][1]] == list(tree.span[node]) and tree.centre[kids[0]] == tree.centre[node]
+    got = embedding_dedup.Links(p, q, w[:1200], w[1200:], 0.9)
+    hit = x[:1200] @ x[1200:].T >= 0.9
+    assert (got.of_p == hit @ w[1200:]).all() and (got.of_q == w[:1200] @ hit).all() and hit.sum() > 1000
+    u, v = np.nonzero(hit)
+    assert (got.labels() == embedding_dedup.labels(len(x), u, v + 1200)).all()
+    assert got.decided < hit.size / 3 and got.whole > 0
+
+
+def test_embeddings_in_many_blocks(spark):
+    rng = np.random.RandomState(32)
+    c = rng.randn(12, 16)
+    x = np.concatenate([c[rng.randint(12, size=400)] + rng.choice([0.05, 0.3], (400, 1)) * rng.randn(400, 16), rng.randn(100, 16)]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(x)], "vec_id long, embedding array<float>, cell string")
+    u = embedding_dedup._unit(x)
+    hit = u @ u.T >= 0.9
+    np.fill_diagonal(hit, False)
+    label = embedding_dedup.labels(len(x), *np.nonzero(hit))
+    for block, centres in ((40, 8), (10_000, 1)):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df, block=block, most_centres=centres).collect()}
+        assert got == {i: (int(hit[i].sum()), int(label[i])) for i in range(len(x))}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
