@@ -59,6 +59,11 @@ class CoverTree:
                 todo += self._grow(node, r)
         self.centres = x[self.centre] if self.centre else np.zeros((0, x.shape[1]))
         self.radii, self.sizes = np.array(self.radius), np.array([b - a for a, b in self.span], np.int64)
+        self.inner = np.array([len(k) > 0 for k in self.children], bool)
+
+    def rows(self, nodes) -> np.ndarray:
+        """The rows of all of some nodes."""
+        return np.concatenate([self.order[slice(*self.span[k])] for k in nodes])
 
     def _node(self, start: int, end: int) -> int:
         """A node around its first row."""
@@ -142,6 +147,13 @@ class Links:
         none = [np.zeros(0, np.int64)]
         return labels(len(self.of_p) + len(self.of_q), np.concatenate(self.ea or none), np.concatenate(self.eb or none))
 
+    def _linked(self, x: np.ndarray, y: np.ndarray) -> None:
+        """All vectors x of p are linked with all y of q."""
+        self.whole += len(x) * len(y)
+        self.of_p[x] += self.wq[y].sum()
+        self.of_q[y] += self.wp[x].sum()
+        self._edges(np.concatenate([x, np.full(len(y), x[0])]), np.concatenate([np.full(len(x), y[0]), y]))
+
     def _rows(self, x: np.ndarray, y: np.ndarray) -> None:
         """Vectors x of p and y of q, decided one by one."""
         for k in range(0, len(x), step := max(1, 2_000_000 // max(1, len(y)))):
@@ -157,36 +169,64 @@ class Links:
     def _open(self, i: int, j: int) -> list[tuple[int, int]]:
         p, q = self.p, self.q
         a, b = p.children[i], q.children[j]
-        if not len(a) and not len(b):
-            self._rows(p.order[slice(*p.span[i])], q.order[slice(*q.span[j])])
-            return []
         # of two inner nodes only the wider is opened, unless they are alike
-        if len(a) and len(b) and p.radii[i] > 1.5 * q.radii[j] or not len(b):
-            b = np.array([j])
-        elif len(a) and len(b) and q.radii[j] > 1.5 * p.radii[i] or not len(a):
+        wide = len(a) and len(b) and (1 if p.radii[i] > 1.5 * q.radii[j] else -1 if q.radii[j] > 1.5 * p.radii[i] else 0)
+        if not len(a) or wide < 0:
             a = np.array([i])
-        one_a, one_b = p.sizes[a] == 1, q.sizes[b] == 1
-        self._rows(p.order[[p.span[k][0] for k in a[one_a].tolist()]], q.order[[q.span[k][0] for k in b[one_b].tolist()]])
-        return [*self._pairs(a[~one_a], b), *self._pairs(a[one_a], b[~one_b])]
-
-    def _pairs(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-        """Node pairs that are neither apart nor whole."""
-        p, q, out = self.p, self.q, []
-        for k in range(0, len(a), step := max(1, 1_000_000 // max(1, len(b)))):
-            own = a[k : k + step]
+        if not len(b) or wide > 0:
+            b = np.array([j])
+        inner_a, inner_b = p.inner[a], q.inner[b]
+        out = []
+        for own in np.array_split(a, -(-len(a) * len(b) // 1_000_000)):
             d = _away(p.centres[own] @ q.centres[b].T)
             r = p.radii[own][:, None] + q.radii[b][None, :]
             near = d <= self.limit + r + SLACK
-            whole = near & (d + r <= self.limit - SLACK)
+            deep = p.inner[own]
+            self._leaves(own[~deep], b[~inner_b], near[~deep][:, ~inner_b])
+            for u in np.flatnonzero(deep).tolist():
+                if len(some := b[near[u] & ~inner_b]):
+                    self._descend(own[u], q.rows(some), False)
+            both = near & deep[:, None] & inner_b[None, :]
+            whole = both & (d + r <= self.limit - SLACK)
             for u, v in np.argwhere(whole).tolist():
-                x, y = p.order[slice(*p.span[own[u]])], q.order[slice(*q.span[b[v]])]
-                self.whole += len(x) * len(y)
-                self.of_p[x] += self.wq[y].sum()
-                self.of_q[y] += self.wp[x].sum()
-                self._edges(np.concatenate([x, np.full(len(y), x[0])]), np.concatenate([np.full(len(x), y[0]), y]))
-            out += [(int(own[u]), int(b[v])) for u, v in np.argwhere(near & ~whole).tolist()]
+                self._linked(p.rows([own[u]]), q.rows([b[v]]))
+            out += [(int(own[u]), int(b[v])) for u, v in np.argwhere(both & ~whole).tolist()]
+        if inner_b.any() and not inner_a.all():
+            some = a[~inner_a]
+            for k in b[inner_b].tolist():
+                near = _away(p.centres[some] @ q.centres[k]) <= self.limit + p.radii[some] + q.radii[k] + SLACK
+                if near.any():
+                    self._descend(k, p.rows(some[near]), True)
         return out
 
+    def _leaves(self, a: np.ndarray, b: np.ndarray, near: np.ndarray) -> None:
+        """Leaves of both: those near each other, in one product where that is most of them."""
+        if near.mean() > 0.25 if near.size else False:
+            self._rows(self.p.rows(a[near.any(axis=1)]), self.q.rows(b[near.any(axis=0)]))
+            return
+        for u in np.flatnonzero(near.any(axis=1)).tolist():
+            self._rows(self.p.rows(a[u : u + 1]), self.q.rows(b[near[u]]))
+
+    def _descend(self, node: int, rows: np.ndarray, turned: bool) -> None:
+        """A node's vectors, of p or, turned, of q, against single vectors of the other tree."""
+        tree, other = (self.q, self.p) if turned else (self.p, self.q)
+        todo = [(node, rows)]
+        while todo:
+            node, rows = todo.pop()
+            d = _away(other.x[rows] @ tree.centres[node])
+            whole = d + tree.radii[node] <= self.limit - SLACK
+            if whole.any():
+                pair = (tree.rows([node]), rows[whole])
+                self._linked(*(pair[::-1] if turned else pair))
+            rows = rows[~whole & (d <= self.limit + tree.radii[node] + SLACK)]
+            if not len(rows):
+                continue
+            if tree.inner[node]:
+                todo += [(k, rows) for k in tree.children[node].tolist()]
+            else:
+                pair = (tree.rows([node]), rows)
+                self._rows(*(pair[::-1] if turned else pair))
+
 
 def _read(vectors: DataFrame, width: str) -> DataFrame:
     """(id, ok, size, fp1, fp2, v): v as bytes."""
