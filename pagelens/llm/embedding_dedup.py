@@ -60,10 +60,14 @@ class CoverTree:
         self.centres = x[self.centre] if self.centre else np.zeros((0, x.shape[1]))
         self.radii, self.sizes = np.array(self.radius), np.array([b - a for a, b in self.span], np.int64)
         self.inner = np.array([len(k) > 0 for k in self.children], bool)
+        self.starts = np.array([a for a, _ in self.span], np.int64)
+        self.short = x.astype(np.float32)
 
     def rows(self, nodes) -> np.ndarray:
         """The rows of all of some nodes."""
-        return np.concatenate([self.order[slice(*self.span[k])] for k in nodes])
+        size, start = self.sizes[nodes], self.starts[nodes]
+        edge = np.cumsum(size)
+        return self.order[np.repeat(start - edge + size, size) + np.arange(edge[-1] if len(edge) else 0)]
 
     def _node(self, start: int, end: int) -> int:
         """A node around its first row."""
@@ -155,16 +159,33 @@ class Links:
         self._edges(np.concatenate([x, np.full(len(y), x[0])]), np.concatenate([np.full(len(x), y[0]), y]))
 
     def _rows(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Vectors x of p and y of q, decided one by one."""
-        for k in range(0, len(x), step := max(1, 2_000_000 // max(1, len(y)))):
+        """Vectors x of p and y of q, decided one by one: in single precision, then in double where that comes near the limit."""
+        if not len(x) or not len(y):
+            return
+        p, q, least = self.p, self.q, self.least
+        margin = 1e-6 + 2**-23 * p.x.shape[1]  # of a product of unit vectors in single precision
+        other = q.short[y].T
+        for k in range(0, len(x), step := max(1, 4_000_000 // len(y))):
             own = x[k : k + step]
-            hit = self.p.x[own] @ self.q.x[y].T >= self.least
+            hit = p.short[own] @ other >= least - margin
             self.decided += hit.size
-            if hit.any():
+            n = np.count_nonzero(hit)
+            if not n:
+                continue
+            if n > hit.size // 16:
+                hit = p.x[own] @ q.x[y].T >= least
                 self.of_p[own] += hit @ self.wq[y]
                 self.of_q[y] += self.wp[own] @ hit
                 u, v = np.nonzero(hit)
                 self._edges(own[u], y[v])
+                continue
+            u, v = np.nonzero(hit)
+            u, v = own[u], y[v]
+            sure = np.einsum("ij,ij->i", p.x[u], q.x[v]) >= least
+            u, v = u[sure], v[sure]
+            self.of_p += np.bincount(u, self.wq[v], len(self.of_p)).astype(np.int64)
+            self.of_q += np.bincount(v, self.wp[u], len(self.of_q)).astype(np.int64)
+            self._edges(u, v)
 
     def _open(self, i: int, j: int) -> list[tuple[int, int]]:
         p, q = self.p, self.q
@@ -175,37 +196,40 @@ class Links:
             a = np.array([i])
         if not len(b) or wide > 0:
             b = np.array([j])
-        inner_a, inner_b = p.inner[a], q.inner[b]
+        one_a, one_b = p.sizes[a] == 1, q.sizes[b] == 1
+        self._rows(p.rows(a[one_a]), q.rows(b[one_b]))
+        return [*self._nodes(a[~one_a], b), *self._nodes(b[~one_b], a[one_a], turned=True)]
+
+    def _nodes(self, a: np.ndarray, b: np.ndarray, turned: bool = False) -> list[tuple[int, int]]:
+        """Nodes a of p, or turned of q, with several vectors, against nodes b of the other tree: node pairs to open."""
+        p, q = (self.q, self.p) if turned else (self.p, self.q)
         out = []
-        for own in np.array_split(a, -(-len(a) * len(b) // 1_000_000)):
-            d = _away(p.centres[own] @ q.centres[b].T)
-            r = p.radii[own][:, None] + q.radii[b][None, :]
-            near = d <= self.limit + r + SLACK
-            deep = p.inner[own]
-            self._leaves(own[~deep], b[~inner_b], near[~deep][:, ~inner_b])
-            for u in np.flatnonzero(deep).tolist():
-                if len(some := b[near[u] & ~inner_b]):
-                    self._descend(own[u], q.rows(some), False)
-            both = near & deep[:, None] & inner_b[None, :]
-            whole = both & (d + r <= self.limit - SLACK)
-            for u, v in np.argwhere(whole).tolist():
-                self._linked(p.rows([own[u]]), q.rows([b[v]]))
-            out += [(int(own[u]), int(b[v])) for u, v in np.argwhere(both & ~whole).tolist()]
-        if inner_b.any() and not inner_a.all():
-            some = a[~inner_a]
-            for k in b[inner_b].tolist():
-                near = _away(p.centres[some] @ q.centres[k]) <= self.limit + p.radii[some] + q.radii[k] + SLACK
-                if near.any():
-                    self._descend(k, p.rows(some[near]), True)
+        if not len(b):
+            return out
+        for own in np.array_split(a, -(-len(a) * len(b) // 1_000_000)) if len(a) else []:
+            dots = p.centres[own] @ q.centres[b].T
+            reach = self.limit + SLACK + p.radii[own][:, None] + q.radii[b][None, :]
+            near = dots >= 1 - reach * reach / 2
+            inner = q.inner[b]
+            for u in range(len(own)):
+                if p.inner[own[u]]:
+                    some = b[near[u] & inner]
+                    whole = _away(dots[u][near[u] & inner]) + p.radii[own[u]] + q.radii[some] <= self.limit - SLACK
+                    for k in some[whole].tolist():
+                        self._turned(self._linked, p.rows(own[u : u + 1]), q.rows(np.array([k])), turned)
+                    out += [(k, int(own[u])) if turned else (int(own[u]), k) for k in some[~whole].tolist()]
+                    if len(some := b[near[u] & ~inner]):
+                        self._descend(int(own[u]), q.rows(some), turned)
+                    continue
+                if len(some := b[near[u] & ~inner]):
+                    self._turned(self._rows, p.rows(own[u : u + 1]), q.rows(some), turned)
+                for k in b[near[u] & inner].tolist():
+                    self._descend(k, p.rows(own[u : u + 1]), not turned)
         return out
 
-    def _leaves(self, a: np.ndarray, b: np.ndarray, near: np.ndarray) -> None:
-        """Leaves of both: those near each other, in one product where that is most of them."""
-        if near.mean() > 0.25 if near.size else False:
-            self._rows(self.p.rows(a[near.any(axis=1)]), self.q.rows(b[near.any(axis=0)]))
-            return
-        for u in np.flatnonzero(near.any(axis=1)).tolist():
-            self._rows(self.p.rows(a[u : u + 1]), self.q.rows(b[near[u]]))
+    @staticmethod
+    def _turned(what, x: np.ndarray, y: np.ndarray, turned: bool) -> None:
+        what(*((y, x) if turned else (x, y)))
 
     def _descend(self, node: int, rows: np.ndarray, turned: bool) -> None:
         """A node's vectors, of p or, turned, of q, against single vectors of the other tree."""
@@ -216,16 +240,14 @@ class Links:
             d = _away(other.x[rows] @ tree.centres[node])
             whole = d + tree.radii[node] <= self.limit - SLACK
             if whole.any():
-                pair = (tree.rows([node]), rows[whole])
-                self._linked(*(pair[::-1] if turned else pair))
+                self._turned(self._linked, tree.rows(np.array([node])), rows[whole], turned)
             rows = rows[~whole & (d <= self.limit + tree.radii[node] + SLACK)]
             if not len(rows):
                 continue
             if tree.inner[node]:
                 todo += [(k, rows) for k in tree.children[node].tolist()]
             else:
-                pair = (tree.rows([node]), rows)
-                self._rows(*(pair[::-1] if turned else pair))
+                self._turned(self._rows, tree.rows(np.array([node])), rows, turned)
 
 
 def _read(vectors: DataFrame, width: str) -> DataFrame:
