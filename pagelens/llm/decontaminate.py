@@ -3,26 +3,29 @@
 The automaton over the items' words is built once, its words are streamed through it, and at each word the length of the longest
 run that also occurs in an item is known. A run of `window` words (or a whole item, where the item is shorter) is a hit.
 
-Items are few and bounded: they are taken in blocks of at most `block_words` words, and each block is one automaton that goes to
-the executors; more items mean more blocks, each over all documents, never a cut.
+Items are taken in blocks of at most `block_words` words (or one item), and each block is one automaton that goes to the executors, one
+pass over all documents for each, so that neither driver nor executors hold two; more items mean more passes, never a cut.
 
 Defined cases: a null text has no words, no hits and the digest of nothing; an item without words never occurs; equal items all
-count as occurring; an empty documents table gives no rows, an empty benchmark no hits; rows that repeat an id are judged one by
-one when there is one block, and where there are more, their words are marked row by row in the same pass; other columns are
-left alone.
+count as occurring; an empty documents table gives no rows, an empty benchmark no hits; texts of any length are streamed
+whole; rows that repeat an id are judged one by one; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterable
+import functools
+import itertools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunked, column, mapped, texts
+from ._common import chunked, column, mapped, materialize, texts
+
+#: Words of items in one automaton, which takes about 1.5 kB for each of them in a Python worker.
+BLOCK = 100_000
 
 #: Lower-case A-Z; whatever is neither an ASCII letter or digit nor a byte from 0x80 up is a blank.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -133,67 +136,92 @@ class Automaton:
                 spans.append((a, i))
 
 
-def automata(benchmark: DataFrame, id: str = "item_id", text: str = "text", *, window: int = 13, block_words: int = 2_000_000) -> list[Automaton]:
+def automata(benchmark: DataFrame, id: str = "item_id", text: str = "text", *, window: int = 13, block_words: int = BLOCK) -> Iterator[Automaton]:
     """One automaton for every block of items."""
-    out, block, size = [], [], 0
+    block, size = [], 0
     for k, t in benchmark.select(F.col(id).cast("string"), F.col(text)).toLocalIterator():
         ws = words((t or "").encode())
         if block and size + len(ws) > block_words:
-            out.append(Automaton(block, window))
+            yield Automaton(block, window)
             block, size = [], 0
         block.append((k, ws))
         size += len(ws)
-    return [*out, Automaton(block, window)]
-
-
-def _scan_all(machines: list[Automaton], ws: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-    spans, found = machines[0].scan(ws)
-    for m in machines[1:]:
-        more, items = m.scan(ws)
-        found |= items
-        spans += more
-    if len(machines) > 1:
-        merged: list[tuple[int, int]] = []
-        for a, b in sorted(spans):
-            if merged and merged[-1][1] >= a:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-            else:
-                merged.append((a, b))
-        spans = merged
-    return spans, found
-
-
-def find(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", *, window: int = 13, share: float = 0.05) -> DataFrame:
+    yield Automaton(block, window)
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and out[-1][1] >= a:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _hits(rows: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
+    """rows (any columns, with text) with spans array and items array added, by one pass over them for each block of items: an
+    executor holds one automaton at a time."""
+    machines = automata(benchmark, window=window, block_words=block_words)
+    sc = rows.sparkSession.sparkContext
+
+    def scanner(said):
+        def run(batches):
+            for batch in chunked(batches):
+                got = [said.value.scan(words(t)) for t in texts(batch)]
+                spans = pa.array([[list(s) for s in x[0]] for x in got], pa.list_(pa.list_(pa.int64())))
+                items = pa.array([sorted(x[1]) for x in got], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, spans, items], names=[*batch.schema.names, "spans", "items"])
+
+        return run
+
+    kinds = "spans array<array<long>>, items array<string>"
+    first, second = next(machines), next(machines, None)
+    if second is None:
+        return rows.mapInArrow(scanner(sc.broadcast(first)), f"{_ddl(rows)}, {kinds}")
+    keyed = materialize(rows.withColumn("hit_row", F.monotonically_increasing_id()), "rows")
+    short = keyed.select("hit_row", "text")
+    found = [materialize(short.mapInArrow(scanner(sc.broadcast(m)), f"hit_row long, text string, {kinds}").select("hit_row", "spans", "items").filter("size(spans) > 0"), "hits") for m in itertools.chain([first, second], machines)]
+    one = functools.reduce(DataFrame.union, found).groupBy("hit_row").agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i"))
+
+    def merge(batches):
+        for batch in batches:
+            yield {"hit_row": column(batch, "hit_row"), "spans": [[list(x) for x in _merged([tuple(y) for y in s])] for s in column(batch, "s")], "items": column(batch, "i")}
+
+    one = mapped(one, merge, f"hit_row long, {kinds}")
+    none = [F.coalesce(k, F.array().cast(t)).alias(k) for k, t in (("spans", "array<array<long>>"), ("items", "array<string>"))]
+    return keyed.join(one, "hit_row", "left").select(*rows.columns, *none)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def find(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", *, window: int = 13, share: float = 0.05, block_words: int = BLOCK) -> DataFrame:
     """(id, n_words, n_hit, n_items, items array, spans array, contaminated) of every row; spans are [first word, past the last)."""
-    said = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(benchmark, window=window)]  # each of at most block_words words
+    rows = _hits(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), benchmark, window, block_words)
 
     def run(batches):
-        machines = [s.value for s in said]
         for batch in chunked(batches):
-            out = {k: [] for k in ("id", "n_words", "n_hit", "n_items", "items", "spans", "contaminated")}
-            for k, t in zip(column(batch, "id"), texts(batch)):
-                ws = words(t)
-                spans, found = _scan_all(machines, ws)
-                hit = sum(b - a for a, b in spans)
-                for name, v in zip(out, (k, len(ws), hit, len(found), sorted(found), [list(s) for s in spans], hit > 0 and hit >= share * len(ws) - 1e-9)):
-                    out[name].append(v)
-            yield out
-
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+            n = [len(words(t)) for t in texts(batch)]
+            hit = [sum(b - a for a, b in s) for s in column(batch, "spans")]
+            items = column(batch, "items")
+            yield {"id": column(batch, "id"), "n_words": n, "n_hit": hit, "n_items": [len(x) for x in items], "items": items, "spans": column(batch, "spans"), "contaminated": [h > 0 and h >= share * k - 1e-9 for h, k in zip(hit, n)]}
+
     return mapped(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items array<string>, spans array<array<long>>, contaminated boolean").withColumnRenamed("id", id)
 
 
-def clean(text: bytes, machines: list[Automaton], longest: int, coverage: float) -> bytes | None:
+def clean(text: bytes, spans: list, longest: int, coverage: float) -> bytes | None:
     """text without its hit spans of `longest` words or more; None where hits cover more than `coverage` of its words."""
-    flat = text.translate(NORMAL)
-    ws = flat.split()
-    spans, _ = _scan_all(machines, ws)
     if not spans:
         return text
+    flat = text.translate(NORMAL)
+    ws = flat.split()
     if sum(b - a for a, b in spans) > coverage * len(ws):
         return None
     spans = [s for s in spans if s[1] - s[0] >= longest]
-    kept, at, word, pos = [], 0, 0, 0
+    kept, at, pos = [], 0, 0
     starts: list[tuple[int, int]] = []
     for w in ws:
         pos = flat.index(w, pos)
@@ -206,22 +234,21 @@ def clean(text: bytes, machines: list[Automaton], longest: int, coverage: float)
     return b"".join(kept)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", *, window: int = 13, longest: int = 1, coverage: float = 0.5) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", *, window: int = 13, longest: int = 1, coverage: float = 0.5, block_words: int = BLOCK) -> DataFrame:
     """docs without what occurs in the benchmark: hit spans of at least `longest` words are cut out of the text, and a document of which
     more than `coverage` is hit goes. All columns stay, and a text without hits stays as it is."""
-    said = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(benchmark, window=window)]
+    rows = _hits(docs.select(F.struct("*").alias("doc"), F.col(text).alias("text")), benchmark, window, block_words)
 
     def run(batches):
-        machines = [s.value for s in said]
-        for batch in chunked(batches, text):
-            i = batch.schema.get_field_index(text)
-            nulls = batch.column(i).is_null().to_pylist()
-            new = [None if gone else clean(t, machines, longest, coverage) for gone, t in zip(nulls, texts(batch, text))]
-            keep = [gone or t is not None for gone, t in zip(nulls, new)]
-            out = batch.set_column(i, batch.schema.field(i), pa.array([t if t is None else t.decode("utf-8", "replace") for t in new], batch.schema.field(i).type))
-            yield out.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+        for batch in chunked(batches):
+            gone = batch.column(batch.schema.get_field_index("text")).is_null().to_pylist()
+            new = [None if null else clean(t, s, longest, coverage) for null, t, s in zip(gone, texts(batch), column(batch, "spans"))]
+            keep = pa.array([null or t is not None for null, t in zip(gone, new)], pa.bool_())
+            cut = pa.array([t if t is None else t.decode("utf-8", "replace") for t in new], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc")), cut], names=["doc", "text"]).filter(keep)
+
+    out = rows.mapInArrow(run, f"{_ddl(rows.select('doc'))}, text string")
+    return out.select(*[(F.col("text") if c == text else F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

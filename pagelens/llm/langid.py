@@ -5,7 +5,8 @@ then 3-, 2- and 1-grams, and takes the longest that training saw. A text's langu
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; a text whose words say nothing takes the language
 with the most training rows; ties go to the language that sorts first; a null id is not held out and not trained on; repeated
-rows are judged one by one; without any labelled row, or any word in them, everything is `und`; other columns of the input are left alone.
+rows are judged one by one; without any labelled row, or any word in them, everything is `und` (and a filter by
+language rejects nothing, as nothing was learned to tell); texts of any length are judged whole; an empty table gives no rows; other columns of the input are left alone.
 """
 
 from __future__ import annotations
@@ -161,7 +162,9 @@ def predict(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, whose language is found with a score of at least `least`."""
+    """The rows of docs, all columns, whose language is found with a score of at least `least`; all rows, where no language was learned."""
+    if not model.langs:
+        return docs
     said = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U, chunked, column, forget, grouped, mapped, materialize, mix, partitions, release, texts, window_hashes, word_hashes
+from ._common import U, buckets_for, chunked, column, deal, forget, grouped, mapped, materialize, mix, release, texts, window_hashes, word_hashes
 from .url_filter import Bloom
 
 TOP = U(0xFFFFFFFFFFFFFFFF)
@@ -114,9 +114,8 @@ def _dealt(bucket: np.ndarray, buckets: int):
     return ((i, order[cuts[i] : cuts[i + 1]]) for i in range(buckets) if cuts[i] < cuts[i + 1])
 
 
-def _repeats(docs: DataFrame, size: int, k: int, blooms: list) -> DataFrame:
+def _repeats(docs: DataFrame, size: int, k: int, blooms: list, buckets: int) -> DataFrame:
     """(key) of the k-word stand-ins that occur at two places or more."""
-    buckets = partitions(docs.sparkSession)
 
     def emit(batches):
         for batch in chunked(batches, limit=1_500_000):
@@ -140,13 +139,12 @@ def _repeats(docs: DataFrame, size: int, k: int, blooms: list) -> DataFrame:
             hit = (n > 1) | np.logical_or.reduceat(often, first)
             yield {"key": key[first[hit]].view(np.int64)}
 
-    rows = mapped(docs, emit, "bucket int, keys binary, often binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    rows = deal(mapped(docs, emit, "bucket int, keys binary, often binary"), buckets)
     return mapped(rows, count, "key long")
 
 
-def _covered(docs: DataFrame, size: int, blooms: list) -> DataFrame:
+def _covered(docs: DataFrame, size: int, blooms: list, buckets: int) -> DataFrame:
     """Rows (id, n, fp1, fp2) of documents, and rows (id, starts) of windows with an earlier equal one; starts are little-endian int32."""
-    buckets = partitions(docs.sparkSession)
     half = size // 2
 
     def by_document(ids, starts):
@@ -209,13 +207,12 @@ def _covered(docs: DataFrame, size: int, blooms: list) -> DataFrame:
                 later = later[np.lexsort((place[later], doc[later]))]
                 yield by_document(doc[later], place[later])
 
-    rows = mapped(docs, emit, "kind int, bucket int, a binary, b binary, c binary, d binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    rows = deal(mapped(docs, emit, "kind int, bucket int, a binary, b binary, c binary, d binary"), buckets)
     return mapped(rows, decide, "id long, n long, fp1 long, fp2 long, part int, who binary, starts binary")
 
 
-def _by_document(found: DataFrame) -> DataFrame:
+def _by_document(found: DataFrame, buckets: int) -> DataFrame:
     """(id, starts) with all starts of a document together."""
-    buckets = partitions(found.sparkSession)
 
     def gather(batches):
         for _, group in grouped(batches, "part"):
@@ -231,7 +228,7 @@ def _by_document(found: DataFrame) -> DataFrame:
             cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
             yield {"id": ids[cut], "starts": [starts[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(ids)))]}
 
-    rows = found.filter("part is not null").select("part", "who", "starts").repartition(buckets, "part").sortWithinPartitions("part")
+    rows = deal(found.filter("part is not null").select("part", "who", "starts"), buckets, "part")
     return mapped(rows, gather, "id long, starts binary")
 
 
@@ -244,26 +241,27 @@ def covered_words(n: int, starts: bytes, size: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", *, size: int = 20, keep_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", *, size: int = 20, keep_text: bool = False, bucket_bytes: int = 64_000_000) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) of every document; with keep_text also `kept`, the words that stay joined by blanks.
 
-    size: words of a window, a multiple of 4.
+    size: words of a window, a multiple of 4. bucket_bytes: of all texts, for which there is one bucket of windows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull())
+    buckets = buckets_for(spark, rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, bucket_bytes)
     blooms: list = []
     k = size // 4
     while k < size:
-        keys = materialize(_repeats(rows, size, k, blooms), f"repeats{k}")
+        keys = materialize(_repeats(rows, size, k, blooms, buckets), f"repeats{k}")
         blooms.append((k, spark.sparkContext.broadcast(Bloom.build(keys))))  # of bounded size
         forget(keys)
         k *= 2
-    found = materialize(_covered(rows, size, blooms), "covered")
+    found = materialize(_covered(rows, size, blooms, buckets), "covered")
     release(spark)
     meta = found.filter("n is not null").select("id", "n", "fp1", "fp2")
     copies = materialize(meta.filter(f"n >= {size}").groupBy("fp1", "fp2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("fp1", "fp2", "first"), "copies")
     whole = meta.join(copies, ["fp1", "fp2"]).filter("id > first").select("id").distinct()
-    some = _by_document(found)
+    some = _by_document(found, buckets)
     cut = materialize(some.join(whole.withColumn("gone", F.lit(True)), "id", "full").select("id", F.when(F.col("gone").isNull(), F.col("starts")).alias("starts"), F.coalesce("gone", F.lit(False)).alias("gone")), "cut")
     forget(found)
     said = spark.sparkContext.broadcast(Bloom.build(cut.select(F.col("id").cast("string").alias("key"))))

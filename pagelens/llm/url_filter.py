@@ -5,7 +5,7 @@ own; the longest rule that fits decides, and without one a URL is blocked if its
 up by its few possible keys (host suffixes with path starts of the lengths that rules have, and the canonical form); the filter,
 of bounded size whatever the list's, drops nearly all keys that are not listed, and the join removes its false positives.
 
-Defined cases: a null URL or one without `://` has an empty host and path, fits no rule and is allowed; an empty list allows
+Defined cases: URLs of any length are looked up whole; a null URL or one without `://` has an empty host and path, fits no rule and is allowed; an empty list allows
 all; rules of equal length are decided by the longer host, then by block; every input row gives one output row, repeated ones
 too; other columns are left alone.
 """
@@ -86,16 +86,17 @@ class Bloom:
         return ((self.words[at] & mask) == mask).all(axis=1)
 
 
-def parts(url: str | None) -> tuple[str, str, str]:
-    """Host with A-Z lower-cased, path, and query without its mark."""
+def parts(url: str | None) -> tuple[str, str, str, str]:
+    """Scheme and host with A-Z lower-cased, path, and query without its mark."""
     if url is None or (i := url.find("://")) < 0:
-        return "", "", ""
+        return "", "", "", ""
     host, path, query = re.match(r"([^/?#]*)([^?#]*)(?:\?([^#]*))?", url[i + 3 :]).groups()
-    return host.encode().lower().decode(), path, query or ""
+    return url[:i].encode().lower().decode(), host.encode().lower().decode(), path, query or ""
 
 
-def canonical(host: str, path: str, query: str) -> str:
-    host = re.sub(r"^www\.|:(?:80|443)\Z", "", host)
+def canonical(scheme: str, host: str, path: str, query: str) -> str:
+    """Without the scheme, a leading www., the scheme's own port and a fragment."""
+    host = host.removeprefix("www.").removesuffix({"http": ":80", "https": ":443"}.get(scheme, "\0"))
     return host + (path or "/") + (f"?{query}" if query else "")
 
 
@@ -118,13 +119,13 @@ def judge(pages: DataFrame, table: DataFrame, id: str = "page_id", url: str = "u
             keys: list[str] = []
             ends: list[int] = []
             for k, u in zip(column(batch, "id"), column(batch, "url")):
-                host, path, query = parts(u)
+                scheme, host, path, query = parts(u)
                 if host:
                     labels = host.split(".")
                     for i in range(len(labels)):
                         suffix = "r:" + ".".join(labels[i:])
                         keys += [suffix + path[:s] for s in sizes if s <= len(path)]
-                    keys.append("u:" + canonical(host, path, query))
+                    keys.append("u:" + canonical(scheme, host, path, query))
                 ends.append(len(keys))
                 for name, v in zip(out, (row, k, host, path)):
                     out[name].append(v)
@@ -153,12 +154,12 @@ _VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 _LISTED = ", ".join(f"'{u}'" for u in LISTED)
 OP3_SQL = f"""
 WITH rules(rh, rp, said) AS (VALUES {_VALUES}),
-cut AS (SELECT page_id, url, row_number() OVER () AS r, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS rest FROM pages),
-p AS (SELECT page_id, r, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+cut AS (SELECT page_id, url, row_number() OVER () AS r, translate(substr(url, 1, greatest(0, position('://' IN url) - 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS scheme, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS rest FROM pages),
+p AS (SELECT page_id, r, scheme, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
   coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1), '') AS query FROM cut),
 hit AS (SELECT r, rh || rp AS rule, said, row_number() OVER (PARTITION BY r ORDER BY length(rh || rp) DESC, length(rh) DESC, said DESC) AS k
   FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
-SELECT page_id, host, path, rule, coalesce(said, CASE WHEN host <> '' AND regexp_replace(host, '^www\\.|:(80|443)$', '') || CASE WHEN path = '' THEN '/' ELSE path END
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN host <> '' AND regexp_replace(regexp_replace(host, '^www[.]', ''), CASE scheme WHEN 'http' THEN ':80$' WHEN 'https' THEN ':443$' ELSE '^$' END, '') || CASE WHEN path = '' THEN '/' ELSE path END
   || CASE WHEN query = '' THEN '' ELSE '?' || query END IN ({_LISTED}) THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN hit ON p.r = hit.r AND k = 1
 """

@@ -339,6 +339,66 @@ def test_automaton_and_table(spark):
     assert decontaminate.find(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_decontamination_in_blocks(spark):
+    """Two and more blocks of items, repeated rows, ties and clashing names: as one block, and as brute force."""
+    rnd = random.Random(41)
+    al = [f"t{i}" for i in range(6)]
+    items = [(i, " ".join(rnd.choice(al) for _ in range(rnd.randint(1, 9)))) for i in range(12)] + [(50, None), (51, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, " ".join(rnd.choice([*al, "zz"]) for _ in range(rnd.randint(0, 60))), None) for i in range(25)] + [(3, "t1 t2", None), (3, "t1 t2", None), (90, None, None), (91, "zz " * 50_000, None)]
+    docs = table(spark, rows).withColumnRenamed("kind", "spans").withColumnRenamed("rank", "doc")
+    want = []
+    for i, t, _ in rows:
+        ws, hit, names = (t or "").split(), set(), set()
+        for k, x in items:
+            it = (x or "").split()
+            for win in [it] if 0 < len(it) < 4 else [it[j : j + 4] for j in range(len(it) - 3)]:
+                for j in range(len(ws) - len(win) + 1):
+                    if ws[j : j + len(win)] == win:
+                        hit |= set(range(j, j + len(win)))
+                        names.add(str(k))
+        want.append((i, len(ws), len(hit), sorted(names)))
+    cut = {}
+    for block in (100_000, 20, 1):
+        got = [(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontaminate.find(docs, bench, window=4, block_words=block).collect()]
+        assert sorted(got) == sorted(want)
+        out = decontaminate.decontaminate(docs, bench, window=4, block_words=block)
+        assert out.columns == docs.columns
+        cut[block] = sorted((r.doc_id, r.text or "", r.doc) for r in out.collect())
+    assert cut[100_000] == cut[20] == cut[1] and len(cut[1]) < len(rows)
+    assert decontaminate.find(docs.limit(0), bench).count() == decontaminate.decontaminate(docs.limit(0), bench).count() == 0
+
+
+def test_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from pagelens.llm._common import shared_dir
+
+    unset = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=context))
+
+
+def test_url_ports_and_bloom_false_positives(spark, monkeypatch):
+    """A port counts as the scheme's own only for that scheme; a filter that passes everything changes no verdict."""
+    urls = ["https://evil.org:443/a?b=1", "http://evil.org:443/a?b=1", "http://evil.org:80/a?b=1", "https://evil.org:80/a?b=1", "ftp://evil.org/a?b=1", "https://x.net/" + "p" * 200_000]
+    rules = url_filter.rules_table(spark, rules=[("x.net", "/p", "allow"), ("net", "/p", "block"), ("x.net", "/pp", "block")], listed=["evil.org/a?b=1"])
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [(r.rule, r.verdict) for r in url_filter.judge(pages, rules).orderBy("page_id").collect()]
+    assert got == [(None, "block"), (None, "allow"), (None, "block"), (None, "allow"), (None, "block"), ("x.net/pp", "block")]
+    full = url_filter.Bloom.build
+    monkeypatch.setattr(url_filter.Bloom, "build", classmethod(lambda cls, *a, **k: url_filter.Bloom(np.full(8, ~np.uint64(0)))))
+    assert [(r.rule, r.verdict) for r in url_filter.judge(pages, rules).orderBy("page_id").collect()] == got
+    assert full is not None
+
+
+def test_no_labelled_row_rejects_nothing(spark):
+    docs = table(spark, [(1, "some text", None), (2, None, None)])
+    assert langid.keep_identified(docs, langid.fit(docs)).count() == 2
+    assert langid.predict(docs.limit(0), langid.fit(docs.limit(0))).count() == 0
+
+
 def test_language(spark):
     rnd = random.Random(6)
     say = lambda ws: " ".join(rnd.choice(ws) for _ in range(30))
