@@ -11,9 +11,19 @@ from ..functions import words as W
 # Function words. Words that English shares are left out of the other lists.
 STOPWORDS = {
     "en": "the of and to in a is that for it as with was on be by this are at from or an have not but they his her you we can all will their has more one if there been which when who would what about so out up your were than into them its our also only other some these may do how new",
+    "da": "og i er det en af til at de den for med som på ikke et har vi kan du om",
     "de": "der die das und ist von den mit für auf nicht ein eine zu im dem sich auch werden wir",
-    "es": "el la los las de que en del se por con para una un es lo como más pero sus",
+    "es": "el la los las de que y en del se por con para una un es lo como más pero sus",
+    "fi": "ja on ei että se oli ovat tai kun myös mutta sekä tämä jos kuin niin voi",
     "fr": "le la les de des et est une un du pour dans que qui sur pas au avec nous vous",
+    "id": "yang dan di dengan untuk dari ini itu pada ke dalam tidak atau akan kami anda",
+    "it": "il la di che e per del della con le gli un una sono nella non più dei al",
+    "nl": "de het een van en is dat op te zijn voor met niet aan er om ook naar wij",
+    "no": "og i er det en av til at de som på ikke et har vi kan du for med",
+    "pl": "w i na z do nie jest się że to od po dla oraz przez jak",
+    "pt": "o a os as de que e em do da para com um uma não por mais dos das",
+    "sv": "och i är det en av till att de som på inte ett har vi kan du för med",
+    "tr": "ve bir bu için ile da de olarak daha çok en gibi kadar sonra",
 }
 # Endings and words of hosts, and vocabularies of texts, that count as unsafe.
 RISKY_ENDINGS = "xyz top club icu buzz site online click link work gq tk ml cf ga loan win bid mom"
@@ -31,24 +41,34 @@ def _count_in(words: Column, vocabulary: str) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(vocabulary.split()))).cast("long")
 
 
+def own_words(stopwords: dict[str, str] = STOPWORDS) -> dict[str, list[str]]:
+    """Each other language's words that say something: none that English has, no single letters, no web ending."""
+    english = set(stopwords["en"].split())
+    return {k: [w for w in dict.fromkeys(v.split()) if len(w) > 1 and w != "com" and w not in english] for k, v in sorted(stopwords.items()) if k != "en"}
+
+
 def language_words(text: Column) -> Column:
     """Words of a text without addresses."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)\S*(://|www\.|@)\S*", " ")
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)\S*(?:://|www\.|@)\S*|\S+\.(?:com|org|net)\b\S*", " ")
     return F.regexp_extract_all(F.lower(bare), F.lit(r"\p{L}+"), F.lit(0))
 
 
 def language(docs: DataFrame, id: str, text: str, stopwords: dict[str, str] = STOPWORDS) -> DataFrame:
-    """(id, n_words, english, best_other, best_other_count, reason): words of each language's list, and whether another outweighs English."""
-    english = set(stopwords["en"].split())
-    other = sorted(k for k in stopwords if k != "en")
-    own = {k: " ".join(w for w in stopwords[k].split() if len(w) > 1 and w not in english) for k in other}
+    """(id, n_words, non_latin, english, best_other, best_other_count, reason): the share of letters outside Latin script, words of each
+    language's list, and why a text of 40 words or more is not English: a quarter of its letters, or ten words of another list and more
+    than of the English one. One pass over a text's words leaves those of any list; only these are counted by language."""
+    other = own_words(stopwords)
     seen = docs.select(id, language_words(F.col(text)).alias("w"))
-    counts = seen.select(id, F.size("w").cast("long").alias("n_words"), _count_in(F.col("w"), stopwords["en"]).alias("english"), *[_count_in(F.col("w"), own[k]).alias(f"_{k}") for k in other])
-    best = F.greatest(*[F.col(f"_{k}") for k in other]) if len(other) > 1 else F.col(f"_{other[0]}")
+    known = sorted({w for v in other.values() for w in v} | set(stopwords["en"].split()))
+    letters = F.array_join("w", "")
+    seen = seen.select(id, F.size("w").cast("long").alias("n_words"), F.length(letters).alias("letters"), F.length(F.regexp_replace(letters, r"\p{IsLatin}", "")).alias("foreign"), F.filter("w", lambda w: w.isin(known)).alias("k"))
+    counts = seen.select(id, "n_words", F.round(F.coalesce(F.try_divide("foreign", "letters"), F.lit(0.0)), 4).alias("non_latin"), _count_in(F.col("k"), stopwords["en"]).alias("english"), *[_count_in(F.col("k"), " ".join(v)).alias(f"_{k}") for k, v in other.items()])
+    best = F.greatest(*[F.col(f"_{k}") for k in other]) if len(other) > 1 else F.col(f"_{next(iter(other))}")
     name = F.coalesce(*[F.when(F.col(f"_{k}") == F.col("best_other_count"), k) for k in other])
     out = counts.withColumn("best_other_count", best).withColumn("best_other", name)
+    script = (F.col("n_words") >= 40) & (F.col("non_latin") >= 0.25)
     foreign = (F.col("n_words") >= 40) & (F.col("best_other_count") >= 10) & (F.col("best_other_count") > F.col("english"))
-    return out.select(id, "n_words", "english", "best_other", "best_other_count", F.when(foreign, "non_english_stopwords").alias("reason"))
+    return out.select(id, "n_words", "non_latin", "english", "best_other", "best_other_count", F.when(script, "non_english_script").when(foreign, "non_english_stopwords").alias("reason"))
 
 
 def host_reason(url: Column) -> Column:

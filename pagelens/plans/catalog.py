@@ -265,13 +265,15 @@ def strict_split(spark, sf_dir):
     return overlap.strict_split(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_OTHER = {k: [w for w in v.split() if len(w) > 1 and w not in judge.STOPWORDS["en"].split()] for k, v in judge.STOPWORDS.items() if k != "en"}
+_OTHER = judge.own_words()
 
 
-@query(f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '(?i)\\S*(://|www\\.|@)\\S*', ' ', 'g')), '\\p{{L}}+') AS w FROM documents),
-c AS (SELECT doc_id, len(w)::BIGINT AS n_words, len(list_filter(w, lambda x: list_contains({_list(judge.STOPWORDS["en"])}, x)))::BIGINT AS english, {", ".join(f"len(list_filter(w, lambda x: list_contains({_list(' '.join(v))}, x)))::BIGINT AS {k}" for k, v in _OTHER.items())} FROM w)
-SELECT doc_id, n_words, english, CASE {" ".join(f"WHEN {k} = greatest({', '.join(_OTHER)}) THEN '{k}'" for k in sorted(_OTHER))} END AS best_other, greatest({", ".join(_OTHER)}) AS best_other_count,
-CASE WHEN n_words >= 40 AND greatest({", ".join(_OTHER)}) >= 10 AND greatest({", ".join(_OTHER)}) > english THEN 'non_english_stopwords' END AS reason FROM c""")
+@query(f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '(?i)\\S*(://|www\\.|@)\\S*|\\S+\\.(com|org|net)\\b\\S*', ' ', 'g')), '\\p{{L}}+') AS w FROM documents),
+c AS (SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(length(regexp_replace(array_to_string(w, ''), '\\p{{Latin}}', '', 'g')) / nullif(length(array_to_string(w, '')), 0)::DOUBLE, 0), 4) AS non_latin,
+len(list_filter(w, lambda x: list_contains({_list(judge.STOPWORDS["en"])}, x)))::BIGINT AS english, {", ".join(f"len(list_filter(w, lambda x: list_contains({_list(' '.join(v))}, x)))::BIGINT AS l_{k}" for k, v in _OTHER.items())} FROM w),
+b AS (SELECT *, greatest({", ".join(f"l_{k}" for k in _OTHER)}) AS best_other_count FROM c)
+SELECT doc_id, n_words, non_latin, english, CASE {" ".join(f"WHEN l_{k} = best_other_count THEN '{k}'" for k in _OTHER)} END AS best_other, best_other_count,
+CASE WHEN n_words >= 40 AND non_latin >= 0.25 THEN 'non_english_script' WHEN n_words >= 40 AND best_other_count >= 10 AND best_other_count > english THEN 'non_english_stopwords' END AS reason FROM b""")
 def language_signals(spark, sf_dir):
     return judge.language(table(spark, sf_dir, "documents"), "doc_id", "text")
 

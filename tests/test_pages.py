@@ -90,3 +90,54 @@ def test_templates(spark):
 def test_nothing_of_a_very_large_page_is_dropped():
     p = Page("<body>" + "<p>x" * 260_000 + "<div>the last words</div>")
     assert len(p) > 500_000 and p.get_text(0).endswith("x the last words")
+
+
+BAD = ['<script type="application/ld+json">{"@graph": null}</script><p>words here</p>', '<script type="application/ld+json">{"@graph": 5, "headline": "H"}</script>', '<ol start="²"><li>one item of a list</li></ol>', '<ol start="99999999999999999999"><li>x</li></ol>', '<script type="application/ld+json">[[[1]]]</script>', '<table><tr><td colspan="x">1</td></tr></table>']
+
+
+def test_bad_pages_are_rows(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, "https://a.example/x", h) for i, h in enumerate([*BAD, None, ""])], "page_id long, url string, html string")
+    assert extract.extract_pages(pages).filter("exists(warnings, w -> w like 'failed%')").count() == 0
+    assert extract.extract_pages(pages).count() == len(BAD) + 2
+    broken = spark.createDataFrame([(1, None, "<p>" + FILL), (2, None, "<p>" + FILL)], "page_id long, url string, html string")
+
+    def bad(body, title):
+        raise KeyError("no")
+
+    monkeypatch.setattr(extract, "chunk", bad)
+    got = extract.extract_pages(broken, spread=False)
+    assert [r.warnings for r in got.collect()] == [["failed: KeyError"]] * 2 or got.count() == 2
+
+
+@pytest.mark.parametrize("tag,attrs,inner,most,want", [
+    ("div", "", "words", 100, False),
+    ("nav", "", "Home About", 100, True),
+    ("nav", "", "x" * 8001, 100, False),
+    ("menu", "", "x" * 9000, 100, True),
+    ("div", "class='site-footer'", "Imprint", 100, True),
+    ("div", "class='promo'", "x" * 101, 100, False),
+    ("div", "role='search'", "Find", 100, True),
+    ("div", "role='search'", "x" * 100, 100, False),
+    ("div", "class='sidebar'", "<main>all of it</main>", 100, False),
+    ("section", "class='related menu'", f"<p>{'long prose ' * 9}</p>" * 2, 900, False),
+])
+def test_furniture_table(tag, attrs, inner, most, want):
+    page = Page(f"<body><{tag} {attrs}>{inner}</{tag}><p>rest</p></body>")
+    assert extract.is_furniture(page, Sums(page), page.tags(tag)[0], most) is want
+
+
+def test_header_of_an_article_stays():
+    page = Page("<body><article><header><h1>Title</h1></header><p>text</p></article><header><a href='/'>Home</a></header></body>")
+    own, site = page.tags("header")
+    assert not extract.is_furniture(page, Sums(page), own, 4000) and extract.is_furniture(page, Sums(page), site, 4000)
+
+
+def test_signature_formats():
+    import hashlib
+
+    page = Page("<body><nav class='b A' id='Top' role='Navigation'>x</nav><div>only its own text of some length</div><div>short</div><main>m</main></body>")
+    a, b, c = (template.signature(page, i) for i in (*page.tags("nav"), *page.tags("div")))
+    sha = lambda key: hashlib.sha1(key.encode()).hexdigest()[:16]
+    text = hashlib.md5(b"only its own text of some length").hexdigest()[:12]
+    assert (a, b, c) == (sha("nav|id=top|class=a.b|role=navigation"), sha(f"div|texthash={text}"), None)
+    assert template.signature(page, page.tags("main")[0]) is None

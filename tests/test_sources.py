@@ -56,3 +56,29 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["extract", f"{d}/none.html"]) == 2
     assert cli.main(["batch", d, "-o", f"{tmp_path}/out"]) == 0
     assert spark.read.json(f"{tmp_path}/out/summary").count() == 2
+
+
+def test_charsets(spark):
+    from pyspark.sql import functions as F
+
+    from pagelens.sources import decode
+
+    head = '<meta charset="{}">'
+    cases = [("日本語", "shift_jis"), ("Привет", "koi8-r"), ("中文字", "gb2312"), ("“quoted” – x", "windows-1252"), ("é“", "iso-8859-1")]
+    rows = [(i, (head.format(c) + t).encode("cp1252" if c == "iso-8859-1" else c)) for i, (t, c) in enumerate(cases)]
+    rows += [(90, "“no name”".encode("cp1252")), (91, "plain ü".encode()), (92, b"\xef\xbb\xbfmarked"), (93, "wide ü".encode("utf-16")), (94, None), (95, b"")]
+    got = {r.i: r.t for r in spark.createDataFrame(rows, "i int, b binary").select("i", decode(F.col("b")).alias("t")).collect()}
+    assert [got[i].split(">")[-1] for i in range(len(cases))] == [t for t, _ in cases]
+    assert [got[i] for i in range(90, 96)] == ["“no name”", "plain ü", "marked", "wide ü", None, ""]
+
+
+def test_questions_of_a_split(spark, tmp_path):
+    import bz2
+    import json
+
+    from pagelens.sources import read_questions
+
+    rows = [{"interaction_id": str(i), "query": "q", "answer": "a", "split": i % 2, "search_results": [{"page_url": "u", "page_result": "<p>x"}] * i} for i in range(4)]
+    (tmp_path / "q.jsonl.bz2").write_bytes(bz2.compress("\n".join(map(json.dumps, rows)).encode()))
+    assert read_questions(spark, str(tmp_path)).count() == 1 + 1 + 2 + 3
+    assert {r.interaction_id for r in read_questions(spark, str(tmp_path), 1).collect()} == {"1", "3"}
