@@ -469,3 +469,6 @@ def density_scores(spark, sf_dir):
 @query()
 def template_mine(spark, sf_dir):
     return _template.mine(table(spark, sf_dir, "pages"))
+
+
+from . import evaluation as _evaluation  # noqa: E402, F401  adds its queries
