@@ -7,6 +7,10 @@ import os
 import sys
 
 
+#: Passes that --no-<name> turns off.
+SWITCHES = ("front_matter", "tables", "similarity", "prune", "micro", "link_blocks", "rules", "detectors")
+
+
 def main(argv: list[str] | None = None) -> int:
     """Exit codes: 0 done, 1 some pages had no text (batch), 2 nothing to read, 3 thin input with --fail-on-thin."""
     ap = argparse.ArgumentParser(prog="pagelens")
@@ -15,18 +19,27 @@ def main(argv: list[str] | None = None) -> int:
     one.add_argument("file")
     one.add_argument("--url")
     one.add_argument("--chunks", action="store_true")
+    one.add_argument("--json-meta", action="store_true", help="front matter, counts and warnings as JSON on the error stream")
+    one.add_argument("--explain", action="store_true", help="each block with its scores and reason on the error stream")
     one.add_argument("--fail-on-thin", action="store_true")
     many = sub.add_parser("batch")
     many.add_argument("folder")
     many.add_argument("-o", "--out", required=True)
     many.add_argument("--no-learn", action="store_true")
+    many.add_argument("--chrome-model", help="templates saved before, used in place of learning")
+    many.add_argument("--save-chrome", help="where to save the templates that were learned")
     learn = sub.add_parser("learn")
     learn.add_argument("folder")
     learn.add_argument("-o", "--out", required=True)
     learn.add_argument("--min-pages", type=int, default=3)
     for p in (one, many):
         p.add_argument("--priority", choices=("coverage", "balanced", "precision"), default="balanced")
+        p.add_argument("--table-format", choices=("markdown", "linear"), default="markdown")
+        p.add_argument("--links", action="store_true")
+        for name in SWITCHES:
+            p.add_argument(f"--no-{name.replace('_', '-')}", dest=f"no_{name}", action="store_true")
     a = ap.parse_args(argv)
+    settings = {} if a.what == "learn" else {"table_format": a.table_format, "links": a.links, **{k: False for k in SWITCHES if getattr(a, f"no_{k}")}}
     if a.what == "extract":
         from .config import Config
         from .operators.chunks import chunk
@@ -35,11 +48,18 @@ def main(argv: list[str] | None = None) -> int:
         if not os.path.exists(a.file):
             print("no such file", file=sys.stderr)
             return 2
+        import json
+
+        from .sources import decode_bytes
+
         with open(a.file, "rb") as f:
-            x = extract(f.read().decode("utf-8", "replace"), a.url, Config.of(a.priority))
+            x = extract(decode_bytes(f.read()), a.url, Config.of(a.priority, **settings))
+        if a.json_meta:
+            print(json.dumps({k: x[k] for k in ("title", "root", "n_blocks", "n_kept", "tokens", "warnings")} | {"front_matter": json.loads(x["front_matter"] or "{}")}, ensure_ascii=False), file=sys.stderr)
+        if a.explain:
+            for b in x["blocks"]:
+                print(json.dumps(b, ensure_ascii=False), file=sys.stderr)
         if a.chunks:
-            import json
-
             for c in chunk(x["body"], x["title"]):
                 print(json.dumps(c | {"url": a.url}, ensure_ascii=False))
         else:
@@ -56,10 +76,15 @@ def main(argv: list[str] | None = None) -> int:
         return 2
     numbered = pages.withColumnRenamed("page_id", "name").selectExpr("xxhash64(name) as page_id", "name", "url", "html")
     if a.what == "learn":
-        template.mine(numbered, least_pages=a.min_pages).write.mode("overwrite").json(a.out)
+        if numbered.count() < 2:
+            print("templates need two pages at least", file=sys.stderr)
+            return 2
+        template.save(template.mine(numbered, least_pages=a.min_pages), a.out)
         return 0
-    found = None if a.no_learn else template.mine(numbered)
-    out = extract.extract_pages(pages, a.priority, templates=found)
+    found = template.load(spark, a.chrome_model) if a.chrome_model else None if a.no_learn else template.mine(numbered)
+    if a.save_chrome and found is not None:
+        template.save(found, a.save_chrome)
+    out = extract.extract_pages(pages, a.priority, templates=found, **settings)
     sources.write_markdown(out, f"{a.out}/markdown")
     sources.write_chunks(out, f"{a.out}/chunks")
     report = sources.summary(out)

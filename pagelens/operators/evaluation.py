@@ -26,7 +26,7 @@ def extraction_scores(rows: DataFrame, id: str, content: str, noise: str, output
 
 def gates(scores: DataFrame, limits: tuple[tuple[str, str, float], ...]) -> DataFrame:
     """(name, value, threshold, passed) of the average of each column of scores: limits are (column, '>=' or '<=', threshold)."""
-    one = scores.agg(*[F.round(F.avg(c), 6).alias(c) for c, _, _ in limits])
+    one = scores.agg(*[F.round(F.avg(c), 6).alias(c) for c in dict.fromkeys(c for c, _, _ in limits)])
     rows = [F.struct(F.lit(c).alias("name"), F.col(c).alias("value"), F.lit(float(t)).alias("threshold"), (F.col(c) >= t if op == ">=" else F.col(c) <= t).alias("passed")) for c, op, t in limits]
     return one.select(F.explode(F.array(*rows)).alias("g")).select("g.*")
 

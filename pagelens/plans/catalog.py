@@ -471,4 +471,5 @@ def template_mine(spark, sf_dir):
     return _template.mine(table(spark, sf_dir, "pages"))
 
 
-from . import evaluation as _evaluation  # noqa: E402, F401  adds its queries
+from . import blocks as _blocks  # noqa: E402, F401  these two add their queries
+from . import evaluation as _evaluation  # noqa: E402, F401

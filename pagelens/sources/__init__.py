@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,18 @@ def _by_charset(raw: bytes | None, name: str | None) -> str | None:
         return raw.decode("cp1252", "replace")
 
 
+def decode_bytes(raw: bytes) -> str:
+    """decode() for one file in one process."""
+    for mark, name in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")):
+        if raw.startswith(mark):
+            return raw.removeprefix(codecs.BOM_UTF8).decode(name, "replace")
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        found = re.search(rb"""(?i)<meta[^>]*charset=["']?([A-Za-z0-9_\-]+)""", raw[:2000])
+        return _by_charset(raw, found and found[1].decode())
+
+
 @F.pandas_udf(StringType())
 def _charset_text(raw: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([_by_charset(r, n) for r, n in zip(raw, name)], dtype=object)
