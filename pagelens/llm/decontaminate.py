@@ -160,54 +160,58 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _hits(rows: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
-    """rows (any columns, with text) with spans array and items array added, by one pass over them for each block of items: an
-    executor holds one automaton at a time."""
+def _blocks(benchmark: DataFrame, window: int, block_words: int) -> tuple[Automaton, Iterator[Automaton] | None]:
+    """The first block's automaton, and an iterator over all where there are more."""
     machines = automata(benchmark, window=window, block_words=block_words)
-    sc = rows.sparkSession.sparkContext
+    first, second = next(machines), next(machines, None)
+    return first, None if second is None else itertools.chain([first, second], machines)
+
+
+def _hits(keyed: DataFrame, machines: Iterator[Automaton]) -> DataFrame:
+    """(hit_row, spans, items) of the rows with hits of a written table (hit_row, text): one pass for each block of items, so that an
+    executor holds one automaton at a time."""
+    kinds = "hit_row long, spans array<array<long>>, items array<string>"
 
     def scanner(said):
         def run(batches):
             for batch in chunked(batches):
                 got = [said.value.scan(words(t)) for t in texts(batch)]
-                spans = pa.array([[list(s) for s in x[0]] for x in got], pa.list_(pa.list_(pa.int64())))
-                items = pa.array([sorted(x[1]) for x in got], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, spans, items], names=[*batch.schema.names, "spans", "items"])
+                yield {"hit_row": column(batch, "hit_row"), "spans": [[list(s) for s in x[0]] for x in got], "items": [sorted(x[1]) for x in got]}
 
         return run
 
-    kinds = "spans array<array<long>>, items array<string>"
-    first, second = next(machines), next(machines, None)
-    if second is None:
-        return rows.mapInArrow(scanner(sc.broadcast(first)), f"{_ddl(rows)}, {kinds}")
-    keyed = materialize(rows.withColumn("hit_row", F.monotonically_increasing_id()), "rows")
-    short = keyed.select("hit_row", "text")
-    found = [materialize(short.mapInArrow(scanner(sc.broadcast(m)), f"hit_row long, text string, {kinds}").select("hit_row", "spans", "items").filter("size(spans) > 0"), "hits") for m in itertools.chain([first, second], machines)]
+    sc = keyed.sparkSession.sparkContext
+    found = [materialize(mapped(keyed.select("hit_row", "text"), scanner(sc.broadcast(m)), kinds).filter("size(spans) > 0"), "hits") for m in machines]
     one = functools.reduce(DataFrame.union, found).groupBy("hit_row").agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i"))
 
     def merge(batches):
         for batch in batches:
             yield {"hit_row": column(batch, "hit_row"), "spans": [[list(x) for x in _merged([tuple(y) for y in s])] for s in column(batch, "s")], "items": column(batch, "i")}
 
-    one = mapped(one, merge, f"hit_row long, {kinds}")
-    none = [F.coalesce(k, F.array().cast(t)).alias(k) for k, t in (("spans", "array<array<long>>"), ("items", "array<string>"))]
-    return keyed.join(one, "hit_row", "left").select(*rows.columns, *none)
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return mapped(one, merge, kinds)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", *, window: int = 13, share: float = 0.05, block_words: int = BLOCK) -> DataFrame:
     """(id, n_words, n_hit, n_items, items array, spans array, contaminated) of every row; spans are [first word, past the last)."""
-    rows = _hits(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), benchmark, window, block_words)
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    first, more = _blocks(benchmark, window, block_words)
+    said = None
+    if more is None:
+        said = docs.sparkSession.sparkContext.broadcast(first)
+    else:
+        keyed = materialize(rows.withColumn("hit_row", F.monotonically_increasing_id()), "rows")
+        rows = keyed.join(_hits(keyed, more), "hit_row", "left")
 
     def run(batches):
         for batch in chunked(batches):
-            n = [len(words(t)) for t in texts(batch)]
-            hit = [sum(b - a for a, b in s) for s in column(batch, "spans")]
-            items = column(batch, "items")
-            yield {"id": column(batch, "id"), "n_words": n, "n_hit": hit, "n_items": [len(x) for x in items], "items": items, "spans": column(batch, "spans"), "contaminated": [h > 0 and h >= share * k - 1e-9 for h, k in zip(hit, n)]}
+            ws = [words(t) for t in texts(batch)]
+            if said is not None:
+                got = [said.value.scan(w) for w in ws]
+                spans, items = [x[0] for x in got], [sorted(x[1]) for x in got]
+            else:
+                spans, items = ([x or [] for x in column(batch, k)] for k in ("spans", "items"))
+            n, hit = [len(w) for w in ws], [sum(b - a for a, b in s) for s in spans]
+            yield {"id": column(batch, "id"), "n_words": n, "n_hit": hit, "n_items": [len(x) for x in items], "items": items, "spans": [[list(s) for s in x] for x in spans], "contaminated": [h > 0 and h >= share * k - 1e-9 for h, k in zip(hit, n)]}
 
     return mapped(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items array<string>, spans array<array<long>>, contaminated boolean").withColumnRenamed("id", id)
 
@@ -237,18 +241,33 @@ def clean(text: bytes, spans: list, longest: int, coverage: float) -> bytes | No
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", *, window: int = 13, longest: int = 1, coverage: float = 0.5, block_words: int = BLOCK) -> DataFrame:
     """docs without what occurs in the benchmark: hit spans of at least `longest` words are cut out of the text, and a document of which
     more than `coverage` is hit goes. All columns stay, and a text without hits stays as it is."""
-    rows = _hits(docs.select(F.struct("*").alias("doc"), F.col(text).alias("text")), benchmark, window, block_words)
+    first, more = _blocks(benchmark, window, block_words)
+    if more is None:
+        said = docs.sparkSession.sparkContext.broadcast(first)
+        return docs.mapInArrow(_cutter(text, longest, coverage, lambda batch, ts: [said.value.scan(words(t))[0] for t in ts]), docs.schema)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # other columns may have any name
+    keyed = materialize(docs.toDF(*names).withColumn("hit_row", F.monotonically_increasing_id()), "rows")
+    own = names[docs.columns.index(text)]
+    spans = _hits(keyed.select("hit_row", F.col(own).alias("text")), more).select("hit_row", "spans")
+    rows = keyed.join(spans, "hit_row", "left").select(*names, "spans")
+    out = rows.mapInArrow(_cutter(own, longest, coverage, lambda batch, ts: [x or [] for x in column(batch, "spans")]), rows.schema)
+    return out.drop("spans").toDF(*docs.columns)
+
+
+def _cutter(text: str, longest: int, coverage: float, spans_of):
+    """Batches with their texts cut, without the rows that go."""
 
     def run(batches):
-        for batch in chunked(batches):
-            gone = batch.column(batch.schema.get_field_index("text")).is_null().to_pylist()
-            new = [None if null else clean(t, s, longest, coverage) for null, t, s in zip(gone, texts(batch), column(batch, "spans"))]
+        for batch in chunked(batches, text):
+            i = batch.schema.get_field_index(text)
+            gone, ts = batch.column(i).is_null().to_pylist(), texts(batch, text)
+            new = [None if null else clean(t, s, longest, coverage) for null, t, s in zip(gone, ts, spans_of(batch, ts))]
             keep = pa.array([null or t is not None for null, t in zip(gone, new)], pa.bool_())
-            cut = pa.array([t if t is None else t.decode("utf-8", "replace") for t in new], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc")), cut], names=["doc", "text"]).filter(keep)
+            kind = batch.schema.field(i).type
+            out = batch.set_column(i, batch.schema.field(i), pa.array([t if t is None else t.decode("utf-8", "replace") for t in new], kind))
+            yield out.filter(keep)
 
-    out = rows.mapInArrow(run, f"{_ddl(rows.select('doc'))}, text string")
-    return out.select(*[(F.col("text") if c == text else F.col("doc").getField(c)).alias(c) for c in docs.columns])
+    return run
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
