@@ -33,6 +33,15 @@ def grams(tokens_: Column, n: int = 5) -> Column:
     return F.get(F.transform(F.array(tokens_), of), F.lit(0))  # binds the tokens, which are else computed anew for every gram
 
 
+def gram_hashes(tokens_: Column, n: int = 5) -> Column:
+    """Hashes of the distinct n-grams, straight from slices of the tokens; fewer tokens than n are one gram."""
+    def of(t: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.xxhash64(F.slice(t, i, n)))
+        return F.when(F.size(t) == 0, F.array().cast("array<bigint>")).when(F.size(t) < n, F.array(F.xxhash64(t))).otherwise(F.array_distinct(many))
+
+    return F.get(F.transform(F.array(tokens_), of), F.lit(0))
+
+
 def mentions(text: Column, phrase: str) -> Column:
     """Non-overlapping occurrences of phrase in the lower-cased text."""
     low = F.lower(F.coalesce(text, F.lit("")))

@@ -32,14 +32,20 @@ def stratified(rows: DataFrame, stratum: str, id: str, size: int, seed: int = 7)
     base = per.withColumn("q", F.floor(exact).cast("long")).withColumn("rest", exact - F.floor(exact))
     short = size - (base.agg(F.sum("q")).first()[0] or 0)
     quota = base.withColumn("k", F.row_number().over(Window.orderBy(F.desc(F.round("rest", 9)), stratum))).withColumn("q", F.col("q") + (F.col("k") <= short).cast("long"))
-    order = F.row_number().over(Window.partitionBy(stratum).orderBy(F.md5(F.concat_ws("-", F.lit(seed), F.col(id))), id))
-    return rows.withColumn("r", order).join(quota.select(stratum, "q"), stratum).filter("r <= q").select(stratum, id)
+    return _first(rows.select(stratum, id).join(quota.select(stratum, "q"), stratum), stratum, id, F.col("q"), seed).select(stratum, id)
+
+
+def _first(rows: DataFrame, group: str, id: str, most: Column, seed: int, parts: int = 64) -> DataFrame:
+    """The rows of each group whose md5 comes first, `most` of them: of 64 parts of a group first, then of what these leave, so that no
+    task ranks all of a large group."""
+    keyed = rows.withColumn("_key", F.md5(F.concat_ws("-", F.lit(seed), F.col(id)))).withColumn("_part", F.pmod(F.xxhash64("_key"), F.lit(parts)))
+    near = keyed.withColumn("_r", F.row_number().over(Window.partitionBy(group, "_part").orderBy("_key", id))).filter(F.col("_r") <= most)
+    return near.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy("_key", id))).filter(F.col("_r") <= most).drop("_key", "_part", "_r")
 
 
 def capped(rows: DataFrame, group: str, id: str, most: int, seed: int = 7) -> DataFrame:
     """(group, id) of up to `most` rows of each group, by md5 order."""
-    order = F.row_number().over(Window.partitionBy(group).orderBy(F.md5(F.concat_ws("-", F.lit(seed), F.col(id))), id))
-    return rows.withColumn("r", order).filter(F.col("r") <= most).select(group, id)
+    return _first(rows.select(group, id), group, id, F.lit(most), seed).select(group, id)
 
 
 def krippendorff(votes: DataFrame, unit: str, rater: str, value: str) -> DataFrame:
