@@ -673,3 +673,66 @@ def test_card_beside_other_digits():
         assert counts == {"card": 1} and out != t and len(out) == len(t) and pii.reveal(out, KEY) == t
         if not pii.Pseudonyms._is_card(t):
             assert "4111111111111111" not in out.replace(" ", "")
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, _rank int, _away long, spans string"
+
+
+def stage_rows(seed=51):
+    """Documents for every stage: copies, near copies, benchmark passages, personal data, nulls, repeated ids, ties, a long text."""
+    rnd = random.Random(seed)
+    en = "the of and water bread house light window garden river stone paper cloud lamp".split()
+    text = lambda n: " ".join(rnd.choice(en) + str(rnd.randint(0, 99)) for _ in range(n))
+    base, quiz = [text(40) for _ in range(4)], " ".join(f"quiz{i}" for i in range(20))
+    rows = [(i, base[i % 4], "en") for i in range(8)] + [(10 + i, base[i] + " and more", "en") for i in range(4)]
+    rows += [(20, text(60) + " " + quiz + " " + text(10), "en"), (21, quiz, "en"), (22, text(30) + " call 555-123-4567", None), (23, None, None), (24, "", "en"), (25, "12 34", "en"), (26, " ".join(text(10) for _ in range(2_000)), "en")]
+    rows += [(30, text(25), "en"), (30, "another text below the same number, of the house and the garden", "en"), (None, text(20), "en"), (31, "one two", "en")]
+    return [(i, t, la, "s", None if t is None else len(t), 7, 8, "x") for i, t, la in rows], quiz
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage on what the one before kept, against plain loops; columns with names that operators use inside stay as they are."""
+    import corpus_pipeline
+
+    rows, quiz = stage_rows()
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, quiz), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = docs.collect()
+        assert all((r._rank, r._away, r.spans, r.source) == (7, 8, "x", "s") for r in kept[name])
+    pair = lambda rs: sorted(((r[0] is None, r[0] or 0, r[1] or "") for r in rs))
+    first = [r for r in rows if r[1] and any(ch.isalpha() for ch in r[1])]
+    assert pair(kept["language_id"]) == pair(first)
+    # of rows that repeat an id one stays, then of each group its smallest id
+    by_id = {r.doc_id: r.text for r in kept["ngram_jaccard_join"] if r.doc_id is not None}
+    same = {r[0]: r[1] for r in first if r[0] is not None and r[0] != 30} | {30: by_id[30]}
+    assert by_id[30] in [r[1] for r in first if r[0] == 30]
+    groups = clusters(sets_of([(i, t, None) for i, t in same.items()]))
+    assert by_id == {i: t for i, t in same.items() if groups[i] == i} and sum(r.doc_id is None for r in kept["ngram_jaccard_join"]) == 1
+    third = {r.doc_id: r.text for r in kept["benchmark_decontamination"]}
+    assert 21 not in third and "quiz" not in third[20] and {i: t for i, t in third.items() if i not in (20, None)} == {i: t for i, t in by_id.items() if i not in (20, 21)}
+    fourth = {r.doc_id: r.text for r in kept["pii_pseudonyms"]}
+    assert "555-123-4567" not in fourth[22] and len(fourth[22]) == len(third[22]) and {i: t for i, t in fourth.items() if i != 22} == {i: t for i, t in third.items() if i != 22}
+    assert all(r.n_chars == len(r.text) for r in kept["pii_pseudonyms"])
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    check_pieces([(i, t, None) for i, t in fourth.items()], 1024, [(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed])
+    bins = collections.defaultdict(list)
+    for r in packed:
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert all(sorted(b)[k][0] == sum(n for _, n in sorted(b)[:k]) for b in bins.values() for k in range(len(b))) and max(sum(n for _, n in b) for b in bins.values()) <= 1024
+
+
+def test_pipeline_of_an_empty_table_and_without_labels(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    rows = [(1, "some words of a text", None, "s", 20, 7, 8, "x")]
+    spark.createDataFrame(rows, DOCS).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 1
