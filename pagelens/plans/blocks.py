@@ -69,10 +69,11 @@ _S = ("chars_before", "chars_after", "since_heading", "chars_prev", "chars_next"
 
 @query(f"""WITH {_LINES}, k AS (SELECT *, length(text) AS c, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS key FROM b)
 SELECT page_id, idx, round(idx / greatest(1, count(*) OVER (PARTITION BY page_id) - 1)::DOUBLE, 6) AS place, (sum(c) OVER o - c)::BIGINT AS chars_before, (sum(c) OVER (PARTITION BY page_id) - sum(c) OVER o)::BIGINT AS chars_after,
-(idx - max(CASE WHEN tag = 'h2' THEN idx END) OVER o)::BIGINT AS since_heading, lag(c) OVER o AS chars_prev, lead(c) OVER o AS chars_next, least(10, count(*) OVER (PARTITION BY page_id, key))::BIGINT AS repeats, row_number() OVER (PARTITION BY page_id, key ORDER BY idx) > 1 AS seen_earlier
+coalesce(idx - max(CASE WHEN tag = 'h2' THEN idx END) OVER o, -1)::BIGINT AS since_heading, coalesce(lag(c) OVER o, -1)::BIGINT AS chars_prev, coalesce(lead(c) OVER o, -1)::BIGINT AS chars_next, least(10, count(*) OVER (PARTITION BY page_id, key))::BIGINT AS repeats, row_number() OVER (PARTITION BY page_id, key ORDER BY idx) > 1 AS seen_earlier
 FROM k WINDOW o AS (PARTITION BY page_id ORDER BY idx)""")
 def block_surroundings(spark, sf_dir):
-    return B.surroundings(lines(spark, sf_dir)).select("page_id", "idx", "place", *_S, "seen_earlier")
+    """Places of lines; -1 where there is no heading or neighbour."""
+    return B.surroundings(lines(spark, sf_dir)).select("page_id", "idx", "place", *[F.coalesce(k, F.lit(-1)).cast("long").alias(k) for k in _S], "seen_earlier")
 
 
 @query()
