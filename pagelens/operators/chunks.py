@@ -88,3 +88,33 @@ def _joined(parts: list[tuple[str, tuple]], least: int) -> list[tuple[str, tuple
             i += 1
         parts = out
     return parts
+
+
+def packed(text: str, size: int = 200) -> list[str]:
+    """Paragraphs put together up to `size` ASCII words and numbers, for retrieval; a longer paragraph is cut between words. No word is lost."""
+    count = lambda t: len(re.findall("[a-z0-9]+", t.lower()))
+    out: list[str] = []
+    held: list[str] = []
+    room = size
+    for line in (x.strip() for x in text.splitlines()):
+        if not line:
+            continue
+        n = count(line)
+        if n > room and held:
+            out.append("\n".join(held))
+            held, room = [], size
+        if n <= size:
+            held.append(line)
+            room -= n
+            continue
+        part: list[str] = []
+        used = 0
+        for w in line.split():
+            k = count(w)
+            if part and used + k > size:
+                out.append(" ".join(part))
+                part, used = [], 0
+            part.append(w)
+            used += k
+        held, room = [" ".join(part)], size - used
+    return [*out, "\n".join(held)] if held else out

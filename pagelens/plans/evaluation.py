@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..functions import words as W
 from ..operators import evaluation as E
-from ..operators import judge
-from .catalog import _BM25, _DRAW, GRAMS, HOST, PATH, TERMS, TOKENS, _bm25, _list, _visible, query, table
+from ..operators import judge, template
+from .catalog import _BM25, _DRAW, GRAMS, HOST, PATH, SITE_KEY, TERMS, TOKENS, WORDS, _bm25, _list, _visible, query, table
 
 _NOISE = "regexp_extract(html, '(?is)<nav[^>]*>(.*?)</nav>', 1) || ' ' || array_to_string(regexp_extract_all(html, '(?is)<div class=\"ad\">(.*?)</div>', 1), ' ')"
 _F = "round({b1} * (1 - z) * r / ({d} + 1e-9), 4)"
@@ -183,3 +183,19 @@ def text_features(spark, sf_dir):
 def site_folds(spark, sf_dir):
     """One of five folds for each page, by its site's CRC-32."""
     return table(spark, sf_dir, "pages").select("page_id", F.pmod(F.crc32(U.host(F.col("url"))), F.lit(5)).alias("fold"))
+
+
+_SHINGLES = f"w AS (SELECT page_id, {SITE_KEY} AS grp, ({WORDS.format(_visible('html'))})[1:4000] AS t FROM pages), g AS (SELECT page_id, grp, list_sort({GRAMS.format('t')}) AS g FROM w)"
+
+
+@query(f"WITH {_SHINGLES} SELECT page_id, len(g)::BIGINT AS n_shingles, md5(array_to_string(g, '|')) AS digest FROM g")
+def page_shingles(spark, sf_dir):
+    g = template.shingles(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.size(g).cast("long").alias("n_shingles"), F.md5(F.array_join(F.array_sort(g), "|")).alias("digest"))
+
+
+@query(f"""WITH {_SHINGLES}, s AS (SELECT min(page_id) AS id, grp, g FROM g WHERE len(g) > 0 GROUP BY grp, g), e AS (SELECT id, grp, unnest(g) AS k, len(g) AS n FROM s),
+o AS (SELECT x.id AS a, y.id AS b, count(*) AS o, any_value(x.n) AS na, any_value(y.n) AS nb FROM e x JOIN e y ON x.grp = y.grp AND x.k = y.k AND x.id < y.id GROUP BY 1, 2)
+SELECT a, b, round(o / (na + nb - o), 6) AS jaccard FROM o WHERE 100 * o >= 80 * (na + nb - o)""")
+def page_near_duplicates(spark, sf_dir):
+    return template.near_pages(table(spark, sf_dir, "pages"))

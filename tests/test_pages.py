@@ -1,6 +1,7 @@
 """Parsing, cleaning, Markdown and chunks on small pages."""
 
 import random
+import re
 
 import pytest
 
@@ -141,3 +142,26 @@ def test_signature_formats():
     text = hashlib.md5(b"only its own text of some length").hexdigest()[:12]
     assert (a, b, c) == (sha("nav|id=top|class=a.b|role=navigation"), sha(f"div|texthash={text}"), None)
     assert template.signature(page, page.tags("main")[0]) is None
+
+
+def test_packed_chunks():
+    rnd = random.Random(7)
+    for _ in range(60):
+        text = "\n".join(" ".join(rnd.choice(["word", "a-b", "é", "12", "!!"]) for _ in range(rnd.choice([0, 3, 30, 90]))) for _ in range(rnd.randint(0, 8)))
+        out = chunks.packed(text, 25)
+        assert " ".join(out).split() == text.split()
+        assert all(len(re.findall("[a-z0-9]+", c.lower())) <= 26 for c in out)
+
+
+def test_pages_apart(spark):
+    body = "<body><p>" + " ".join(f"word{i}" for i in range(200)) + "{}</p></body>"
+    rows = [(1, "https://s.example/x/1", body.format("")), (2, "https://s.example/x/2", body.format(" more")), (3, "https://s.example/x/3", body.format("")), (4, "https://s.example/y/4", body.format("")), (5, "https://s.example/x/5", "<p>another text altogether here</p>"), (6, "https://s.example/x/6", None), (7, "https://s.example/x/7", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert [(r.a, r.b) for r in template.near_pages(pages).collect()] == [(1, 2)]
+    assert {r.page_id for r in template.apart(pages).collect()} == {1, 4, 5, 6, 7}
+
+
+def test_templates_of_pages_that_are_one(spark):
+    rows = [(i, f"https://s.example.com/x/{i}", f"<body><nav class='top'><a href='/'>Home page</a> <a href='/b'>About our company and its people</a></nav><p>{i} {FILL}</p></body>") for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert template.mine(pages).count() == 1 and template.mine(pages, near_once=True).count() == 0
