@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import chunked, column, mapped
@@ -38,28 +38,34 @@ def _grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Tables of bounded size: at most max_words words and max_grams grams of each order, and one vector for each."""
+    """All words and grams of the sample, each with its row of log frequencies, one for each language; the sample bounds them."""
 
     langs: list[str]
     prior: np.ndarray
-    tables: dict[int, dict[str, tuple[float, ...]]]
+    tables: dict[int, tuple[dict[str, int], np.ndarray]]
 
-    def word_score(self, word: str) -> tuple[float, ...] | None:
-        if (known := self.tables[0].get(word)) is not None:
-            return known
+    @classmethod
+    def empty(cls) -> Model:
+        return cls([], np.zeros(0), {n: ({}, np.zeros((0, 0))) for n in (0, *ORDERS)})
+
+    def word_score(self, word: str) -> np.ndarray | None:
+        known, rows = self.tables[0]
+        if (i := known.get(word)) is not None:
+            return rows[i]
         for n in ORDERS:
-            s = f"<{word}>" if n > 1 else word
-            found = [v for v in map(self.tables[n].get, [s[i : i + n] for i in range(max(1, len(s) - n + 1))]) if v]
-            if found:
-                return tuple([sum(x) / len(found) for x in zip(*found)])
+            known, rows = self.tables[n]
+            if found := [i for i in map(known.get, _grams(word, n)) if i is not None]:
+                return rows[found].mean(axis=0)
         return None
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", *, where: Column | None = None, max_docs: int = 4_000, max_words: int = 60_000, max_grams: int = 30_000, id: str = "doc_id", least_docs: int = 500) -> Model:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", *, where: Column | None = None, max_docs: int = 4_000, max_chars: int = 50_000_000, id: str = "doc_id", least_docs: int = 500) -> Model:
     """Learn from the labelled rows of docs; where more than about max_docs are labelled, from those whose id and text hash lowest.
 
-    Each language has its share of max_docs, or least_docs rows where that is more (all rows, if it has fewer); nothing else bounds the
-    sample (all words of its rows count). max_words and max_grams bound the model. A language without a counted word is not predicted.
+    Each language has its share of max_docs, or least_docs rows where that is more (all rows, if it has fewer), and within them takes
+    whole texts, lowest hash first, until they hold as great a part of max_chars. All words and grams of the sample are learned, so the sample
+    bounds the model: max_chars and a text for each language hold at most half as many words. A language without a counted word is not
+    predicted.
     """
     keys = ["id"] if id in docs.columns else []
     rows = (docs if where is None else docs.filter(where)).select(*[F.col(id).alias("id") for _ in keys], F.col(text).alias("text"), F.col(lang).alias("lang"))
@@ -67,10 +73,14 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", *, where: Colum
     per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs, total = sorted(per), sum(per.values())
     if not total:
-        return Model([], np.zeros(0), {n: {} for n in (0, *ORDERS)})
-    if total > max_docs:
-        most = [(la, int(min(1.0, max(max_docs / total, least_docs / n)) * (1 << 30))) for la, n in per.items()]
-        rows = rows.filter(F.pmod(F.xxhash64(*keys, "text"), F.lit(1 << 30)) < F.create_map(*[F.lit(x) for pair in most for x in pair])[F.col("lang")])
+        return Model.empty()
+    mark = F.xxhash64(*keys, "text")
+    share = {la: min(1.0, max(max_docs / total, least_docs / n)) for la, n in per.items()}
+    of_lang = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("lang")]
+    rows = rows.withColumn("mark", mark).filter(F.pmod("mark", F.lit(1 << 30)) < of_lang({la: int(s * (1 << 30)) for la, s in share.items()}))
+    before = Window.partitionBy("lang").orderBy(F.pmod("mark", F.lit(1 << 30)), "mark").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
+    rows = rows.filter(F.col("before") < of_lang({la: int(max_chars * max(n / total, least_docs / max_docs)) for la, n in per.items()})).select("lang", "text")
 
     def count(batches):
         for batch in chunked(batches):
@@ -94,21 +104,19 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", *, where: Colum
     langs = [la for la in langs if la in heard]
     if not langs:
         words.unpersist()
-        return Model([], np.zeros(0), {n: {} for n in (0, *ORDERS)})
+        return Model.empty()
     of = lambda df, kinds: df.groupBy(*kinds, "w").agg(*[F.sum(F.when(F.col("lang") == la, F.col("n")).otherwise(0)).alias(f"n{i}") for i, la in enumerate(langs)])
     sums = lambda df, kinds: df.agg(*[F.sum(f"n{i}") for i in range(len(langs))]) if not kinds else df.groupBy(*kinds).agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(langs))])
-    best = F.desc(sum((F.col(f"n{i}") for i in range(1, len(langs))), F.col("n0")))
-    tables: dict[int, dict[str, np.ndarray]] = {}
+    tables: dict[int, tuple[dict[str, int], np.ndarray]] = {}
     w = of(words, [])
     g = of(mapped(words, grams, "lang string, k int, w string, n long"), ["k"]).persist()
     try:
         totals = {0: sums(w, []).first(), **{r.k: r[1:] for r in sums(g, ["k"]).collect()}}
         for k in (0, *ORDERS):
-            top = (w if k == 0 else g.filter(F.col("k") == k).drop("k")).orderBy(best, "w").limit(max_words if k == 0 else max_grams).toPandas()
-            n = top.drop(columns="w").to_numpy(np.float64).reshape(len(top), len(langs))
+            every = (w if k == 0 else g.filter(F.col("k") == k).drop("k")).toPandas()
+            n = every.drop(columns="w").to_numpy(np.float64).reshape(len(every), len(langs))
             all_n = np.array([x or 0 for x in totals.get(k, [0] * len(langs))], np.float64)
-            logs = np.log((n + 0.5) / (all_n + 0.5 * (len(top) + 1)))
-            tables[k] = dict(zip(top["w"], map(tuple, logs.tolist())))
+            tables[k] = dict(zip(every["w"], range(len(every)))), np.log((n + 0.5) / (all_n + 0.5 * (len(every) + 1)))
     finally:
         words.unpersist()
         g.unpersist()
@@ -127,7 +135,7 @@ class _Seen(dict):
         if (n := len(self)) == len(self.rows):
             self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
         if scores:
-            self.rows[n] = scores[0] if len(scores) == 1 else [sum(x) for x in zip(*scores)]
+            self.rows[n] = sum(scores)
         self[piece] = n
         return n
 
@@ -149,7 +157,7 @@ class Predictor:
 
 def predict(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row; only text is looked at."""
-    said = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams of fit
+    said = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample of fit
 
     def run(batches):
         judge = Predictor(said.value)
