@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import chunked, column, mapped
@@ -38,49 +38,61 @@ def _grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """All words and grams of the sample, each with its row of log frequencies, one for each language; the sample bounds them."""
+    """All words and grams of the sample with their log frequencies in each language; the sample bounds them."""
 
     langs: list[str]
     prior: np.ndarray
-    tables: dict[int, tuple[dict[str, int], np.ndarray]]
+    words: dict[str, int]
+    rows: np.ndarray  # of words
+    grams: dict[int, dict[str, tuple[float, ...]]]
 
     @classmethod
     def empty(cls) -> Model:
-        return cls([], np.zeros(0), {n: ({}, np.zeros((0, 0))) for n in (0, *ORDERS)})
+        return cls([], np.zeros(0), {}, np.zeros((0, 0)), {n: {} for n in ORDERS})
 
-    def word_score(self, word: str) -> np.ndarray | None:
-        known, rows = self.tables[0]
-        if (i := known.get(word)) is not None:
-            return rows[i]
+    def word_score(self, word: str) -> list[float] | None:
+        if (i := self.words.get(word)) is not None:
+            return self.rows[i].tolist()
         for n in ORDERS:
-            known, rows = self.tables[n]
-            if found := [i for i in map(known.get, _grams(word, n)) if i is not None]:
-                return rows[found].mean(axis=0)
+            if found := [v for v in map(self.grams[n].get, _grams(word, n)) if v]:
+                return [sum(x) / len(found) for x in zip(*found)]
         return None
 
 
+def _first_step(steps: list[tuple[int, int, int]], part: float, max_docs: int, max_chars: int) -> int:
+    """The step of (step, rows, characters) from which on all are taken: highest first, as long as they keep to a part of both limits."""
+    docs = chars = 0
+    first = max(steps)[0]
+    for step, n, c in sorted(steps, reverse=True):
+        docs, chars = docs + n, chars + c
+        if step != first and (docs > part * max_docs + 1e-6 or chars > part * max_chars):
+            break
+        first = step
+    return first
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", *, where: Column | None = None, max_docs: int = 4_000, max_chars: int = 50_000_000, id: str = "doc_id", least_docs: int = 500) -> Model:
     """Learn from the labelled rows of docs; where more than about max_docs are labelled, from those whose id and text hash lowest.
 
-    Each language has its share of max_docs, or least_docs rows where that is more (all rows, if it has fewer), and within them takes
-    whole texts, lowest hash first, until they hold as great a part of max_chars. All words and grams of the sample are learned, so the sample
-    bounds the model: max_chars and a text for each language hold at most half as many words. A language without a counted word is not
-    predicted.
+    Each language has its share of max_docs, or least_docs rows where that is more (all rows, if it has fewer), and as great a part of
+    max_chars; hashes are counted in 16 steps an octave, and the steps from the lowest on are taken, one at least, that keep to both. All
+    words and grams of the sample are learned, so the sample bounds the model. A language without a counted word is not predicted.
+    Without an id column, rows of one text are taken or left together.
     """
     keys = ["id"] if id in docs.columns else []
     rows = (docs if where is None else docs.filter(where)).select(*[F.col(id).alias("id") for _ in keys], F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    step = F.floor(16 * (52 - F.log2(F.pmod(F.xxhash64(*keys, "text"), F.lit(1 << 52)) + 1))).cast("int")
+    rows = rows.withColumn("step", step)
+    steps: dict[str, list[tuple[int, int, int]]] = {}
+    for r in rows.groupBy("lang", "step").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect():  # at most 833 for a language
+        steps.setdefault(r.lang, []).append((r.step, r.n, r.chars))
+    per = {la: sum(n for _, n, _ in found) for la, found in steps.items()}
     langs, total = sorted(per), sum(per.values())
     if not total:
         return Model.empty()
-    mark = F.xxhash64(*keys, "text")
-    share = {la: min(1.0, max(max_docs / total, least_docs / n)) for la, n in per.items()}
-    of_lang = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("lang")]
-    rows = rows.withColumn("mark", mark).filter(F.pmod("mark", F.lit(1 << 30)) < of_lang({la: int(s * (1 << 30)) for la, s in share.items()}))
-    before = Window.partitionBy("lang").orderBy(F.pmod("mark", F.lit(1 << 30)), "mark").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
-    rows = rows.filter(F.col("before") < of_lang({la: int(max_chars * max(n / total, least_docs / max_docs)) for la, n in per.items()})).select("lang", "text")
+    first = {la: _first_step(found, max(per[la] / total, least_docs / max_docs), max_docs, max_chars) for la, found in steps.items()}
+    rows = rows.filter(F.col("step") >= F.create_map(*[F.lit(x) for pair in first.items() for x in pair])[F.col("lang")]).select("lang", "text")
 
     def count(batches):
         for batch in chunked(batches):
@@ -107,7 +119,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", *, where: Colum
         return Model.empty()
     of = lambda df, kinds: df.groupBy(*kinds, "w").agg(*[F.sum(F.when(F.col("lang") == la, F.col("n")).otherwise(0)).alias(f"n{i}") for i, la in enumerate(langs)])
     sums = lambda df, kinds: df.agg(*[F.sum(f"n{i}") for i in range(len(langs))]) if not kinds else df.groupBy(*kinds).agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(langs))])
-    tables: dict[int, tuple[dict[str, int], np.ndarray]] = {}
+    tables: dict[int, tuple[list[str], np.ndarray]] = {}
     w = of(words, [])
     g = of(mapped(words, grams, "lang string, k int, w string, n long"), ["k"]).persist()
     try:
@@ -116,12 +128,13 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", *, where: Colum
             every = (w if k == 0 else g.filter(F.col("k") == k).drop("k")).toPandas()
             n = every.drop(columns="w").to_numpy(np.float64).reshape(len(every), len(langs))
             all_n = np.array([x or 0 for x in totals.get(k, [0] * len(langs))], np.float64)
-            tables[k] = dict(zip(every["w"], range(len(every)))), np.log((n + 0.5) / (all_n + 0.5 * (len(every) + 1)))
+            tables[k] = every["w"].tolist(), np.log((n + 0.5) / (all_n + 0.5 * (len(every) + 1)))
     finally:
         words.unpersist()
         g.unpersist()
     prior = np.log(np.array([per[la] for la in langs], np.float64) / total)
-    return Model(langs, prior, tables)
+    seen, rows_of = tables[0]
+    return Model(langs, prior, {w: i for i, w in enumerate(seen)}, rows_of, {k: dict(zip(tables[k][0], map(tuple, tables[k][1].tolist()))) for k in ORDERS})
 
 
 class _Seen(dict):
@@ -135,7 +148,7 @@ class _Seen(dict):
         if (n := len(self)) == len(self.rows):
             self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
         if scores:
-            self.rows[n] = sum(scores)
+            self.rows[n] = scores[0] if len(scores) == 1 else [sum(x) for x in zip(*scores)]
         self[piece] = n
         return n
 

@@ -739,12 +739,12 @@ def test_pipeline_of_an_empty_table_and_without_labels(spark, tmp_path):
 
 
 def test_language_learns_every_word_of_its_sample(spark):
-    """No word is too rare to be learned, and max_chars ends the sample between whole texts."""
+    """No word is too rare to be learned, and max_chars bounds the whole texts that are learned from."""
     rows = [(i, " ".join(f"la{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(200)), ("aa", "bb")[i % 2]) for i in range(60)]
     docs = table(spark, rows)
     words = {w for _, t, _ in rows for w in t.split()}
-    known, logs = langid.fit(docs).tables[0]
-    assert set(known) == words and logs.shape == (len(words), 2)
-    fewer = set(langid.fit(docs, max_docs=60, least_docs=1, max_chars=5_000).tables[0][0])
+    model = langid.fit(docs)
+    assert set(model.words) == words and model.rows.shape == (len(words), 2)
+    fewer = set(langid.fit(docs, max_docs=60, least_docs=1, max_chars=12_000).words)
     whole = [set(t.split()) <= fewer for _, t, _ in rows]
-    assert 0 < len(fewer) < len(words) and len(fewer) == 200 * sum(whole) and sum(len(t) for (_, t, _), k in zip(rows, whole) if k) <= 5_000 + 2 * 1_199
+    assert 0 < len(fewer) < len(words) and len(fewer) == 200 * sum(whole) and sum(len(t) for (_, t, _), k in zip(rows, whole) if k) <= 12_000
