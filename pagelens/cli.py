@@ -36,10 +36,17 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--priority", choices=("coverage", "balanced", "precision"), default="balanced")
         p.add_argument("--table-format", choices=("markdown", "linear"), default="markdown")
         p.add_argument("--links", action="store_true")
+        p.add_argument("--rules", help="a YAML file, or a folder of them, with more rules")
+        p.add_argument("--disable", action="append", default=[], help="a rule, a rule's prefix or a detector to leave out")
+        p.add_argument("--detect", action="append", default=[], choices=("pager", "related", "micro"), help="a detector that is off unless named")
         for name in SWITCHES:
             p.add_argument(f"--no-{name.replace('_', '-')}", dest=f"no_{name}", action="store_true")
     a = ap.parse_args(argv)
     settings = {} if a.what == "learn" else {"table_format": a.table_format, "links": a.links, **{k: False for k in SWITCHES if getattr(a, f"no_{k}")}}
+    if a.what != "learn":
+        from .operators.detectors import load_rules
+
+        settings |= {"disabled": tuple(a.disable), "extra": tuple(a.detect), "extra_rules": load_rules(a.rules) if a.rules else ()}
     if a.what == "extract":
         from .config import Config
         from .operators.chunks import chunk

@@ -36,6 +36,8 @@ class Config:
     rules: bool = True
     detectors: bool = True
     disabled: tuple[str, ...] = ()
+    extra: tuple[str, ...] = ()  # detectors that run only where named: pager, related, micro
+    extra_rules: tuple = ()  # as detectors.load_rules reads them
 
     @classmethod
     def of(cls, preset: str = "balanced", page_type: str = "unknown", **overrides) -> Config:
