@@ -17,6 +17,7 @@ NESTED = ("div", "section", "article", "p", "ul", "ol", "li", "table", "pre", "b
 ANCESTORS = ("main", "article", "header", "footer", "aside", "form", "ul", "ol", "blockquote", "section", "nav", "a", "label")
 CLASS_BUCKETS, LEAST_BLOCKS, LEAST_REPEAT = 192, 4, 30
 HEADING_RESCUE, LEAD_RESCUE, LEAD_WORDS = 0.08, 0.10, 8
+LONG_TABLE, PAIR_DISTANCE, GRID_TERMS, GRID_TERM, GRID_DEFINITION = 500, 2, 4, 40, 80
 
 
 def _page(order: str = "idx"):
@@ -113,6 +114,38 @@ def keep(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     return rows.withColumn("keep", F.col("base") | heading | lead).drop("_key", "_pass")
 
 
+def rescue(kept: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """kept with `keep` widened by data tables and terms that stand in a kept section; decided on `keep` as it comes in, so none leads to another.
+
+    Columns beyond those of keep(): is_data and n_rows of a table, list_id (the definition list of a dt or dd, else null) and list_marked
+    (its names say furniture). A section is what follows a heading up to the next. A data table stays under a kept heading, or with 500 rows
+    anywhere; within two blocks of a heading of some score both stay. A text of 30 characters that is kept already is not kept again. Terms
+    and definitions stay under a kept heading, but for lists of four short terms or more with short definitions, as products have.
+    """
+    w, page = _page(), Window.partitionBy("page_id")
+    own = Window.partitionBy("page_id", "list_id")
+    is_heading = F.col("tag").isin(*HEADINGS)
+    head = F.last(F.when(is_heading, F.struct("idx", "keep", "p")), True).over(w)
+    key = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
+    rows = kept.withColumn("_h", head).withColumn("_key", key)
+    same = Window.partitionBy("page_id", "_key")
+    long = F.length("_key") >= LEAST_REPEAT
+    there = long & F.max(F.when(F.length("text") >= LEAST_REPEAT, F.col("keep")).otherwise(False)).over(same)
+    free = ~F.col("keep") & (F.col("tag") == "table") & F.coalesce("is_data", F.lit(False)) & ~there
+    under, near = F.col("_h.keep"), (F.col("_h.p") >= HEADING_RESCUE) & (F.col("_h.p") < threshold) & (F.col("idx") - F.col("_h.idx") <= PAIR_DISTANCE)
+    big = F.coalesce(F.col("n_rows") >= LONG_TABLE, F.lit(False))
+    rows = rows.withColumn("_able", free & (big | F.coalesce(under | near, F.lit(False))))
+    first = F.row_number().over(Window.partitionBy("page_id", "_key", F.col("_able") & ~big).orderBy("idx")) == 1
+    rows = rows.withColumn("_table", F.col("_able") & (big | first | ~long))
+    pair = F.when(F.col("_table") & ~big & ~under, F.col("_h.idx"))
+    rows = rows.withColumn("_heads", F.collect_set(pair).over(page))
+    longest = lambda tag: F.max(F.when(F.col("tag") == tag, F.length("text"))).over(own)
+    grid = (F.sum((F.col("tag") == "dt").cast("int")).over(own) >= GRID_TERMS) & (longest("dt") <= GRID_TERM) & (longest("dd") <= GRID_DEFINITION)
+    term = F.col("tag").isin("dt", "dd") & F.col("list_id").isNotNull() & ~F.coalesce("list_marked", F.lit(False)) & ~F.coalesce(grid, F.lit(False)) & F.coalesce(under, F.lit(False))
+    rows = rows.withColumn("keep", F.col("keep") | F.col("_table") | is_heading & F.array_contains("_heads", F.col("idx")) | term)
+    return rows.drop("_h", "_key", "_able", "_table", "_heads")
+
+
 def expected(kept: DataFrame, least: float = 0.70) -> DataFrame:
     """(page_id, n_blocks, n_kept, precision, recall, f1, unsure): what a page's own scores say about what is kept, by words."""
     words = F.greatest(F.lit(1), F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import urls as U
 from ..functions import words as W
 from .statistics import draw
 
@@ -161,3 +162,47 @@ def text_features(text: Column) -> list[Column]:
         "short_cta": bit(call & (n <= 6)),
     }
     return [F.round(v, 6).alias(k) for k, v in named.items()]
+
+
+# Paths of pages that sell, of those that do not, of locales, and of files.
+PRICING_PATH = r"(?i)(^|/)(pricing|plans)(/|$|\.)"
+PRODUCT_PATH = r"(?i)(^|/)(products?|platform|solutions?|features?|services|capabilities|industries|use-cases)(/|$)"
+OTHER_PATH = r"(?i)(^|/)(docs?|documentation|developers?|api|blog|news|press|newsroom|careers?|jobs|login|log-in|signin|sign-in|signup|sign-up|register|account|legal|privacy|terms|cookie|support|help|community|events?|webinars?|resources|investors?|contact|search)(/|$)"
+LOCALE_PATH = r"(?i)^/([a-z]{2})(-[a-z]{2})?(/|$)"
+FILE_PATH = r"(?i)\.(pdf|png|jpe?g|gif|svg|zip|mp4|xml|json)$"
+
+
+def site_of(netloc: Column) -> Column:
+    """The last two labels of a host, without its port."""
+    labels = F.split(F.substring_index(F.lower(netloc), ":", 1), r"\.")
+    return F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), F.least(F.lit(2), F.size(labels))), ".")
+
+
+def landing_pages(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", most_products: int = 4) -> DataFrame:
+    """(id, role, url): each page as a homepage, and of its links in document order the first to prices and the first `most_products` to
+    products, on its own site, without query, file, foreign locale, or path of another kind; a trailing slash makes no other page.
+
+    Links are absolute, of the same scheme, of the same host, or relative to the page's folder; dots in paths are left as they are."""
+    base = pages.select(F.col(id).alias("id"), F.col(url).alias("home"), F.posexplode(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)<a\s[^>]*?href\s*=\s*[\"']([^\"'#]+)"), F.lit(1))).alias("at", "href"))
+    scheme, netloc = F.regexp_extract("home", r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1), U.netloc(F.col("home"))
+    folder = F.concat(F.lit("/"), F.regexp_extract(U.path(F.col("home")), r"^/?(.*/)?", 1))
+    href = F.trim("href")
+    whole = (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
+        .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
+        .when(href.startswith("/"), F.concat(scheme, F.lit("://"), netloc, href))
+        .otherwise(F.concat(scheme, F.lit("://"), netloc, folder, href))
+    )
+    links = base.select("id", "home", "at", whole.alias("link"))
+    to, path = F.col("link"), U.path(F.col("link"))
+    locale = F.lower(F.regexp_extract(path, LOCALE_PATH, 1))
+    fit = to.rlike("(?i)^https?://") & ~F.contains(to, F.lit("?")) & ~path.rlike(FILE_PATH) & (site_of(U.netloc(to)) == site_of(U.netloc(F.col("home")))) & locale.isin("", "en", "us") & ~path.rlike(OTHER_PATH)
+    bare = lambda c: F.regexp_replace(c, "/+$", "")
+    role = F.when(path.rlike(PRICING_PATH), "pricing").when(path.rlike(PRODUCT_PATH), "product")
+    found = links.filter(fit & (bare(to) != bare(F.col("home")))).select("id", "at", to.alias("url"), bare(to).alias("key"), role.alias("role"), path.rlike(PRODUCT_PATH).alias("sells")).filter("role is not null")
+    once = found.groupBy("id", "key").agg(F.min_by(F.struct("at", "url", "role", "sells"), "at").alias("x")).select("id", "x.*")
+    price = F.row_number().over(Window.partitionBy("id", "role").orderBy("at"))
+    # a second page of prices is a product, where its path says so
+    once = once.withColumn("role", F.when((F.col("role") == "pricing") & (price > 1), F.when(F.col("sells"), "product")).otherwise(F.col("role"))).filter("role is not null")
+    ranked = once.withColumn("r", F.row_number().over(Window.partitionBy("id", "role").orderBy("at"))).filter((F.col("role") == "pricing") | (F.col("r") <= most_products))
+    return pages.select(F.col(id).alias("id"), F.lit("homepage").alias("role"), F.col(url).alias("url")).unionByName(ranked.select("id", "role", "url")).withColumnRenamed("id", id)

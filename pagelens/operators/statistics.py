@@ -76,3 +76,28 @@ def majority(votes: DataFrame, unit: str, value: str) -> DataFrame:
     c = votes.groupBy(unit, value).agg(F.count("*").alias("c"))
     top = c.groupBy(unit).agg(F.max("c").alias("top"))
     return c.join(top, unit).filter("c = top").groupBy(unit).agg(F.when(F.count("*") == 1, F.max(value)).otherwise(F.lit("tie")).alias("verdict"))
+
+
+def length_bands(pairs: DataFrame, ours: str, theirs: str, winner: str, band: float = 1.1) -> DataFrame:
+    """(band, n, wins, losses, ties, net) of all pairs, and by the ratio of lengths: similar within `band`, else longer or shorter."""
+    ratio = (F.col(ours) + 1) / (F.col(theirs) + 1)
+    place = F.when(ratio > band, "longer").when(ratio < 1 / band, "shorter").otherwise("similar")
+    won, lost = F.sum((F.col(winner) == "ours").cast("long")), F.sum((F.col(winner) == "theirs").cast("long"))
+    rows = pairs.select(winner, F.explode(F.array(F.lit("all"), place)).alias("band"))
+    return rows.groupBy("band").agg(F.count("*").alias("n"), won.alias("wins"), lost.alias("losses"), (F.count("*") - won - lost).alias("ties"), F.round((won - lost) / F.count("*"), 3).alias("net"))
+
+
+def equal_length_lead(pairs: DataFrame, ours: str, theirs: str, winner: str) -> float | None:
+    """The chance to win at equal length: the intercept of a logistic fit of decided pairs on the logarithm of the ratio of lengths,
+    fitted by Spark over all of them. None without a decided pair, or where all were decided alike."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    x = F.log((F.col(ours) + 1) / (F.col(theirs) + 1))
+    rows = pairs.filter(F.col(winner).isin("ours", "theirs")).select(x.alias("x"), (F.col(winner) == "ours").cast("double").alias("y"))
+    if len(rows.select("y").distinct().take(2)) < 2:
+        return None
+    fit = LogisticRegression(featuresCol="v", labelCol="y", maxIter=100, tol=1e-10, standardization=False).fit(VectorAssembler(inputCols=["x"], outputCol="v").transform(rows))
+    import math
+
+    return 1 / (1 + math.exp(-fit.intercept))

@@ -39,6 +39,23 @@ def block_keep(spark, sf_dir):
     return B.keep(lines(spark, sf_dir)).select("page_id", "idx", "base", "keep")
 
 
+_TABLES = """t AS (SELECT page_id, idx, text, p, keep, CASE WHEN idx % 5 = 3 THEN 'table' WHEN idx % 5 = 4 THEN 'dd' WHEN length(text) < 60 OR idx % 5 = 1 THEN 'h2' ELSE 'p' END AS tag, p >= 0.1 AS is_data, (p * 600)::BIGINT AS n_rows, idx // 10 AS list_id FROM kept)"""
+
+
+@query(f"""WITH {_KEEP}, {_TABLES}, keyed AS (SELECT *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS key, last_value(CASE WHEN tag = 'h2' THEN struct_pack(i := idx, k := keep, p := p) END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY idx) AS h FROM t),
+m AS (SELECT *, length(key) >= 30 AS long, n_rows >= 500 AS big, coalesce(h.k, false) AS under, max(keep AND length(text) >= 30) OVER (PARTITION BY page_id, key) AS same FROM keyed),
+a AS (SELECT *, NOT keep AND tag = 'table' AND is_data AND NOT (long AND same) AND (big OR under OR coalesce(h.p >= 0.08 AND h.p < 0.5 AND idx - h.i <= 2, false)) AS able FROM m),
+f AS (SELECT *, able AND (big OR NOT long OR row_number() OVER (PARTITION BY page_id, key, able AND NOT big ORDER BY idx) = 1) AS saved FROM a),
+pair AS (SELECT DISTINCT page_id, h.i AS idx FROM f WHERE saved AND NOT big AND NOT under)
+SELECT f.page_id, f.idx, f.tag, f.keep OR f.saved OR pair.idx IS NOT NULL OR (f.tag = 'dd' AND f.under) AS keep FROM f LEFT JOIN pair USING (page_id, idx)""")
+def block_rescue(spark, sf_dir):
+    """Documents' lines, some of which stand for tables and definitions."""
+    k, idx = B.keep(lines(spark, sf_dir)), F.col("idx")
+    tag = F.when(idx % 5 == 3, "table").when(idx % 5 == 4, "dd").when((F.length("text") < 60) | (idx % 5 == 1), "h2").otherwise("p")
+    rows = k.select("page_id", "idx", "text", "p", "keep", tag.alias("tag"), (F.col("p") >= 0.1).alias("is_data"), F.round(F.col("p") * 600).cast("long").alias("n_rows"), F.floor(idx / 10).alias("list_id"), F.lit(False).alias("list_marked"))
+    return B.rescue(rows).select("page_id", "idx", "tag", "keep")
+
+
 @query(f"""WITH {_KEEP}, w AS (SELECT *, greatest(1, {_W}) AS w FROM kept), t AS (SELECT page_id, count(*)::BIGINT AS n_blocks, sum(keep::INT)::BIGINT AS n_kept, sum(CASE WHEN keep THEN w * p ELSE 0 END) AS tp, sum(w * p) AS ref, sum(CASE WHEN keep THEN w ELSE 0 END) AS o FROM w GROUP BY 1),
 f AS (SELECT *, tp / greatest(1, o) AS pr, tp / greatest(1, ref) AS re FROM t) SELECT page_id, n_blocks, n_kept, round(pr, 6) AS precision, round(re, 6) AS recall, round(2 * pr * re / greatest(pr + re, 1e-9), 6) AS f1, round(2 * pr * re / greatest(pr + re, 1e-9), 6) < 0.7 AS unsure FROM f""")
 def block_confidence(spark, sf_dir):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..functions import words as W
 from ..operators import evaluation as E
-from ..operators import judge, template
+from ..operators import judge, statistics, template
 from .catalog import _BM25, _DRAW, GRAMS, HOST, PATH, SITE_KEY, TERMS, TOKENS, WORDS, _bm25, _list, _visible, query, table
 
 _NOISE = "regexp_extract(html, '(?is)<nav[^>]*>(.*?)</nav>', 1) || ' ' || array_to_string(regexp_extract_all(html, '(?is)<div class=\"ad\">(.*?)</div>', 1), ' ')"
@@ -199,3 +199,20 @@ o AS (SELECT x.id AS a, y.id AS b, count(*) AS o, any_value(x.n) AS na, any_valu
 SELECT a, b, round(o / (na + nb - o), 6) AS jaccard FROM o WHERE 100 * o >= 80 * (na + nb - o)""")
 def page_near_duplicates(spark, sf_dir):
     return template.near_pages(table(spark, sf_dir, "pages"))
+
+
+@query("""WITH m AS (SELECT lang, avg(n_chars) AS m FROM documents GROUP BY lang), v AS (SELECT CASE WHEN quality > toxic THEN 'ours' WHEN quality < toxic THEN 'theirs' ELSE 'tie' END AS w, (n_chars + 1) / (floor(m) + 1) AS r FROM documents JOIN labels USING (doc_id) JOIN m USING (lang)),
+b AS (SELECT w, unnest(['all', CASE WHEN r > 1.1 THEN 'longer' WHEN r < 1 / 1.1::DOUBLE THEN 'shorter' ELSE 'similar' END]) AS band FROM v)
+SELECT band, count(*)::BIGINT AS n, sum((w = 'ours')::INT)::BIGINT AS wins, sum((w = 'theirs')::INT)::BIGINT AS losses, sum((w = 'tie')::INT)::BIGINT AS ties, round((sum((w = 'ours')::INT) - sum((w = 'theirs')::INT)) / count(*)::DOUBLE, 3) AS net FROM b GROUP BY band""")
+def length_bands(spark, sf_dir):
+    """Labels as verdicts, by a document's length against its language's mean."""
+    d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    mean = d.groupBy("lang").agg(F.floor(F.avg("n_chars")).alias("m"))
+    q = F.col("quality")
+    verdict = F.when(q > F.col("toxic"), "ours").when(q < F.col("toxic"), "theirs").otherwise("tie")
+    return statistics.length_bands(d.select("doc_id", "lang", "n_chars").join(labels, "doc_id").join(mean, "lang").withColumn("w", verdict), "n_chars", "m", "w")
+
+
+@query()
+def landing_pages(spark, sf_dir):
+    return E.landing_pages(table(spark, sf_dir, "pages"))
