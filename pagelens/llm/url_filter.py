@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import U, column, mapped, mix
+from ._common import U, column, deal, grouped, mapped, mix, partitions
 
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -42,34 +42,51 @@ class Bloom:
     @staticmethod
     def places_of(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
         """As places, for keys that are hashes already."""
-        block = (h >> U(16)) % U(blocks)
         g = mix(h)
         lane = np.arange(8, dtype=U)
         bit = (g[:, None] >> (lane * U(6))[None, :]) & U(63)
-        return (block[:, None] * U(8) + lane[None, :]).astype(np.int64), U(1) << bit
+        return Bloom.blocks_of(h, blocks)[:, None] * 8 + lane.astype(np.int64)[None, :], U(1) << bit
+
+    @staticmethod
+    def blocks_of(h: np.ndarray, blocks: int) -> np.ndarray:
+        return ((h >> U(16)) % U(blocks)).astype(np.int64)
 
     @classmethod
     def build(cls, keys: DataFrame, bits_per_key: int = 16, most_bytes: int = 32 << 20) -> Bloom:
-        """From the column key (strings, or longs that are hashes); the filter has at most most_bytes, and only its words come to the
-        driver, never keys."""
+        """From the column key (strings, or longs that are hashes); the filter has at most most_bytes. Keys go by their place to tasks that
+        set a segment's bits; only the segments come to the driver, as bytes."""
         hashed = keys.schema["key"].dataType.simpleString() == "bigint"
         n = keys.count()
         blocks = int(max(1, min(most_bytes // 64, -(-n * bits_per_key // 512))))
+        segments = max(1, min(partitions(keys.sparkSession), blocks // 1024))
+        each = -(-blocks // segments)
 
         def emit(batches):
             for batch in batches:
                 if hashed:
-                    at, mask = cls.places_of(np.asarray(batch.column(0), np.int64).view(U), blocks)
+                    h = np.asarray(batch.column(0), np.int64).view(U)
                 else:
-                    at, mask = cls.places([k.encode() for k in column(batch, "key") if k is not None], blocks)
-                at, where = np.unique(at.ravel(), return_inverse=True)
-                word = np.zeros(len(at), U)
-                np.bitwise_or.at(word, where, mask.ravel())
-                yield {"at": at, "word": word.view(np.int64)}
-
-        got = mapped(keys.select("key"), emit, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
+                    h = np.fromiter((xxhash.xxh3_64_intdigest(k.encode()) for k in column(batch, "key") if k is not None), U)
+                segment = cls.blocks_of(h, blocks) // each
+                order = np.argsort(segment, kind="stable")
+                at, first = np.unique(segment[order], return_index=True)
+                yield {"segment": at, "hashes": [x.tobytes() for x in np.split(h[order], first[1:])] if len(at) else []}
+
+        def fill(batches):
+            for segment, group in grouped(batches, "segment"):
+                low = int(segment) * each
+                words = np.zeros(min(each, blocks - low) * 8, U)
+                for h in (np.frombuffer(x, U) for b in group for x in column(b, "hashes")):
+                    for i in range(0, len(h), 100_000):
+                        at, mask = cls.places_of(h[i : i + 100_000], blocks)
+                        np.bitwise_or.at(words, at - low * 8, mask)
+                yield {"segment": [segment], "words": [words.tobytes()]}
+
+        rows = deal(mapped(keys.select("key"), emit, "segment int, hashes binary"), segments, "segment")
         words = np.zeros(blocks * 8, U)
-        words[got["at"].to_numpy(np.int64)] = got["word"].to_numpy(np.int64).view(U)
+        for r in mapped(rows, fill, "segment int, words binary").collect():
+            own = np.frombuffer(r.words, U)
+            words[r.segment * each * 8 :][: len(own)] = own
         return cls(words)
 
     def has_hashes(self, h: np.ndarray) -> np.ndarray:

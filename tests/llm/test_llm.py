@@ -393,6 +393,24 @@ def test_url_ports_and_bloom_false_positives(spark, monkeypatch):
     assert full is not None
 
 
+def test_bloom_comes_to_the_driver_as_bytes(spark):
+    """The driver holds a few times the filter, not a row for each of its words; segments give the words that all keys set."""
+    import tracemalloc
+
+    for keys in (spark.range(300_000).select(F.xxhash64("id").alias("key")), spark.range(40_000).select(F.concat(F.lit("é"), "id").alias("key")), spark.range(0).select(F.col("id").alias("key"))):
+        tracemalloc.start()
+        got = url_filter.Bloom.build(keys).words
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 4 * got.nbytes + 2_000_000
+        every = [r.key for r in keys.collect()]
+        h = np.array(every, np.int64).view(np.uint64) if keys.schema["key"].dataType.simpleString() == "bigint" else np.array([url_filter.xxhash.xxh3_64_intdigest(k.encode()) for k in every], np.uint64)
+        want = np.zeros(len(got), np.uint64)
+        at, mask = url_filter.Bloom.places_of(h, len(got) // 8)
+        np.bitwise_or.at(want, at, mask)
+        assert (got == want).all() and (not len(h) or url_filter.Bloom(got).has_hashes(h).all())
+
+
 def test_no_labelled_row_rejects_nothing(spark):
     docs = table(spark, [(1, "some text", None), (2, None, None)])
     assert langid.keep_identified(docs, langid.fit(docs)).count() == 2
