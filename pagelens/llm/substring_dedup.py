@@ -117,27 +117,31 @@ def _dealt(bucket: np.ndarray, buckets: int):
 def _repeats(docs: DataFrame, size: int, k: int, blooms: list, buckets: int) -> DataFrame:
     """(key) of the k-word stand-ins that occur at two places or more."""
 
+    def rows_of(batch):
+        w = _Words(batch, size)
+        _, at = w.survivors(k, [(n, b.value) for n, b in blooms])
+        keys, n = np.unique(w.windows(k)[at], return_counts=True)
+        out = {"bucket": [], "keys": [], "often": []}
+        for i, own in _dealt((keys % U(buckets)).astype(np.int64), buckets):
+            for name, v in zip(out, (i, keys[own].tobytes(), (n[own] > 1).tobytes())):
+                out[name].append(v)
+        return out
+
+    def repeated(group):
+        key = np.concatenate([np.frombuffer(x, U) for b in group for x in column(b, "keys")])
+        often = np.concatenate([np.frombuffer(x, bool) for b in group for x in column(b, "often")])
+        order = np.argsort(key)
+        key, often = key[order], often[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.diff(np.append(first, len(key)))
+        hit = (n > 1) | np.logical_or.reduceat(often, first)
+        return {"key": key[first[hit]].view(np.int64)}
+
     def emit(batches):
-        for batch in chunked(batches, limit=1_500_000):
-            w = _Words(batch, size)
-            _, at = w.survivors(k, [(n, b.value) for n, b in blooms])
-            keys, n = np.unique(w.windows(k)[at], return_counts=True)
-            out = {"bucket": [], "keys": [], "often": []}
-            for i, own in _dealt((keys % U(buckets)).astype(np.int64), buckets):
-                for name, v in zip(out, (i, keys[own].tobytes(), (n[own] > 1).tobytes())):
-                    out[name].append(v)
-            yield out
+        yield from map(rows_of, chunked(batches, limit=1_500_000))
 
     def count(batches):
-        for _, group in grouped(batches):
-            key = np.concatenate([np.frombuffer(x, U) for b in group for x in column(b, "keys")])
-            often = np.concatenate([np.frombuffer(x, bool) for b in group for x in column(b, "often")])
-            order = np.argsort(key)
-            key, often = key[order], often[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            n = np.diff(np.append(first, len(key)))
-            hit = (n > 1) | np.logical_or.reduceat(often, first)
-            yield {"key": key[first[hit]].view(np.int64)}
+        yield from (repeated(group) for _, group in grouped(batches))
 
     rows = deal(mapped(docs, emit, "bucket int, keys binary, often binary"), buckets)
     return mapped(rows, count, "key long")
@@ -157,31 +161,44 @@ def _covered(docs: DataFrame, size: int, blooms: list, buckets: int) -> DataFram
         none = [None] * len(out["part"])
         return out | {k: none for k in ("id", "n", "fp1", "fp2")}
 
+    def rows_of(batch):
+        w = _Words(batch, size)
+        ids, n, fp = w.meta
+        out = {"kind": [0], "bucket": [int(ids[0]) % buckets], "a": [ids.tobytes()], "b": [n.tobytes()], "c": [fp.tobytes()], "d": [b""]}
+        _, at = w.survivors(size, [(k, b.value) for k, b in blooms])
+        a, b, doc, place = w.windows(half)[at], w.windows(half)[np.minimum(at + half, len(w.full) - 1)] if len(at) else w.windows(half)[at], w.ids[w.doc[at]], w.place[at]
+        order = np.lexsort((place, doc, b, a))
+        a, b, doc, place = a[order], b[order], doc[order], place[order]
+        first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+        later = np.flatnonzero(~first)
+        if len(later):
+            lead = np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))[later]
+            later = later[(doc[later] != doc[lead]) | (place[later] != place[lead])]
+            later = later[np.lexsort((place[later], doc[later]))]
+            for name, v in zip(out, (1, int(doc[later[0]]) % buckets if len(later) else 0, doc[later].tobytes(), place[later].astype("<i4").tobytes(), b"", b"")):
+                out[name].append(v)
+        keep = np.flatnonzero(first)
+        for i, own in _dealt((mix(a[keep] ^ b[keep]) % U(buckets)).astype(np.int64), buckets):
+            own = keep[own]
+            own = own[np.argsort(doc[own], kind="stable")]
+            who, count = np.unique(doc[own], return_counts=True)
+            for name, v in zip(out, (2, i, who.tobytes() + count.tobytes(), place[own].astype("<i4").tobytes(), a[own].tobytes(), b[own].tobytes())):
+                out[name].append(v)
+        return out
+
     def emit(batches):
-        for batch in chunked(batches, limit=1_500_000):
-            w = _Words(batch, size)
-            ids, n, fp = w.meta
-            out = {"kind": [0], "bucket": [int(ids[0]) % buckets], "a": [ids.tobytes()], "b": [n.tobytes()], "c": [fp.tobytes()], "d": [b""]}
-            _, at = w.survivors(size, [(k, b.value) for k, b in blooms])
-            a, b, doc, place = w.windows(half)[at], w.windows(half)[np.minimum(at + half, len(w.full) - 1)] if len(at) else w.windows(half)[at], w.ids[w.doc[at]], w.place[at]
-            order = np.lexsort((place, doc, b, a))
-            a, b, doc, place = a[order], b[order], doc[order], place[order]
-            first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
-            later = np.flatnonzero(~first)
-            if len(later):
-                lead = np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))[later]
-                later = later[(doc[later] != doc[lead]) | (place[later] != place[lead])]
-                later = later[np.lexsort((place[later], doc[later]))]
-                for name, v in zip(out, (1, int(doc[later[0]]) % buckets if len(later) else 0, doc[later].tobytes(), place[later].astype("<i4").tobytes(), b"", b"")):
-                    out[name].append(v)
-            keep = np.flatnonzero(first)
-            for i, own in _dealt((mix(a[keep] ^ b[keep]) % U(buckets)).astype(np.int64), buckets):
-                own = keep[own]
-                own = own[np.argsort(doc[own], kind="stable")]
-                who, count = np.unique(doc[own], return_counts=True)
-                for name, v in zip(out, (2, i, who.tobytes() + count.tobytes(), place[own].astype("<i4").tobytes(), a[own].tobytes(), b[own].tobytes())):
-                    out[name].append(v)
-            yield out
+        yield from map(rows_of, chunked(batches, limit=1_500_000))
+
+    def earlier(held):
+        doc, place, a, b = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.lexsort((place, doc, b, a))
+        doc, place, a, b = doc[order], place[order], a[order], b[order]
+        later = np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])])
+        lead = np.maximum.accumulate(np.where(later, 0, np.arange(len(a))))
+        later = np.flatnonzero(later & ((doc != doc[lead]) | (place != place[lead])))
+        later = later[np.lexsort((place[later], doc[later]))]
+        return by_document(doc[later], place[later])
 
     def decide(batches):
         for _, group in grouped(batches):
@@ -198,14 +215,7 @@ def _covered(docs: DataFrame, size: int, blooms: list, buckets: int) -> DataFram
                     who, count = np.frombuffer(a, np.int64).reshape(2, -1)
                     held.append((np.repeat(who, count), np.frombuffer(b, "<i4"), np.frombuffer(c, U), np.frombuffer(d, U)))
             if held:
-                doc, place, a, b = (np.concatenate(x) for x in zip(*held))
-                order = np.lexsort((place, doc, b, a))
-                doc, place, a, b = doc[order], place[order], a[order], b[order]
-                later = np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])])
-                lead = np.maximum.accumulate(np.where(later, 0, np.arange(len(a))))
-                later = np.flatnonzero(later & ((doc != doc[lead]) | (place != place[lead])))
-                later = later[np.lexsort((place[later], doc[later]))]
-                yield by_document(doc[later], place[later])
+                yield earlier(held)
 
     rows = deal(mapped(docs, emit, "kind int, bucket int, a binary, b binary, c binary, d binary"), buckets)
     return mapped(rows, decide, "id long, n long, fp1 long, fp2 long, part int, who binary, starts binary")
@@ -214,19 +224,21 @@ def _covered(docs: DataFrame, size: int, blooms: list, buckets: int) -> DataFram
 def _by_document(found: DataFrame, buckets: int) -> DataFrame:
     """(id, starts) with all starts of a document together."""
 
+    def together(group):
+        ids, starts = [], []
+        for batch in group:
+            for who, s in zip(column(batch, "who"), column(batch, "starts")):
+                who, count = np.frombuffer(who, np.int64).reshape(2, -1)
+                ids.append(np.repeat(who, count))
+                starts.append(np.frombuffer(s, "<i4"))
+        ids, starts = np.concatenate(ids), np.concatenate(starts)
+        order = np.argsort(ids, kind="stable")
+        ids, starts = ids[order], starts[order]
+        cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        return {"id": ids[cut], "starts": [starts[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(ids)))]}
+
     def gather(batches):
-        for _, group in grouped(batches, "part"):
-            ids, starts = [], []
-            for batch in group:
-                for who, s in zip(column(batch, "who"), column(batch, "starts")):
-                    who, count = np.frombuffer(who, np.int64).reshape(2, -1)
-                    ids.append(np.repeat(who, count))
-                    starts.append(np.frombuffer(s, "<i4"))
-            ids, starts = np.concatenate(ids), np.concatenate(starts)
-            order = np.argsort(ids, kind="stable")
-            ids, starts = ids[order], starts[order]
-            cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            yield {"id": ids[cut], "starts": [starts[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(ids)))]}
+        yield from (together(group) for _, group in grouped(batches, "part"))
 
     rows = deal(found.filter("part is not null").select("part", "who", "starts"), buckets, "part")
     return mapped(rows, gather, "id long, starts binary")
@@ -257,6 +269,8 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", *, size: int
         forget(keys)
         k *= 2
     found = materialize(_covered(rows, size, blooms, buckets), "covered")
+    for _, bloom in blooms:  # no later plan reads them
+        bloom.destroy()
     release(spark)
     meta = found.filter("n is not null").select("id", "n", "fp1", "fp2")
     copies = materialize(meta.filter(f"n >= {size}").groupBy("fp1", "fp2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("fp1", "fp2", "first"), "copies")
@@ -266,35 +280,35 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", *, size: int
     forget(found)
     said = spark.sparkContext.broadcast(Bloom.build(cut.select(F.col("id").cast("string").alias("key"))))
 
-    def touched(yes: bool):
-        def run(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    hit = said.value.has([str(i).encode() for i in column(batch, "id")])
-                    yield batch.filter(pa.array(hit == yes, pa.bool_()))
-
-        return run
+    def touched(batches, yes: bool):
+        for batch in batches:
+            if batch.num_rows:
+                hit = said.value.has([str(i).encode() for i in column(batch, "id")])
+                yield batch.filter(pa.array(hit == yes, pa.bool_()))
+
+    def result(batch):
+        out = {k: [] for k in ("id", "n_words", "n_removed", "kept_sha256", *(["kept"] if keep_text else []))}
+        names = set(batch.schema.names)
+        starts = column(batch, "starts") if "starts" in names else [None] * batch.num_rows
+        gone = column(batch, "gone") if "gone" in names else [False] * batch.num_rows
+        for k, t, s, g in zip(column(batch, "id"), texts(batch), starts, gone):
+            ws = t.split()
+            kept = [] if g else ws
+            if s and not g:
+                mask = covered_words(len(ws), s, size)
+                kept = [w for w, m in zip(ws, mask.tolist()) if not m]
+            joined = b" ".join(kept)
+            for name, v in zip(out, (k, len(ws), len(ws) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "replace"))):
+                out[name].append(v)
+        return out
 
     def finish(batches):
-        for batch in chunked(batches):
-            out = {k: [] for k in ("id", "n_words", "n_removed", "kept_sha256", *(["kept"] if keep_text else []))}
-            names = set(batch.schema.names)
-            starts = column(batch, "starts") if "starts" in names else [None] * batch.num_rows
-            gone = column(batch, "gone") if "gone" in names else [False] * batch.num_rows
-            for k, t, s, g in zip(column(batch, "id"), texts(batch), starts, gone):
-                ws = t.split()
-                kept = [] if g else ws
-                if s and not g:
-                    mask = covered_words(len(ws), s, size)
-                    kept = [w for w, m in zip(ws, mask.tolist()) if not m]
-                joined = b" ".join(kept)
-                for name, v in zip(out, (k, len(ws), len(ws) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "replace"))):
-                    out[name].append(v)
-            yield out
+        yield from map(result, chunked(batches))
 
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if keep_text else "")
-    clean = mapped(rows.mapInArrow(touched(False), rows.schema), finish, schema)
-    other = mapped(rows.mapInArrow(touched(True), rows.schema).join(cut, "id", "left"), finish, schema)
+    # Each task in Python has one worker: what is not touched ends in the task that reads it, and the join always stands between the other two.
+    clean = mapped(rows, lambda batches: finish(touched(batches, False)), schema)
+    other = mapped(rows.mapInArrow(lambda batches: touched(batches, True), rows.schema).join(cut.hint("merge"), "id", "left"), finish, schema)
     return clean.union(other).withColumnRenamed("id", id)
 
 

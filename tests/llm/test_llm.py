@@ -450,6 +450,37 @@ def test_substring_dedup(spark, size):
     assert substring_dedup.dedup(table(spark, [])).count() == 0
 
 
+def test_substring_dedup_holds_one_worker_and_one_batch(spark, monkeypatch):
+    """A stage of the result has one Python node, however small the tables of its join; a batch's arrays go before the next batch's come."""
+    import weakref
+
+    import pyarrow as pa
+
+    def python_in_stage(node, above):
+        name = node.nodeName()
+        now = 0 if "Exchange" in name else above + ("Arrow" in name)
+        return max([now, *(python_in_stage(node.children().apply(i), now) for i in range(node.children().size()))])
+
+    out = substring_dedup.dedup(table(spark, corpus(7, 40)))
+    assert python_in_stage(out._jdf.queryExecution().executedPlan().initialPlan(), 0) == 1
+
+    live, fns = weakref.WeakSet(), []
+
+    class Watched(substring_dedup._Words):
+        def __init__(self, *a):
+            assert not live
+            super().__init__(*a)
+            live.add(self)
+
+    monkeypatch.setattr(substring_dedup, "_Words", Watched)
+    monkeypatch.setattr(substring_dedup, "mapped", lambda df, fn, schema: fns.append(fn))
+    monkeypatch.setattr(substring_dedup, "deal", lambda df, *a: df)
+    substring_dedup._repeats(None, 4, 1, [], 4)
+    substring_dedup._covered(None, 4, [], 4)
+    batches = [pa.record_batch({"id": pa.array([i], pa.int64()), "text": ["a b c d e f g"]}) for i in range(3)]
+    assert all(len(list(emit(batches))) == 3 for emit in (fns[0], fns[2]))
+
+
 def check_pieces(rows, room, pieces):
     e = Encoder()
     by = collections.defaultdict(list)
