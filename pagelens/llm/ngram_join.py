@@ -19,6 +19,8 @@ what is left of the cells:
    compared in pairs of blocks, each by step 4.
 
 Only spanning links are kept, so that a group of copies costs as many rows as it has members. Nothing is gathered in one place.
+Whole sets are shuffled only where they are counted or compared: filters of bounded size pick them, and what these let through besides
+is dropped by the next count or join. Tables that no later step reads are removed.
 
 Defined cases: no words or no text gives an empty set, linked with nothing; fewer than k words are one shingle; equal sets link;
 rows that repeat an id count as the one with the smallest fingerprint; rows without an id are left out; texts of any length are
@@ -27,12 +29,14 @@ hashed whole; an empty table gives no rows; other columns are left alone.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import U, buckets_for, chunked, column, components, deal, grouped, labels, mapped, materialize, mix, release, texts, window_hashes, word_hashes
+from ._common import U, buckets_for, chunked, column, components, deal, forget, grouped, labels, mapped, materialize, mix, release, texts, window_hashes, word_hashes
 from .url_filter import Bloom
 
 #: Share of a set, beyond the window that one common shingle needs, in which partners must meet again and again.
@@ -74,20 +78,80 @@ def _ids(batch) -> np.ndarray:
     return np.asarray(batch.column(batch.schema.get_field_index("id")), np.int64)
 
 
-def _packed(keys: np.ndarray, own: np.ndarray, ids: np.ndarray, buckets: int):
-    """(bucket, ids, counts, keys): the keys of each bucket with their owners in runs."""
+def _thin(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, each in as many bytes as the largest needs; that number of bytes comes first."""
+    most = int(x.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return bytes([width]) + x.astype(f"u{width}").tobytes()
+
+
+def _thick(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, f"u{x[0]}", offset=1).astype(np.int64)
+
+
+def _steps(ids: np.ndarray) -> bytes:
+    """Ascending ids as the first one and the steps between them: ids that lie close together take a byte or two each."""
+    return ids[:1].tobytes() + _thin(np.diff(ids.view(U)))
+
+
+def _unsteps(x: bytes) -> np.ndarray:
+    return np.cumsum(np.concatenate([np.frombuffer(x, U, 1), _thick(x[8:]).view(U)]), dtype=U).view(np.int64)
+
+
+def _packed(keys: np.ndarray, own: np.ndarray, ids: np.ndarray, buckets: int, short: bool = False):
+    """(bucket, ids, counts, keys): the keys of each bucket with their owners in runs; see _unsteps() and _thick().
+
+    short: keys are cut to 32 bits beyond those that the bucket tells, so that a few of different keys look alike.
+    """
+    if (ids[1:] < ids[:-1]).any():
+        rank = np.argsort(ids, kind="stable")
+        own = np.argsort(rank)[own]
+        order = np.argsort(own, kind="stable")
+        keys, own, ids = keys[order], own[order], ids[rank]
     b = (keys % U(buckets)).astype(np.int64)
     order = np.argsort(b, kind="stable")
     keys, own = keys[order], own[order]
+    if short:
+        keys = (keys // U(buckets)).astype(np.uint32)
     cuts = np.searchsorted(b[order], np.arange(buckets + 1))
     for i in range(buckets):
         if cuts[i] < cuts[i + 1]:
             who, count = np.unique(own[cuts[i] : cuts[i + 1]], return_counts=True)
-            yield i, ids[who].tobytes(), count.astype(np.int32).tobytes(), keys[cuts[i] : cuts[i + 1]].tobytes()
+            yield i, _steps(ids[who]), _thin(count), keys[cuts[i] : cuts[i + 1]].tobytes()
+
+
+def _filter(ids: DataFrame) -> Bloom:
+    """A filter of bounded size that holds every id of the column id; ask it by _held()."""
+
+    def hashed(batches):
+        for batch in batches:
+            yield {"key": mix(_ids(batch).view(U)).view(np.int64)}
+
+    return Bloom.build(mapped(ids.select("id"), hashed, "key long"))
+
+
+def _held(bloom: Bloom, ids: np.ndarray) -> np.ndarray:
+    return bloom.has_hashes(mix(ids.view(U)))
+
+
+def _some(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets of ids, and few others that the filter cannot tell from them: what a join by id needs, without a shuffle of all sets."""
+    said = sets.sparkSession.sparkContext.broadcast(_filter(ids))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(_held(said.value, _ids(batch)), pa.bool_()))
+
+    return sets.mapInArrow(run, sets.schema)
 
 
 def _survey(docs: DataFrame, k: int, tenths: int, buckets: int) -> DataFrame:
-    """Rows (id, n, fp1, fp2) of documents and (id, seen): how many shingles of a document's wide window occur in other documents' too."""
+    """Rows (id, n, fp1, fp2) of documents and (id, seen): how many shingles of a document's wide window occur in other documents' too.
+
+    Shingles are told apart by the bucket and 32 bits more, so seen is now and then too large and never too small.
+    """
 
     def emit(batches):
         for batch in chunked(batches):
@@ -98,7 +162,7 @@ def _survey(docs: DataFrame, k: int, tenths: int, buckets: int) -> DataFrame:
             take = np.where(n > 0, np.minimum(n, n - least_common(n, tenths) + _extra(n)), 0)
             keys = np.concatenate([s[:t] for s, t in zip(sets, take.tolist())])
             own = np.repeat(np.arange(len(n)), take)
-            for row in _packed(keys, own, ids, buckets):
+            for row in _packed(keys, own, ids, buckets, short=True):
                 for name, v in zip(out, (1, *row)):
                     out[name].append(v)
             yield out
@@ -113,9 +177,9 @@ def _survey(docs: DataFrame, k: int, tenths: int, buckets: int) -> DataFrame:
                         ids = np.frombuffer(a, np.int64)
                         yield {"id": ids, "n": np.frombuffer(b, np.int64), "fp1": fp[:, 0], "fp2": fp[:, 1], "seen": np.full(len(ids), -1)}
                     else:
-                        own.append(np.frombuffer(a, np.int64))
-                        counts.append(np.frombuffer(b, np.int32))
-                        keys.append(np.frombuffer(c, U))
+                        own.append(_unsteps(a))
+                        counts.append(_thick(b))
+                        keys.append(np.frombuffer(c, np.uint32))
             if keys:
                 key = np.concatenate(keys)
                 who = np.repeat(np.concatenate(own), np.concatenate(counts))
@@ -133,25 +197,34 @@ def _survey(docs: DataFrame, k: int, tenths: int, buckets: int) -> DataFrame:
     return mapped(rows, count, "id long, n long, fp1 long, fp2 long, seen long")
 
 
-def _candidate_sets(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
-    """(id, n, h) of the chosen (id, fp1, fp2): a filter of bounded size over their ids spares most texts the work, a join is exact."""
-    bloom = Bloom.build(chosen.select(F.col("id").cast("string").alias("key")))
-    said = docs.sparkSession.sparkContext.broadcast(bloom)
+def _candidate_sets(docs: DataFrame, chosen: DataFrame, repeated: DataFrame, k: int) -> list[DataFrame]:
+    """Tables (id, n, h) which hold the sets of the chosen (id, fp1, fp2), one row for an id, and few others.
+
+    Filters of bounded size find them without a shuffle. What else the first lets through is a whole set of its own id, which the next
+    step counts as any other. An id that more than one row has is left to an exact join, for these rows' texts may differ.
+    """
+    said = docs.sparkSession.sparkContext.broadcast((_filter(chosen), _filter(repeated)))
 
     def run(batches):
+        import pyarrow as pa
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            import pyarrow as pa
-
-            batch = batch.filter(pa.array(said.value.has([str(i).encode() for i in column(batch, "id")]), pa.bool_()))
+            batch = batch.filter(pa.array(_held(said.value[0], _ids(batch)), pa.bool_()))
             for part in chunked([batch]):
-                sets = list(_sets(part, k))
-                fp = [_fingerprint(s) for s in sets]
-                yield {"id": _ids(part), "fp1": [x[0] for x in fp], "fp2": [x[1] for x in fp], "n": [len(s) for s in sets], "h": [s.view(np.int64) for s in sets]}
-
-    found = mapped(docs, run, "id long, fp1 long, fp2 long, n long, h array<long>")
-    return found.join(chosen, ["id", "fp1", "fp2"], "left_semi").dropDuplicates(["id"]).select("id", "n", "h")
+                ids, sets = _ids(part), list(_sets(part, k))
+                again = _held(said.value[1], ids)
+                fp = [_fingerprint(s) if x else (0, 0) for s, x in zip(sets, again.tolist())]
+                yield {"id": ids, "again": again, "fp1": [x[0] for x in fp], "fp2": [x[1] for x in fp], "n": [len(s) for s in sets], "h": [s.view(np.int64) for s in sets]}
+
+    found = materialize(mapped(docs, run, "id long, again boolean, fp1 long, fp2 long, n long, h array<long>"), "found")
+    out = [found.filter("not again").select("id", "n", "h")]
+    out[0]._pagelens_path = found._pagelens_path
+    rest = found.filter("again")
+    if not rest.isEmpty():
+        out.append(materialize(rest.join(chosen, ["id", "fp1", "fp2"], "left_semi").dropDuplicates(["id"]).select("id", "n", "h"), "again"))
+    return out
 
 
 def _windows(sets: DataFrame, tenths: int, buckets: int) -> DataFrame:
@@ -172,8 +245,8 @@ def _windows(sets: DataFrame, tenths: int, buckets: int) -> DataFrame:
 
     def count(batches):
         for _, group in grouped(batches):
-            own = np.concatenate([np.frombuffer(x, np.int64) for b in group for x in column(b, "a")])
-            runs = np.concatenate([np.frombuffer(x, np.int32) for b in group for x in column(b, "b")])
+            own = np.concatenate([_unsteps(x) for b in group for x in column(b, "a")])
+            runs = np.concatenate([_thick(x) for b in group for x in column(b, "b")])
             key = np.concatenate([np.frombuffer(x, U) for b in group for x in column(b, "c")])
             _, back, df = np.unique(key, return_inverse=True, return_counts=True)
             df = df[back]
@@ -234,6 +307,8 @@ def _windows(sets: DataFrame, tenths: int, buckets: int) -> DataFrame:
 
 def _compare(pairs: DataFrame, sets: DataFrame, radius: float) -> DataFrame:
     """(a, b, far, near) of pairs: far is the distance, near whether it is within the radius. Adaptive execution splits a pivot with many partners."""
+    pairs = materialize(pairs, "pairs")
+    sets = _some(sets, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     x = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("h").alias("ha"))
     y = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("h").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb")).cast("long")
@@ -409,7 +484,8 @@ class _Join:
         rows = materialize(rows.select("key", "id", "n", "comp").distinct(), "keys")
         blocks = rows.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / shingles)).cast("int").alias("blocks"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("key", "blocks")
         at = rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        at = at.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "comp").join(self.sets.select("id", "h"), "id")
+        sets = _some(self.sets, rows.join(blocks, "key", "left_semi").select("id").distinct())
+        at = at.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "comp").join(sets.select("id", "h"), "id")
         near = at.groupBy("key", "lo", "hi").applyInArrow(_region_links(self.tenths), "a long, b long")
         self.link(materialize(near, "near"))
 
@@ -440,17 +516,22 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", *, k: int = 5,
     buckets = buckets_for(spark, rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, bucket_bytes)
     survey = materialize(_survey(rows, k, percent, buckets), "survey")
     release(spark)
-    meta = survey.filter("seen < 0").groupBy("id").agg(F.min(F.struct("fp1", "fp2", "n")).alias("x")).select("id", "x.*")
+    meta = survey.filter("seen < 0").groupBy("id").agg(F.min(F.struct("fp1", "fp2", "n")).alias("x"), F.count("*").alias("times")).select("id", "x.*", "times")
     meta = materialize(meta, "meta")
     classes = materialize(meta.filter("n > 0").groupBy("fp1", "fp2").agg(F.min("id").alias("rep"), F.count("*").alias("m")), "classes")
     seen = survey.filter("seen >= 0").groupBy("id").agg(F.sum("seen").alias("seen"))
     least = f"greatest(1, cast(ceil(n * {percent} / 100) as long) * {EXTRA} div 100)"
     chosen = meta.join(seen, "id").filter(f"n > 0 and seen >= {least}").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "fp1", "fp2")
     chosen = materialize(chosen, "chosen")
-    sets = materialize(_candidate_sets(rows, chosen, k), "sets")
+    forget(survey)
+    found = _candidate_sets(rows, chosen, meta.filter("times > 1"), k)
+    release(spark)
+    sets = functools.reduce(DataFrame.union, found)
     windows = materialize(_windows(sets, percent, buckets), "windows")
     release(spark)
-    sets = materialize(sets.join(windows.select("id"), "id", "left_semi"), "sets")
+    sets = materialize(_some(sets, windows), "sets")
+    for t in found:
+        forget(t)
     label = _Join(sets, windows, percent, small).run()
     copies = classes.filter("m > 1").select("fp1", "fp2", "rep")
     out = meta.join(copies, ["fp1", "fp2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")))
