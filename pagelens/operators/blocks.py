@@ -51,12 +51,29 @@ def find_blocks(nodes: DataFrame) -> DataFrame:
     return taken.join(texts, ["page_id", "nid"]).withColumn("idx", F.row_number().over(_page("nid")) - 1)
 
 
+def facts(blocks: DataFrame) -> DataFrame:
+    """blocks with what the operators below ask of a text: its characters, words, and a hash and the characters of it in one case and spacing.
+    Where they are there already, `text` itself need not go through windows."""
+    key = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
+    words = F.size(F.filter(F.split("text", r"\s+"), lambda x: x != ""))
+    return blocks.withColumns({"_chars": F.length("text"), "_words": words, "_key": F.xxhash64(key), "_key_chars": F.length(key)})
+
+
+FACTS = ("_chars", "_words", "_key", "_key_chars")
+
+
+def _with_facts(blocks: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """blocks with their facts, and those that are to be dropped again."""
+    return (blocks, ()) if "_chars" in blocks.columns else (facts(blocks), FACTS)
+
+
 def surroundings(blocks: DataFrame) -> DataFrame:
     """blocks with their place (share of the page, characters before and after, distance to the last heading), neighbours' characters and
     repeats: how many blocks of the page have the same text (ten at most), and whether one stands before."""
     w, page = _page(), Window.partitionBy("page_id")
-    chars = F.length("text")
-    same = Window.partitionBy("page_id", F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))))
+    blocks, extra = _with_facts(blocks)
+    chars = F.col("_chars")
+    same = Window.partitionBy("page_id", "_key", "_key_chars")
     heading = F.last(F.when(F.col("tag").isin(*HEADINGS), F.col("idx")), True).over(w)
     return blocks.select(
         "*",
@@ -68,7 +85,7 @@ def surroundings(blocks: DataFrame) -> DataFrame:
         F.lead(chars).over(w).cast("long").alias("chars_next"),
         F.least(F.lit(10), F.count("*").over(same)).cast("long").alias("repeats"),
         (F.row_number().over(same.orderBy("idx")) > 1).alias("seen_earlier"),
-    )
+    ).drop(*extra)
 
 
 def hashed(words: Column, n: int = CLASS_BUCKETS) -> Column:
@@ -101,17 +118,16 @@ def keep(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     characters or more has been kept before; the title stays. A heading of some score stays before a block that did, within the next two,
     and so does a text of eight words right after the title."""
     w = _page()
-    key = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
-    rows = scored.withColumn("_key", key).withColumn("_pass", F.col("is_title") | (F.col("p") >= threshold))
-    nth = F.sum(F.col("_pass").cast("int")).over(Window.partitionBy("page_id", "_key").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
-    again = (F.length("_key") >= LEAST_REPEAT) & (F.coalesce(nth, F.lit(0)) > 0)
+    scored, extra = _with_facts(scored)
+    rows = scored.withColumn("_pass", F.col("is_title") | (F.col("p") >= threshold))
+    nth = F.sum(F.col("_pass").cast("int")).over(Window.partitionBy("page_id", "_key", "_key_chars").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
+    again = (F.col("_key_chars") >= LEAST_REPEAT) & (F.coalesce(nth, F.lit(0)) > 0)
     few = F.count("*").over(Window.partitionBy("page_id")) < LEAST_BLOCKS
     rows = rows.withColumn("base", few | F.col("is_title") | F.col("_pass") & ~again)
     soon = F.coalesce(F.lead("base", 1).over(w), F.lit(False)) | F.coalesce(F.lead("base", 2).over(w), F.lit(False))
     heading = F.col("tag").isin(*HEADINGS) & (F.col("p") >= HEADING_RESCUE) & (F.col("p") < threshold) & soon
-    words = F.size(F.filter(F.split("text", r"\s+"), lambda x: x != ""))
-    lead = F.coalesce(F.lag("is_title").over(w), F.lit(False)) & F.col("tag").isin("p", "div") & (words >= LEAD_WORDS) & (F.col("p") >= LEAD_RESCUE)
-    return rows.withColumn("keep", F.col("base") | heading | lead).drop("_key", "_pass")
+    lead = F.coalesce(F.lag("is_title").over(w), F.lit(False)) & F.col("tag").isin("p", "div") & (F.col("_words") >= LEAD_WORDS) & (F.col("p") >= LEAD_RESCUE)
+    return rows.withColumn("keep", F.col("base") | heading | lead).drop("_pass", *extra)
 
 
 def rescue(kept: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -126,24 +142,24 @@ def rescue(kept: DataFrame, threshold: float = 0.5) -> DataFrame:
     own = Window.partitionBy("page_id", "list_id")
     is_heading = F.col("tag").isin(*HEADINGS)
     head = F.last(F.when(is_heading, F.struct("idx", "keep", "p")), True).over(w)
-    key = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
-    rows = kept.withColumn("_h", head).withColumn("_key", key)
-    same = Window.partitionBy("page_id", "_key")
-    long = F.length("_key") >= LEAST_REPEAT
-    there = long & F.max(F.when(F.length("text") >= LEAST_REPEAT, F.col("keep")).otherwise(False)).over(same)
+    kept, extra = _with_facts(kept)
+    rows = kept.withColumn("_h", head)
+    same = Window.partitionBy("page_id", "_key", "_key_chars")
+    long = F.col("_key_chars") >= LEAST_REPEAT
+    there = long & F.max(F.when(F.col("_chars") >= LEAST_REPEAT, F.col("keep")).otherwise(False)).over(same)
     free = ~F.col("keep") & (F.col("tag") == "table") & F.coalesce("is_data", F.lit(False)) & ~there
     under, near = F.col("_h.keep"), (F.col("_h.p") >= HEADING_RESCUE) & (F.col("_h.p") < threshold) & (F.col("idx") - F.col("_h.idx") <= PAIR_DISTANCE)
     big = F.coalesce(F.col("n_rows") >= LONG_TABLE, F.lit(False))
     rows = rows.withColumn("_able", free & (big | F.coalesce(under | near, F.lit(False))))
-    first = F.row_number().over(Window.partitionBy("page_id", "_key", F.col("_able") & ~big).orderBy("idx")) == 1
+    first = F.row_number().over(Window.partitionBy("page_id", "_key", "_key_chars", F.col("_able") & ~big).orderBy("idx")) == 1
     rows = rows.withColumn("_table", F.col("_able") & (big | first | ~long))
     pair = F.when(F.col("_table") & ~big & ~under, F.col("_h.idx"))
     rows = rows.withColumn("_heads", F.collect_set(pair).over(page))
-    longest = lambda tag: F.max(F.when(F.col("tag") == tag, F.length("text"))).over(own)
+    longest = lambda tag: F.max(F.when(F.col("tag") == tag, F.col("_chars"))).over(own)
     grid = (F.sum((F.col("tag") == "dt").cast("int")).over(own) >= GRID_TERMS) & (longest("dt") <= GRID_TERM) & (longest("dd") <= GRID_DEFINITION)
     term = F.col("tag").isin("dt", "dd") & F.col("list_id").isNotNull() & ~F.coalesce("list_marked", F.lit(False)) & ~F.coalesce(grid, F.lit(False)) & F.coalesce(under, F.lit(False))
     rows = rows.withColumn("keep", F.col("keep") | F.col("_table") | is_heading & F.array_contains("_heads", F.col("idx")) | term)
-    return rows.drop("_h", "_key", "_able", "_table", "_heads")
+    return rows.drop("_h", "_able", "_table", "_heads", *extra)
 
 
 def expected(kept: DataFrame, least: float = 0.70) -> DataFrame:
